@@ -24,10 +24,9 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
 
 def scratch_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); a local one is made only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="palisade-")
-        spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
     return root
 
