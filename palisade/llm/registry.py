@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from palisade.llm.op5_langid import op5_langid
+from palisade.llm.op9_toxicity import op9_toxicity
 
 
 def queries() -> dict:
-    return {"op5_langid": op5_langid}
+    return {
+        "op5_langid": op5_langid,
+        "op9_toxicity": op9_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
