@@ -5,6 +5,7 @@ from __future__ import annotations
 from palisade.llm.op2_tokens import op2_tokens
 from palisade.llm.op4_license import op4_license
 from palisade.llm.op5_langid import op5_langid
+from palisade.llm.op6_simhash import op6_simhash
 from palisade.llm.op9_toxicity import op9_toxicity
 from palisade.llm.op10_pieces import op10_pieces
 
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op2_tokens": op2_tokens,
         "op4_license": op4_license,
         "op5_langid": op5_langid,
+        "op6_simhash": op6_simhash,
         "op9_toxicity": op9_toxicity,
         "op10_pieces": op10_pieces,
     }
