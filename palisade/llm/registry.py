@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from palisade.llm.op1_decontam import op1_decontam
 from palisade.llm.op2_tokens import op2_tokens
 from palisade.llm.op4_license import op4_license
 from palisade.llm.op5_langid import op5_langid
@@ -12,6 +13,7 @@ from palisade.llm.op10_pieces import op10_pieces
 
 def queries() -> dict:
     return {
+        "op1_decontam": op1_decontam,
         "op2_tokens": op2_tokens,
         "op4_license": op4_license,
         "op5_langid": op5_langid,
