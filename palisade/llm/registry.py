@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from palisade.llm.op1_decontam import op1_decontam
 from palisade.llm.op2_tokens import op2_tokens
+from palisade.llm import op3_chat
 from palisade.llm.op4_license import op4_license
 from palisade.llm.op5_langid import op5_langid
 from palisade.llm.op6_simhash import op6_simhash
+from palisade.llm.op7_forest import op7_forest
 from palisade.llm.op9_toxicity import op9_toxicity
 from palisade.llm.op10_pieces import op10_pieces
 
@@ -15,13 +17,15 @@ def queries() -> dict:
     return {
         "op1_decontam": op1_decontam,
         "op2_tokens": op2_tokens,
+        "op3_chat": op3_chat.op3_chat,
         "op4_license": op4_license,
         "op5_langid": op5_langid,
         "op6_simhash": op6_simhash,
+        "op7_forest": op7_forest,
         "op9_toxicity": op9_toxicity,
         "op10_pieces": op10_pieces,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat": op3_chat.ORACLE}
