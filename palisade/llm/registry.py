@@ -9,6 +9,7 @@ from palisade.llm.op4_license import op4_license
 from palisade.llm.op5_langid import op5_langid
 from palisade.llm.op6_simhash import op6_simhash
 from palisade.llm.op7_forest import op7_forest
+from palisade.llm.op8_lm import op8_lm
 from palisade.llm.op9_toxicity import op9_toxicity
 from palisade.llm.op10_pieces import op10_pieces
 
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op5_langid": op5_langid,
         "op6_simhash": op6_simhash,
         "op7_forest": op7_forest,
+        "op8_lm": op8_lm,
         "op9_toxicity": op9_toxicity,
         "op10_pieces": op10_pieces,
     }
