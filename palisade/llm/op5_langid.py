@@ -26,6 +26,8 @@ from palisade.llm.common import filter_texts, fold, map_texts
 ORDER = 5
 #: Training documents of each language at most (a bounded sample of labelled rows, chosen by hash of the id).
 SAMPLE_PER_LANG = 1500
+#: Rejection: the calibrated cross-entropy times MARGIN, and SLACK by the root of the length, as short texts scatter.
+MARGIN, SLACK = 1.5, 6.0
 #: Words whose scores a worker keeps.
 CACHE = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -191,7 +193,7 @@ class Scorer:
         post = 1.0 / np.exp(np.minimum(-(h - low[:, None]) * np.minimum(n, 40)[:, None], 0.0)).sum(axis=1)
         limit = np.array([self.model.limits[x] for x in langs])[best]
         pred = [langs[b] if ok else "und" for b, ok in zip(best, has)]
-        return [pred, np.where(has, post, 0.0), np.where(has, low, 0.0), ~has | (low > limit)]
+        return [pred, np.where(has, post, 0.0), np.where(has, low, 0.0), ~has | (low > limit + SLACK / np.sqrt(np.maximum(n, 1)))]
 
 
 _SCORERS: dict = {}
@@ -248,7 +250,7 @@ def train(labelled: DataFrame, order: int = ORDER, per_lang: int = SAMPLE_PER_LA
         rows = cal.where("lang = lang_pred").groupBy("lang").agg(F.percentile("xent", F.array(F.lit(0.5), F.lit(0.99))).alias("q"), F.max("xent").alias("m")).collect()
         for r in rows:
             mid, high = r["q"]
-            model.limits[r["lang"]] = max(r["m"], high + 2 * (high - mid)) * 1.25
+            model.limits[r["lang"]] = max(r["m"], high + 2 * (high - mid)) * MARGIN
         ref.unpersist()
     return model
 
