@@ -14,8 +14,15 @@ from palisade.llm.op9_toxicity import op9_toxicity
 from palisade.llm.op10_pieces import op10_pieces
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline  # at the top of the repository, above the package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": _pipeline,
         "op1_decontam": op1_decontam,
         "op2_tokens": op2_tokens,
         "op3_chat": op3_chat.op3_chat,
