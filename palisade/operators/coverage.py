@@ -52,17 +52,17 @@ def _overlap(lo: Column, hi: Column, a: Column, b: Column) -> Column:
 
 
 def expected_ratio(pairs: DataFrame) -> DataFrame:
-    """(L, R, expected) for distinct pairs of reference and read length: terminal over middle coverage of uniform starts."""
-    p = F.sequence(F.lit(0), F.col("L") - 1)
-    cover = F.transform(p, lambda x: F.greatest(F.least(x, F.col("L") - F.col("R")) - F.greatest(x - F.col("R") + 1, F.lit(0)) + 1, F.lit(0)).cast("double"))
-    e = edge(F.col("L")).cast("int")
+    """(tl, rl, expected) for distinct pairs of reference and read length: terminal over middle coverage of uniform starts."""
+    p = F.sequence(F.lit(0), F.col("tl") - 1)
+    cover = F.transform(p, lambda x: F.greatest(F.least(x, F.col("tl") - F.col("rl")) - F.greatest(x - F.col("rl") + 1, F.lit(0)) + 1, F.lit(0)).cast("double"))
+    e = edge(F.col("tl")).cast("int")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     left = total(F.slice(F.col("c"), F.lit(1), F.col("e")))
-    right = total(F.slice(F.col("c"), F.col("L") - F.col("e") + 1, F.col("e")))
-    mid_n = F.col("L") - 2 * F.col("e")
+    right = total(F.slice(F.col("c"), F.col("tl") - F.col("e") + 1, F.col("e")))
+    mid_n = F.col("tl") - 2 * F.col("e")
     mid = F.when(mid_n > 0, total(F.slice(F.col("c"), F.col("e") + 1, F.greatest(mid_n, F.lit(1)))) / mid_n).otherwise(0.0)
-    rows = pairs.select("L", "R").distinct().where("L >= 4 and R > 0").withColumn("c", cover).withColumn("e", e)
-    return rows.select("L", "R", F.when(mid > 0, (left + right) / (2 * F.col("e")) / mid).otherwise(F.lit(1.0)).alias("expected"))
+    rows = pairs.select("tl", "rl").distinct().where("tl >= 4 and rl > 0").withColumn("c", cover).withColumn("e", e)
+    return rows.select("tl", "rl", F.when(mid > 0, (left + right) / (2 * F.col("e")) / mid).otherwise(F.lit(1.0)).alias("expected"))
 
 
 def terminal_ratio(aln: DataFrame) -> DataFrame:
@@ -72,13 +72,13 @@ def terminal_ratio(aln: DataFrame) -> DataFrame:
     left = _overlap(F.col("lo"), F.col("hi"), F.lit(0), F.col("e")) * F.col("g")
     right = _overlap(F.col("lo"), F.col("hi"), F.col("tlen") - F.col("e"), F.col("tlen")) * F.col("g")
     mid = _overlap(F.col("lo"), F.col("hi"), F.col("e"), F.col("tlen") - F.col("e")) * F.col("g")
-    got = s.groupBy("ref_id").agg(F.max("tlen").alias("L"), F.max("e").alias("e"), F.count("*").alias("n"), F.sum(F.col("g") * F.col("aln_len")).alias("glen"), F.sum(left).alias("l"), F.sum(right).alias("r"), F.sum(mid).alias("m"))
-    got = got.withColumn("R", F.least(F.floor(F.col("glen") / F.col("n")), F.col("L")))
-    got = got.join(expected_ratio(got), ["L", "R"], "left").withColumn("expected", F.coalesce("expected", F.lit(1.0)))
-    mid_n = F.col("L") - 2 * F.col("e")
-    low = F.least("l", "r") / F.col("e")
+    got = s.groupBy("ref_id").agg(F.max("tlen").alias("tl"), F.max("e").alias("e"), F.count("*").alias("n"), F.sum(F.col("g") * F.col("aln_len")).alias("glen"), F.sum(left).alias("left_mass"), F.sum(right).alias("right_mass"), F.sum(mid).alias("m"))
+    got = got.withColumn("rl", F.least(F.floor(F.col("glen") / F.col("n")), F.col("tl")))
+    got = got.join(expected_ratio(got), ["tl", "rl"], "left").withColumn("expected", F.coalesce("expected", F.lit(1.0)))
+    mid_n = F.col("tl") - 2 * F.col("e")
+    low = F.least("left_mass", "right_mass") / F.col("e")
     mean = F.when(mid_n > 0, F.col("m") / mid_n).otherwise(0.0)
-    ratio = F.when((F.col("L") <= 0) | (F.col("e") <= 0), 0.0).when(mean > 0, low / mean).when(low > 0, F.lit(float("inf"))).otherwise(0.0)
+    ratio = F.when((F.col("tl") <= 0) | (F.col("e") <= 0), 0.0).when(mean > 0, low / mean).when(low > 0, F.lit(float("inf"))).otherwise(0.0)
     return got.select("ref_id", F.when(F.col("expected") > 0.01, ratio / F.col("expected")).otherwise(ratio).alias("terminal_middle_ratio"))
 
 

@@ -93,11 +93,12 @@ def squarem(aln: DataFrame, scale: float, alpha: float = 1.0, tol: float = 1e-4,
 
     def step(w: DataFrame) -> tuple[DataFrame, float]:
         e = e_step(multi, w, scale)
-        own = single.join(w, "ref_id")
-        mass = e.groupBy("ref_id").agg(F.sum("gamma").alias("gamma")).unionByName(single.select("ref_id", F.col("n1").alias("gamma")))
+        own = single.join(w, "ref_id").withColumn("ll", F.col("n1") * (F.log(F.greatest("w", F.lit(FLOOR))) - 0.5 * F.log(F.greatest("len", F.lit(1)).cast("double"))) + scale * F.col("b1"))
+        mass = e.groupBy("ref_id").agg(F.sum("gamma").alias("gamma"), F.sum(F.col("ll") * F.col("gamma")).alias("ll"))  # gammas of a read sum to 1
+        mass = cut(mass.unionByName(own.select("ref_id", F.col("n1").alias("gamma"), "ll")), "em-mass")
         new = cut(m_step(mass, w, alpha), "em-w")
-        rows = e.groupBy("read_id").agg(F.max("ll").alias("ll"))
-        ll = (rows.agg(F.sum("ll")).first()[0] or 0.0) + (own.agg(F.sum(F.col("n1") * (F.log(F.greatest("w", F.lit(FLOOR))) - 0.5 * F.log(F.greatest("len", F.lit(1)).cast("double"))) + scale * F.col("b1"))).first()[0] or 0.0)
+        ll = mass.agg(F.sum("ll")).first()[0] or 0.0
+        drop_cut(mass)
         return new, _objective(ll, w, alpha)
 
     trace: list[float] = []

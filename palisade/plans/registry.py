@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from palisade.plans import alignment_queries
+
+QUERIES: dict = {**alignment_queries.QUERIES}
+ORACLE: dict = {**alignment_queries.ORACLE}
