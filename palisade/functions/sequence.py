@@ -83,9 +83,10 @@ def bases(seq: str | Column) -> Column:
 
 def kmers(seq: str | Column, k: int) -> Column:
     """Array of overlapping k-mers, from the array of bases so that long sequences cost no rescans."""
-    a = bases(seq)
     n = F.length(col(seq)) - k + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(a, i, k), ""))).otherwise(F.array().cast("array<string>"))
+    # the array is bound once, as the outer function's argument; inside the inner one it would be built again for every k-mer
+    made = F.transform(F.array(bases(seq)), lambda a: F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(a, i, k), "")))
+    return F.when(n > 0, F.get(made, F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def hexamer_code(kmer: str | Column) -> Column:

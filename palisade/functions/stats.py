@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palisade.functions.sequence import col
 
@@ -152,29 +153,29 @@ def beta_quantile(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (lo + hi) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def log_gamma(x: pd.Series) -> pd.Series:
     return pd.Series(lgamma(x.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def log_beta_binomial(k: pd.Series, n: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     """Log-probability of k of n under a beta-binomial; k and n may be fractional."""
     k, n, a, b = (s.to_numpy(float) for s in (k, n, a, b))
     return pd.Series(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + lbeta(k + a, n - k + b) - lbeta(a, b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def beta_below(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(beta_cdf(x, a, b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def beta_at(p: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(beta_quantile(p, a, b))
 
 
-@F.pandas_udf("p_damaged double, delta_mle double, ci_lower double, ci_upper double, lrt_pvalue double, log_bf double")
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("p_damaged", "delta_mle", "ci_lower", "ci_upper", "lrt_pvalue", "log_bf")]))
 def protein_damage(n: pd.Series, k: pd.Series, k2: pd.Series) -> pd.DataFrame:
     """Beta-binomial fit of per-protein damage from n reads with sum k and sum of squares k2 of their probabilities."""
     from math import erfc

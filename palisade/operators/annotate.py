@@ -27,7 +27,7 @@ def columns(aln: DataFrame, key: list[str]) -> DataFrame:
     """One row an aligned column of both residues: key, q and t (residues), qpos and tpos (from 0), qlen, reverse.
 
     aln: key columns, qaln, taln, qstart and tstart (from 1), qlen, reverse (boolean)."""
-    pair = F.arrays_zip(bases("qaln").alias("a"), bases("taln").alias("b"))
+    pair = F.zip_with(bases("qaln"), bases("taln"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     rows = aln.select(*key, "qstart", "tstart", "qlen", "reverse", F.posexplode(pair).alias("i", "x"))
     w = W.partitionBy(*key).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     q, t = F.col("x.a"), F.col("x.b")
