@@ -119,6 +119,24 @@ class KneserNey:
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         return keys[at] == h, vals[at]
 
+    def logp(self, codes: np.ndarray, k: int) -> np.ndarray:
+        """Natural log-probability of the last character of each row of codes after the others, under language k."""
+        lp = np.zeros(len(codes))
+        left = np.arange(len(codes))
+        for n in range(self.order, 0, -1):
+            part = codes[left, self.order - n:]
+            hit, val = self._find(self.grams[n][k], _gram_hash(part, k))
+            lp[left[hit]] += val[hit]
+            left = left[~hit]
+            if not len(left):
+                break
+            if n > 1:
+                seen, bow = self._find(self.contexts[n - 1][k], _gram_hash(part[~hit][:, :-1], k))
+                lp[left[seen]] += bow[seen]
+            else:
+                lp[left] += self.empty[k]
+        return lp
+
     def words(self, words: list[str]) -> np.ndarray:
         """A row a word: the summed natural log-probability under each language, then the number of characters."""
         out = np.zeros((len(words), len(self.langs) + 1))
@@ -126,21 +144,7 @@ class KneserNey:
             return out
         codes, owner = _windows(words, self.order)
         for k in range(len(self.langs)):
-            lp = np.zeros(len(codes))
-            left = np.arange(len(codes))
-            for n in range(self.order, 0, -1):
-                part = codes[left, self.order - n:]
-                hit, val = self._find(self.grams[n][k], _gram_hash(part, k))
-                lp[left[hit]] += val[hit]
-                left = left[~hit]
-                if not len(left):
-                    break
-                if n > 1:
-                    seen, bow = self._find(self.contexts[n - 1][k], _gram_hash(part[~hit][:, :-1], k))
-                    lp[left[seen]] += bow[seen]
-                else:
-                    lp[left] += self.empty[k]
-            out[:, k] = np.bincount(owner, weights=lp, minlength=len(words))
+            out[:, k] = np.bincount(owner, weights=self.logp(codes, k), minlength=len(words))
         out[:, -1] = np.bincount(owner, minlength=len(words))
         return out
 
