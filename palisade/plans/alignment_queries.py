@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palisade.functions.stats import wilson
+from palisade.functions.stats import beta_at, beta_below, wilson
+from palisade.functions.stats import protein_damage as protein_fit
 from palisade.operators import alignments as A
 from palisade.operators import coverage as C
 from palisade.operators import em as E
 from palisade.plans.adapters import ALN, SOFT, alignments, soft_alignments
 from palisade.session import table
+from palisade.streaming import incremental as I
 
 R = 6
 KEY = ["read_id", "ref_id", "bits", "fident", "aln_len", "sk", "ln"]
@@ -209,6 +211,31 @@ def dictionary_ids(spark, sf_dir):
     return A.dictionary(table(spark, sf_dir, "part"), "p_name")
 
 
+def event_counts(spark, sf_dir):
+    """Hourly counts by type; an extension, as alignments have no event time."""
+    return I.event_counts(table(spark, sf_dir, "events").where("ts is not null")).select("start", "event_type", "n", r("total", 4))
+
+
+def completeness(spark, sf_dir):
+    a = _gammaed(spark, sf_dir)
+    return C.completeness(C.bins(a), C.kl(a)).select("ref_id", r("completeness", 5))
+
+
+def protein_damage(spark, sf_dir):
+    """Beta-binomial damage fit of every reference; numeric, so there is no SQL for it."""
+    s = alignments(spark, sf_dir).groupBy("ref_id").agg(F.count("*").cast("double").alias("n"), F.sum("p_read").alias("k"), F.sum(F.col("p_read") ** 2).alias("k2"))
+    return s.select("ref_id", protein_fit("n", "k", "k2").alias("f")).select("ref_id", *[F.round(f"f.{c}", 6).alias(c) for c in ("p_damaged", "delta_mle", "ci_lower", "ci_upper", "lrt_pvalue", "log_bf")])
+
+
+def gene_posterior(spark, sf_dir):
+    """Beta posterior of each reference's damaged share: mean, 95 % interval and probability of more than 15 %; numeric, no SQL."""
+    s = alignments(spark, sf_dir).groupBy("ref_id").agg(F.sum((F.col("p_read") > 0.04).cast("double")).alias("k"), F.count("*").cast("double").alias("n"))
+    a, b = F.col("k") + 1.0, F.col("n") - F.col("k") + 9.0
+    s = s.withColumn("a", a).withColumn("b", b)
+    at = lambda p: beta_at(F.lit(p), F.col("a"), F.col("b"))
+    return s.select("ref_id", F.round(F.col("a") / (F.col("a") + F.col("b")), 6).alias("mean"), F.round(at(0.025), 6).alias("low"), F.round(at(0.975), 6).alias("high"), F.round(1 - beta_below(F.lit(0.15), F.col("a"), F.col("b")), 6).alias("p_enriched"))
+
+
 def group_map(spark, sf_dir):
     """Reference to group, a repeated key's last row winning; here keys repeat through lineitem's supplier order."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("ref_id"), F.col("l_suppkey").alias("grp"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity").alias("o"))
@@ -312,6 +339,7 @@ ORACLE = {
  SELECT coalesce(stratum,-1) AS stratum, n, round(CASE WHEN stratum IS NULL THEN b ELSE n/(n+100)*b + (1-n/(n+100))*(SELECT b FROM b WHERE stratum IS NULL) END,9) AS baseline FROM b""",
     "wilson_intervals": f"WITH {ALN}, s AS (SELECT ref_id, count(*) AS n, CAST(sum(CASE WHEN p_read > 0.04 THEN 1 ELSE 0 END) AS BIGINT) AS k FROM aln GROUP BY ref_id) SELECT ref_id, n, k, round({_WL},6) AS ci_low, round({_WH},6) AS ci_high FROM s",
     "dictionary_ids": "SELECT p_name, dense_rank() OVER (ORDER BY p_name) - 1 AS id FROM (SELECT DISTINCT p_name FROM part WHERE p_name IS NOT NULL)",
+    "event_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
     "group_map": "SELECT l_partkey AS ref_id, l_suppkey AS grp FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) AS rn FROM lineitem) WHERE rn = 1",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLE, "em_squarem"]}
+QUERIES = {name: globals()[name] for name in [*ORACLE, "em_squarem", "completeness", "protein_damage", "gene_posterior"]}
