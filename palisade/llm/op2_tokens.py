@@ -32,8 +32,8 @@ BLOCK = 128
 SEGMENT = 1 << 20
 PERCENTILE = 0.9
 END_ID = 2
-#: Chunks of text whose ids a worker keeps, in each of two generations.
-CACHE = 400_000
+#: Chunks of text whose ids a worker keeps.
+CACHE = 800_000
 _HEAD = struct.Struct("<4sIQIQ")
 
 
@@ -130,7 +130,7 @@ class Image:
 
 class Encoder:
     """Byte-level BPE of whole texts. A space after a character that is no white space starts a new pre-token whatever
-    follows, so texts are cut there; distinct chunks are encoded once by the library and kept while they recur."""
+    follows, so texts are cut there; distinct chunks are encoded once by the library and the first CACHE of them kept."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -138,7 +138,6 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
     def _library(self, parts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -156,16 +155,14 @@ class Encoder:
         return [parts[0], *[" " + p for p in parts[1:]]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE:  # two generations: what is met again moves to the young one
-            self.old, self.cache = self.cache, {}
         chunked = [self._chunks(t) if t else [] for t in texts]
-        missing = {c for cs in chunked for c in cs}.difference(self.cache)
-        known = self.old.keys() & missing
-        self.cache.update((c, self.old[c]) for c in known)
-        new = sorted(missing - known)
-        self.cache.update(zip(new, self._library(new)))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, cs)) for cs in chunked]
+        new = sorted({c for cs in chunked for c in cs}.difference(self.cache))
+        made = self._library(new)
+        kept = dict(zip(new[:max(0, CACHE - len(self.cache))], made))
+        self.cache.update(kept)
+        rest = dict(zip(new[len(kept):], made[len(kept):]))  # beyond the bound: for this step only
+        get = self.cache.get
+        return [b"".join([get(c) or rest[c] for c in cs]) for cs in chunked]
 
 
 _ENCODERS: dict[str, Encoder] = {}
