@@ -15,8 +15,11 @@ text; empty tables give no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,10 @@ END_ID = 2
 #: Chunks of text whose ids a worker keeps.
 CACHE = 800_000
 _HEAD = struct.Struct("<4sIQIQ")
+# A word, its punctuation, and perhaps a line feed and another word with its own: each a pre-token whatever stands around it.
+_LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[.,;:!?#$%&*]"
+_GAP = re.compile(r"\s ")
+_SPLIT = re.compile(f"( ?{_LETTER})({_MARK}*)(?:(\n)({_LETTER})({_MARK}*))?")
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -128,41 +135,55 @@ class Image:
         return self.blocks(0, len(self.low))[:self.n]
 
 
+class _Cache(dict):
+    """Kept chunks, and behind them those of the step at hand."""
+
+    fresh: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.fresh[chunk]
+
+
 class Encoder:
     """Byte-level BPE of whole texts. A space after a character that is no white space starts a new pre-token whatever
-    follows, so texts are cut there; distinct chunks are encoded once by the library and the first CACHE of them kept."""
+    follows, so texts are cut there; distinct chunks, further cut at plain punctuation, are encoded once by the library
+    and the first CACHE of them kept."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Cache()
 
     def _library(self, parts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for lo in range(0, len(parts), 20_000):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(parts[lo:lo + 20_000], add_special_tokens=False)]
+            out += [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(parts[lo:lo + 20_000], add_special_tokens=False)]
         return out
 
     def _chunks(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        for p in parts[:-1]:
-            if not p or p[-1].isspace() or p[-1] in "\x85\x1c\x1d\x1e\x1f":
-                return [text]
-        if any(s in text for s in self.special):
+        if text[0] == " " or _GAP.search(text) or any(x in text for x in self.special):
             return [text]
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        first, *rest = text.split(" ")
+        return [first, *[" " + p for p in rest]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         chunked = [self._chunks(t) if t else [] for t in texts]
-        new = sorted({c for cs in chunked for c in cs}.difference(self.cache))
-        made = self._library(new)
-        kept = dict(zip(new[:max(0, CACHE - len(self.cache))], made))
-        self.cache.update(kept)
-        rest = dict(zip(new[len(kept):], made[len(kept):]))  # beyond the bound: for this step only
-        get = self.cache.get
-        return [b"".join([get(c) or rest[c] for c in cs]) for cs in chunked]
+        new = set().union(*chunked).difference(self.cache)
+        split = {c: [p for p in m.groups() if p] for c in new if (m := _SPLIT.fullmatch(c))}
+        units = list({p for c in new for p in split.get(c, (c,))}.difference(self.cache))
+        made = dict(zip(units, self._library(units)))
+        for part in split.values():
+            made.update((p, self.cache[p]) for p in part if p not in made)
+        fresh = {c: b"".join([made[p] for p in split[c]]) if c in split else made[c] for c in new}
+        room = CACHE - len(self.cache)
+        if room > 0:
+            self.cache.update(islice(((p, made[p]) for p in units), room))
+            self.cache.update(islice(fresh.items(), max(0, CACHE - len(self.cache))))
+        self.cache.fresh = fresh
+        get = self.cache.__getitem__
+        return [b"".join(map(get, cs)) for cs in chunked]
 
 
 _ENCODERS: dict[str, Encoder] = {}
