@@ -30,16 +30,16 @@ from pyspark.sql import functions as F
 from palisade.llm.common import fold, slices
 from palisade.session import cut
 
-HIDDEN, CLASSES, PER_CLASS, BUCKETS = 16, 24, 24, 64
+HIDDEN, CLASSES, PER_CLASS, BUCKETS = 16, 20, 20, 64
 #: Tokens broadcast with their counts at most; the counts of all others are joined.
-TOP = 65_536
+TOP = 131_072
 #: Training: parts (of 16) of the documents in each round, together all; segment, truncation and batch lengths; step size.
 ROUNDS = (1, 1, 2, 4, 8)
-SEGMENT, TRUNCATE, BATCH, RATE = 512, 16, 320, 0.08
+SEGMENT, TRUNCATE, BATCH, RATE = 512, 16, 448, 0.08
 SMOOTH = 0.1
 END = b""
 _PUNCT = b".,;:!?\"'()[]"
-_FLUSH = 300_000
+_FLUSH = 600_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -300,7 +300,15 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     buckets = {r["bucket"]: (r["n"], r["v"]) for r in counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # BUCKETS rows
-    top = [(bytes(r["token"]), r["n"]) for r in counts.orderBy(F.desc("n"), "token").limit(TOP).select("token", "n").collect()]
+    cell = F.floor(F.log2("n") * 8)  # a few hundred cells of like counts, the highest taken while TOP tokens hold
+    taken, least = 0, None
+    for r in sorted(counts.groupBy(cell.alias("cell")).agg(F.count("*").alias("k"), F.min("n").alias("least")).collect(), key=lambda r: -r["cell"]):
+        taken += r["k"]
+        if taken > TOP:
+            break
+        least = r["least"]
+    rows = counts.where(F.col("n") >= least).select("token", "n").collect() if least is not None else []  # at most TOP
+    top = sorted(((bytes(r["token"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
     return Vocabulary(top, sum(n for n, _ in buckets.values()), sum(v for _, v in buckets.values()), buckets)
 
 
@@ -326,7 +334,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: tuple[int, ...] = ROUNDS)
     block = 8192
     for share in rounds:
         ref = spark.sparkContext.broadcast(flat)
-        place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(whole))
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(whole))
         part = docs.where((place >= at) & (place < at + share)).select("text")
         at += share
 
