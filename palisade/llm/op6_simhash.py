@@ -6,7 +6,9 @@ spanning links only, and components tie them together. Exact copies have one fin
 
 The query's fingerprints have 64 bits and radius 3; four keys of 16 bits each make its search exact (of four blocks
 one is the same in any two fingerprints at 3 bits). The pipeline stage takes five-word shingles and a similarity of
-0.8: fingerprints of 256 bits over distinct shingles, with keys of MinHash bands.
+0.8: fingerprints of 256 bits over distinct shingles, with keys of MinHash bands. There a hit of the tree only proposes
+a pair: first components of proposed pairs are built, then pairs within them are linked by the exact Jaccard similarity
+of their distinct shingle hashes.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; texts of fewer words than a
 shingle are one shingle; null ids take part but are no component's smallest unless all are null; repeated rows share
@@ -23,13 +25,16 @@ from pyspark.sql import functions as F
 
 from palisade.llm.common import map_texts
 from palisade.llm.components import components
-from palisade.session import cut
+from palisade.session import cut, drop_cut
 
 SHINGLE, RADIUS = 3, 3
 #: Fingerprints of one tree at most; larger shards are split.
 TREE = 2048
-#: Stage: words a shingle, 64-bit words a fingerprint, radius (a Jaccard similarity of 0.8 lies at 39 bits +- 6), bands of two.
-STAGE_SHINGLE, STAGE_WORDS, STAGE_RADIUS, STAGE_BANDS = 5, 4, 45, 10
+#: Stage: words a shingle, 64-bit words a fingerprint, radius (a Jaccard similarity of 0.8 lies at 39 bits +- 6, of four
+#: shingles against five at 48 +- 6), bands of two.
+STAGE_SHINGLE, STAGE_WORDS, STAGE_RADIUS, STAGE_BANDS = 5, 4, 72, 10
+#: Stage: fingerprints of one tree at most.
+STAGE_TREE = 1024
 _STEP = 200_000
 _ODD = [(2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1 for k in range(64)]
 
@@ -103,8 +108,21 @@ class BKTree:
         return out
 
 
-def _spanning(left: list[int], right: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """Links that span what lies within the radius among left, or between left and right: positions in left + right."""
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted arrays of distinct hashes have a Jaccard similarity of 0.8 or more."""
+    low, high = sorted((len(a), len(b)))
+    if 5 * low < 4 * high:
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    return 9 * int((both[1:] == both[:-1]).sum()) >= 4 * (low + high)
+
+
+def _spanning(left: list[int], right: list[int] | None, radius: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links that span what lies within the radius among left, or between left and right: positions in left + right.
+
+    With sets (of left + right), only pairs of similar sets are linked.
+    """
     n = len(left) + len(right or ())
     root = list(range(n))
 
@@ -119,7 +137,7 @@ def _spanning(left: list[int], right: list[int] | None, radius: int) -> list[tup
     def meet(i: int, value: int) -> None:
         for j in tree.search(value, radius):
             a, b = find(i), find(j)
-            if a != b:
+            if a != b and (sets is None or similar(sets[i], sets[j])):
                 root[max(a, b)] = min(a, b)
                 links.append((j, i))
 
@@ -135,22 +153,25 @@ def _spanning(left: list[int], right: list[int] | None, radius: int) -> list[tup
 def links(prints: DataFrame, keys: Column, radius: int, words: int, tree: int = TREE) -> DataFrame:
     """Spanning links (u, v) between the ids of prints (id long, w array<long>) within the radius that share a key.
 
-    keys: an array of longs a row. Shards are streams of sorted rows, so a task holds one tree at a time.
+    keys: an array of longs a row. Where prints have sets (binary, sorted distinct 64-bit hashes), only similar ones are
+    linked. Shards are streams of sorted rows, so a task holds one tree at a time.
     """
-    rows = prints.select("id", "w", F.explode(F.array_distinct(keys)).alias("key"))
+    exact = "sets" in prints.columns
+    cols = ["id", "w", *(["sets"] if exact else [])]
+    rows = prints.select(*cols, F.explode(F.array_distinct(keys)).alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / tree).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    rows = rows.withColumn("own", own).select("id", "w", "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rows = rows.select("id", "w", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
+    rows = rows.withColumn("own", own).select(*cols, "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.select(*cols, "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own")
     n = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
     rows = rows.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b", "own", "id")
 
     def run(batches):
-        shard, ids, left, right = None, [], [], []
+        shard, ids, left, right, sets = None, [], [], [], []
 
         def finish():
-            got = _spanning(left, right if shard[1] != shard[2] else None, radius) if len(ids) > 1 else []
+            got = _spanning(left, right if shard[1] != shard[2] else None, radius, sets if exact else None) if len(ids) > 1 else []
             return [(ids[i], ids[j]) for i, j in got]
 
         for b in batches:
@@ -158,12 +179,15 @@ def links(prints: DataFrame, keys: Column, radius: int, words: int, tree: int =
             cols = [b.column(c) for c in ("key", "a", "b", "own", "id")]
             flat = b.column("w").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
             values = [int(x) for x in flat[:, 0]] if words == 1 else [int.from_bytes(x.tobytes(), "little") for x in flat]
-            for key, p, q, own_part, i, v in zip(*(c.to_pylist() for c in cols), values):
+            packed = b.column("sets").to_pylist() if exact else [None] * len(values)
+            for key, p, q, own_part, i, v, h in zip(*(c.to_pylist() for c in cols), values, packed):
                 if (key, p, q) != shard:
                     if shard is not None:
                         found += finish()
-                    shard, ids, left, right = (key, p, q), [], [], []
+                    shard, ids, left, right, sets = (key, p, q), [], [], [], []
                 ids.append(i)
+                if exact:
+                    sets.append(np.frombuffer(h, "<u8"))
                 (left if own_part == p else right).append(v)
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["u", "v"])
         if shard is not None:
@@ -201,11 +225,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def stage_prints(text: str) -> tuple[list[int], list[int]]:
-    """Fingerprint words over distinct shingles, and the MinHash band keys."""
+def stage_prints(text: str) -> tuple[list[int], list[int], bytes]:
+    """Fingerprint words over distinct shingles, the MinHash band keys, and the shingles' sorted hashes."""
     h = np.unique(shingle_hashes(text, STAGE_SHINGLE))
     if not len(h):
-        return [0] * STAGE_WORDS, [0]
+        return [0] * STAGE_WORDS, [0], b""
     with np.errstate(over="ignore"):
         mixed = [h * np.uint64(_ODD[k]) for k in range(STAGE_WORDS)]
         mixed = [(m ^ (m >> np.uint64(32))) * np.uint64(_ODD[k + 8]) for k, m in enumerate(mixed)]
@@ -213,7 +237,25 @@ def stage_prints(text: str) -> tuple[list[int], list[int]]:
         low = [int((h * np.uint64(_ODD[16 + k])).min()) for k in range(2 * STAGE_BANDS)]
     fp = vote(np.stack(mixed, axis=1))
     keys = [xxhash.xxh64_intdigest(b"%d,%d,%d" % (k, low[2 * k], low[2 * k + 1])) for k in range(STAGE_BANDS)]
-    return [_signed(int(x)) for x in fp], [_signed(k) for k in keys]
+    return [_signed(int(x)) for x in fp], [_signed(k) for k in keys], h.astype("<u8").tobytes()
+
+
+def _verified(prints: DataFrame) -> DataFrame:
+    """(node, root) of the ids of prints (id, w, bands, sets) that are tied by pairs of similar shingle sets.
+
+    Sets are carried only by what some proposed pair touches, once where the proposed component fits a tree; a larger
+    component is searched by the bands again.
+    """
+    reps = prints.groupBy("id").agg(F.min("w").alias("w"), F.min("bands").alias("bands"))
+    coarse = cut(components(links(reps, F.col("bands"), STAGE_RADIUS, STAGE_WORDS, STAGE_TREE)), "stage-proposed")
+    sizes = coarse.groupBy("root").agg(F.count("*").alias("size"))
+    nodes = coarse.join(sizes, "root").select(F.col("node").alias("id"), "root", "size")
+    own = prints.join(nodes, "id").groupBy("id", "root", "size").agg(F.min("w").alias("w"), F.min("bands").alias("bands"), F.min("sets").alias("sets"))
+    own = cut(own, "stage-sets")
+    keys = F.when(F.col("size") <= STAGE_TREE, F.array("root")).otherwise(F.col("bands"))
+    roots = components(links(own, keys, STAGE_RADIUS, STAGE_WORDS, STAGE_TREE))
+    drop_cut(own)
+    return roots
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -224,11 +266,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keyed = plain.withColumn("__t", F.xxhash64(F.coalesce(text, F.lit(""))))
 
     def make():
-        return lambda texts: [list(c) for c in zip(*(stage_prints(t) for t in texts))] if texts else [[], []]
+        return lambda texts: [list(c) for c in zip(*(stage_prints(t) for t in texts))] if texts else [[], [], []]
 
-    prints = cut(map_texts(keyed.select(F.col(doc_id).alias("d"), "__t", F.col(text).alias("text")), make, "w array<long>, bands array<long>").withColumn("id", F.xxhash64("w")), "stage-fingerprints")
-    reps = prints.groupBy("id").agg(F.min("w").alias("w"), F.min("bands").alias("bands"))
-    roots = components(links(reps, F.col("bands"), STAGE_RADIUS, STAGE_WORDS, 1024)).withColumnsRenamed({"node": "id"})
+    whole = cut(map_texts(keyed.select(F.col(doc_id).alias("d"), "__t", F.col(text).alias("text")), make, "w array<long>, bands array<long>, sets binary").withColumn("id", F.xxhash64("w")), "stage-fingerprints")
+    prints = cut(whole.select("d", "__t", "id"), "stage-ids")
+    roots = _verified(whole).withColumnsRenamed({"node": "id"})
+    drop_cut(whole)
     first = F.struct(F.col("d").isNull(), "d", "__t")
     own = prints.groupBy("id").agg(F.min(first).alias("first"), F.count("*").alias("n")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     kept = own.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.d").alias("__d"), F.col("first.__t").alias("__h"))

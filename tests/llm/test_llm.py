@@ -283,3 +283,24 @@ def test_stage_keeps_one_of_each_group(spark, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = op6.drop_near_duplicates(spark, docs, sf)
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [2, 7, 8]
+
+
+def _jaccard(a, b):
+    x, y = (set(op6.shingle_hashes(t, op6.STAGE_SHINGLE).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_stage_links_by_exact_similarity(spark, tmp_path):
+    """Pairs just above 0.8 are all found, pairs just below are all kept, and chains do not tie what is below."""
+    docs, want = [], set()
+    for k in range(120):
+        a = prose(1000 + k, 220).split()
+        tail = prose(5000 + k, 80).split()
+        near = next(a[:-m] + tail[:m] for m in range(40, 0, -1) if (_jaccard(" ".join(a), " ".join(a[:-m] + tail[:m])) >= 0.8) == (k % 2 == 0) and (k % 2 == 0 or _jaccard(" ".join(a), " ".join(a[:-m + 1] + tail[:m - 1])) >= 0.8))
+        j = _jaccard(" ".join(a), " ".join(near))
+        assert 0.79 < j < 0.82 and (j >= 0.8) == (k % 2 == 0)
+        docs += [(2 * k, " ".join(a), "en"), (2 * k + 1, " ".join(near), "en")]
+        want |= {2 * k} | ({2 * k + 1} if k % 2 else set())
+    sf = write(tmp_path, docs)
+    got = op6.drop_near_duplicates(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert {r["doc_id"] for r in got.collect()} == want
