@@ -304,3 +304,19 @@ def test_stage_links_by_exact_similarity(spark, tmp_path):
     sf = write(tmp_path, docs)
     got = op6.drop_near_duplicates(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
     assert {r["doc_id"] for r in got.collect()} == want
+
+
+def test_toxicity_restores_spaced_lookalikes_and_several_words():
+    lm = op9_toxicity.CharModel(Counter(["idiot", "stupid", "you", "are", "the", "a", "word", "trash"] * 3))
+    cases = {
+        "i d ! o t": ["idiot"], "$ t u p i d": ["stupid"], "so $ t u p ! d, he": ["stupid"], "(s t * p i d)": ["stupid"], "s*t*u*p*i*d": ["stupid"], "s  t  u  p  i  d": ["stupid"],
+        "y o u s t u p i d i d i o t": ["you", "stupid", "idiot"], "y o u   a r e   a   1 d 1 0 t": ["you", "are", "a", "idiot"], "| - | - | - |": [], "1 2 3 4 5": []}
+    assert {t: op9_toxicity.unspaced(t, lm) for t in cases} == cases
+    assert op9_toxicity.unspaced("y o u s t u p i d i d i o t " * 4, lm) == ["you", "stupid", "idiot"] * 4
+    assert "idiot" in op9_toxicity.restore("idi" + "o" * 60 + "t", lm)
+    assert {"stupid", "idiot"} <= set(op9_toxicity.restore("youstupididiot" * 4 + "th3tr@sh", lm))
+    assert "idiot" in op9_toxicity.restore("the-word-you-are-the-trash-word-the-1d10t-word", lm)
+    blob = hashlib.sha512(b"x").hexdigest()
+    assert op9_toxicity.restore(blob, lm) == [blob]
+    s = op9_toxicity.Scorer(op9_toxicity.Model(lm, {"=stupid": 4.0, "=idiot": 5.0}, (0.0, 1.0, 0.0)))
+    assert s.evidence("y o u $ t u p i d ! d i o t") == 9.0
