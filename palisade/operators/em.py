@@ -75,9 +75,11 @@ def _objective(ll: float, weights: DataFrame, alpha: float) -> float:
     return ll + (alpha - 1) * weights.agg(F.sum(F.log(F.greatest("w", F.lit(FLOOR))))).first()[0]
 
 
-def squarem(aln: DataFrame, scale: float, alpha: float = 1.0, tol: float = 1e-4, max_iter: int = 100, warm_up: int = 4, start: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
+def squarem(aln: DataFrame, scale: float, alpha: float = 1.0, tol: float = 1e-4, max_iter: int = 100, warm_up: int = 4, start: DataFrame | None = None, strict: bool = False) -> tuple[DataFrame, list[float]]:
     """Accelerated EM. Returns the weights and the objective after each accepted step.
 
+    Ends by tolerance, or after max_iter EM steps; with strict, the latter raises.
+
     After plain warm-up steps each cycle takes two EM steps, extrapolates along them (step length from the ratio of
     the squared differences, clamped to an adaptive bound), applies an EM step to stabilise, and falls back to the
     plain steps where the objective would drop. Every cycle's weights are written to the shared folder: lineage ends
@@ -134,6 +136,9 @@ def squarem(aln: DataFrame, scale: float, alpha: float = 1.0, tol: float = 1e-4,
         if it >= 8 and abs(obj - obj0) <= tol * max(1.0, abs(obj0)) * 1e-3 and moved <= math.sqrt(tol):
             trace.append(obj)
             break
+    else:
+        if strict:
+            raise RuntimeError(f"em did not converge in {max_iter} steps")
     return weights, trace
 
 

@@ -67,8 +67,8 @@ def em_assignments(spark, sf_dir):
 
 
 def em_squarem(spark, sf_dir):
-    """Converged weights; an iterative solver, so there is no SQL for it."""
-    w, _ = E.squarem(soft_alignments(spark, sf_dir), 1.0, max_iter=8)
+    """Converged weights, or an error; an iterative solver, so there is no SQL for it."""
+    w, _ = E.squarem(soft_alignments(spark, sf_dir), 1.0, tol=1e-6, max_iter=200, strict=True)
     return w.select("ref_id", F.round("w", 6).alias("w"))
 
 

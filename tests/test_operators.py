@@ -40,6 +40,17 @@ def test_em_moves_shared_read_to_supported_target(spark):
     assert g["ref_id"] == 2
 
 
+def test_em_query_runs_until_it_settles(spark, monkeypatch):
+    from palisade.plans import alignment_queries as Q
+
+    rows = [(0, 1, 1.0)] + [(i, ref, 1.0) for i in range(1, 51) for ref in (1, 2)]  # the share of 2 falls by a fiftieth a step
+    monkeypatch.setattr(Q, "soft_alignments", lambda spark, sf_dir: aln(spark, rows))
+    got = {r["ref_id"]: r["w"] for r in Q.em_squarem(spark, "").collect()}
+    assert got[1] > 0.99 and got[2] < 0.01
+    with pytest.raises(RuntimeError):
+        E.squarem(aln(spark, rows), 1.0, max_iter=8, strict=True)
+
+
 def test_em_recovers_unique_mapper_shares(spark):
     rows = [(i, 1 if i < 6 else 2 if i < 9 else 3, 1.0) for i in range(10)]
     got = {r["ref_id"]: r["w"] for r in E.plain_em(aln(spark, rows), 2, 1.0).collect()}
