@@ -26,8 +26,10 @@ from palisade.llm.common import filter_texts, fold, map_texts
 ORDER = 5
 #: Training documents of each language at most (a bounded sample of labelled rows, chosen by hash of the id).
 SAMPLE_PER_LANG = 1500
-#: Rejection: the calibrated cross-entropy times MARGIN, and SLACK by the root of the length, as short texts scatter.
-MARGIN, SLACK = 1.5, 6.0
+#: Further labelled documents of each language at most, which only calibrate rejection (also by hash of the id).
+CALIBRATE_PER_LANG = 3000
+#: Rejection: the quantile of the cross-entropies standardised by length, and the least limit in standard deviations.
+QUANTILE, LEAST = 0.999, 8.0
 #: Words whose scores a worker keeps.
 CACHE = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -71,7 +73,8 @@ class KneserNey:
         self.empty: list[float] = []
         for k, lang in enumerate(self.langs):
             self._add(k, counts.get(lang, {}))
-        self.limits = {lang: float("inf") for lang in self.langs}
+        #: Centre, spread between documents, spread of a character, and limit in standard deviations.
+        self.limits = {lang: (0.0, 1.0, 0.0, float("inf")) for lang in self.langs}
 
     def _add(self, k: int, top: dict[str, int]) -> None:
         level: dict[str, int] = dict(top)
@@ -185,6 +188,11 @@ class Scorer:
                 out[i] = self.table[np.fromiter(map(get, d), np.int64, len(d))].sum(axis=0)
         return out
 
+    def lengths(self, texts: list[str]) -> list:
+        """Language, cross-entropy and number of characters of each text."""
+        pred, _, low, _ = self(texts)
+        return [pred, low, self.sums(texts)[:, -1]]
+
     def __call__(self, texts: list[str]) -> list:
         s, langs = self.sums(texts), self.model.langs
         n = s[:, -1]
@@ -195,9 +203,26 @@ class Scorer:
         best = h.argmin(axis=1)
         low = h[np.arange(len(texts)), best]
         post = 1.0 / np.exp(np.minimum(-(h - low[:, None]) * np.minimum(n, 40)[:, None], 0.0)).sum(axis=1)
-        limit = np.array([self.model.limits[x] for x in langs])[best]
+        mid, between, within, most = np.array([self.model.limits[x] for x in langs])[best].T
+        limit = mid + most * spread(between, within, n)
         pred = [langs[b] if ok else "und" for b, ok in zip(best, has)]
-        return [pred, np.where(has, post, 0.0), np.where(has, low, 0.0), ~has | (low > limit + SLACK / np.sqrt(np.maximum(n, 1)))]
+        return [pred, np.where(has, post, 0.0), np.where(has, low, 0.0), ~has | (low > limit)]
+
+
+def spread(between, within, n):
+    """Standard deviation of the cross-entropy of texts of n characters."""
+    return np.sqrt(between ** 2 + within ** 2 / np.maximum(n, 1))
+
+
+def calibrate(xent: np.ndarray, n: np.ndarray) -> tuple[float, float, float, float]:
+    """The limits of a language from the cross-entropies and lengths of its documents, by medians of deviations."""
+    mid = float(np.median(xent))
+    off, long = np.abs(xent - mid), n >= np.median(n)
+    between = 1.4826 * float(np.median(off[long]))
+    within = 1.4826 * float(np.median((off * np.sqrt(n))[~long if (~long).any() else long]))
+    between = max(between, 0.02 * mid, 1e-3)
+    z = (xent - mid) / spread(between, within, n)
+    return mid, between, within, max(float(np.quantile(z, QUANTILE, method="higher")) if len(z) * (1 - QUANTILE) >= 1 else 0.0, LEAST)
 
 
 _SCORERS: dict = {}
@@ -212,19 +237,20 @@ def _scorer(ref) -> Scorer:
     return _SCORERS[key]
 
 
-def _sample(labelled: DataFrame, per_lang: int) -> DataFrame:
-    """At most per_lang rows of each language, by hash of the id: ids first, then their texts by a broadcast of the ids."""
+def _sample(labelled: DataFrame, per_lang: int, more: int) -> DataFrame:
+    """At most per_lang + more rows of each language, by hash of the id, the latter marked __more: ids first, then their texts by a broadcast of the ids."""
     w = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_lang).select("doc_id").distinct()
-    return labelled.join(F.broadcast(ids), "doc_id", "left_semi")
+    ranked = labelled.select("doc_id", "lang").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_lang + more)
+    ids = ranked.groupBy("doc_id").agg((F.min("__r") > per_lang).alias("__more"))
+    return labelled.join(F.broadcast(ids), "doc_id")
 
 
 def train(labelled: DataFrame, order: int = ORDER, per_lang: int = SAMPLE_PER_LANG) -> KneserNey:
-    """Fit on labelled (doc_id, text, lang): n-gram counts are summed by Spark; a tenth of the sample calibrates the limits."""
+    """Fit on labelled (doc_id, text, lang): n-gram counts are summed by Spark; a tenth of the sample and further rows calibrate the limits."""
     spark = labelled.sparkSession
-    sample = _sample(labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang"), per_lang)
+    sample = _sample(labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang"), per_lang, CALIBRATE_PER_LANG)
     sample = sample.repartition(spark.sparkContext.defaultParallelism * 2, F.xxhash64("doc_id", "text"))
-    part = sample.withColumn("__cal", fold(F.col("doc_id"), 10) == 0)
+    part = sample.withColumn("__cal", F.col("__more") | (fold(F.col("doc_id"), 10) == 0))
 
     def count(batches):
         for b in batches:
@@ -250,11 +276,12 @@ def train(labelled: DataFrame, order: int = ORDER, per_lang: int = SAMPLE_PER_LA
     model = KneserNey(list(counts), counts, order)
     if model.langs:
         ref = spark.sparkContext.broadcast((id(model), model))
-        cal = map_texts(part.where("__cal").select("text", "lang"), lambda: _scorer(ref), "lang_pred string, score double, xent double, rejected boolean")
-        rows = cal.where("lang = lang_pred").groupBy("lang").agg(F.percentile("xent", F.array(F.lit(0.5), F.lit(0.99))).alias("q"), F.max("xent").alias("m")).collect()
-        for r in rows:
-            mid, high = r["q"]
-            model.limits[r["lang"]] = max(r["m"], high + 2 * (high - mid)) * MARGIN
+        cal = map_texts(part.where("__cal").select("text", "lang"), lambda: _scorer(ref).lengths, "lang_pred string, xent double, n double")
+        per: dict[str, list] = {}
+        for r in cal.where("lang = lang_pred").select("lang", "xent", "n").collect():  # at most the sample
+            per.setdefault(r["lang"], []).append((r["xent"], r["n"]))
+        for lang, rows in per.items():
+            model.limits[lang] = calibrate(*np.array(sorted(rows)).T)
         ref.unpersist()
     return model
 

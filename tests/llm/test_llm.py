@@ -320,3 +320,15 @@ def test_toxicity_restores_spaced_lookalikes_and_several_words():
     assert op9_toxicity.restore(blob, lm) == [blob]
     s = op9_toxicity.Scorer(op9_toxicity.Model(lm, {"=stupid": 4.0, "=idiot": 5.0}, (0.0, 1.0, 0.0)))
     assert s.evidence("y o u $ t u p i d ! d i o t") == 9.0
+
+
+def test_langid_rejects_unlearned_languages_and_random_letters(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    score = op5_langid.Scorer(op5_langid.train(op5_langid.training_rows(docs).where("lang <> 'fr'")))
+    d = pq.read_table("/root/testdata/sf0.1/documents.parquet").to_pandas()
+    d = d[[zlib.crc32(str(i).encode()) % 4 == 2 for i in d.doc_id]]
+    other, own = d[d.lang == "fr"].text[:200].tolist(), d[d.lang != "fr"].text[:300].tolist()
+    rng = random.Random(3)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(k)) for k in (2, 5, 20, 200) for _ in range(10)]
+    assert np.mean(score(other)[3]) > 0.95 and np.mean(score(noise)[3]) == 1
+    assert np.mean(score(own)[3]) < 0.01 and np.mean(score([t[:80] for t in own])[3]) < 0.02
