@@ -98,11 +98,12 @@ class Scanner:
                     own.append([lo, hi])
         found = []
         for notice, own in windows.items():
-            for lo, hi in own:
-                at = lo
-                while m := self.patterns[notice].search(norm, at, hi):
+            rest = [tuple(w) for w in own]
+            while rest:  # the search gives the best place of a window: what lies before and after it is searched too
+                lo, hi = rest.pop()
+                if hi - lo >= len(notice) - budget(notice) and (m := self.patterns[notice].search(norm, lo, hi)):
                     found.append((m.start(), m.end(), notice, sum(m.fuzzy_counts)))
-                    at = max(m.end(), at + 1)
+                    rest += [(lo, m.start()), (max(m.end(), lo + 1), hi)]
         kept: list[tuple[int, int, str, int]] = []
         for s in sorted(found, key=lambda s: (s[3], s[0], s[2])):  # of overlapping spans the one of fewest edits
             if all(s[1] <= k[0] or s[0] >= k[1] for k in kept):

@@ -332,3 +332,10 @@ def test_langid_rejects_unlearned_languages_and_random_letters(spark):
     noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(k)) for k in (2, 5, 20, 200) for _ in range(10)]
     assert np.mean(score(other)[3]) > 0.95 and np.mean(score(noise)[3]) == 1
     assert np.mean(score(own)[3]) < 0.01 and np.mean(score([t[:80] for t in own])[3]) < 0.02
+
+
+def test_license_finds_every_place_of_a_merged_window():
+    scan = op4_license.Scanner()
+    for words in ("licensed undr cc by nc 4 0 licensed under cc by nc 4 0", "licensed under cc by nc 4 0 licensed undr cc by nc 4 0", "licensed undr cc by nc 4 0 licensd under cc by nc 4 0 licensed under cc by nc 4 0 licensed unde cc by nc 4 0"):
+        spans = [s for s in scan.fuzzy(op4_license.normalise(words)[0]) if s[2] == "licensed under cc by nc 4 0"]
+        assert len(spans) == words.count("cc by nc") and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
