@@ -339,3 +339,14 @@ def test_license_finds_every_place_of_a_merged_window():
     for words in ("licensed undr cc by nc 4 0 licensed under cc by nc 4 0", "licensed under cc by nc 4 0 licensed undr cc by nc 4 0", "licensed undr cc by nc 4 0 licensd under cc by nc 4 0 licensed under cc by nc 4 0 licensed unde cc by nc 4 0"):
         spans = [s for s in scan.fuzzy(op4_license.normalise(words)[0]) if s[2] == "licensed under cc by nc 4 0"]
         assert len(spans) == words.count("cc by nc") and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_lm_frequent_tokens_have_their_own_symbols():
+    top = [(b"t%d" % i, 1000 - i) for i in range(512)]
+    buckets: dict = {}
+    for t, c in top:
+        n, v = buckets.get(op8_lm.bucket(t), (0, 0))
+        buckets[op8_lm.bucket(t)] = (n + c, v + 1)
+    vocab = op8_lm.Vocabulary(top, sum(c for _, c in top), len(top), buckets)
+    sym = vocab.symbols([t for t, _ in top])[0]
+    assert len(set(sym.tolist())) == 512 and not set(sym.tolist()) & set(vocab.bucket_symbol.tolist())
