@@ -23,9 +23,11 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one is made only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); only a local session that has none gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="palisade-")
         spark.sparkContext.setCheckpointDir(root)
     return root
