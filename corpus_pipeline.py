@@ -9,8 +9,6 @@ Edge cases are those of the operators; an empty table passes through all stages.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from palisade.llm.op1_decontam import drop_contaminated
@@ -18,7 +16,7 @@ from palisade.llm.op5_langid import keep_identified
 from palisade.llm.op6_simhash import drop_near_duplicates
 from palisade.llm.op9_toxicity import drop_toxic
 from palisade.llm.op10_pieces import encode_stage
-from palisade.session import scratch_dir
+from palisade.session import cut, drop_cut
 
 STAGES = [
     ("toxicity", drop_toxic),
@@ -33,11 +31,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage's rows are written to the shared folder before the next one reads them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """All stages over documents; every stage's rows are written to the shared folder before the next one reads them, and
+    go once that one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop_cut(before)
+        before = docs
     return docs
