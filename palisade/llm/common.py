@@ -5,16 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Characters of text that one step of a task handles at once; bounds the memory of a Python worker.
-STEP_CHARS = 4_000_000
+#: Bytes of text that one step of a task turns into Python strings at once; bounds the memory of a Python worker.
+STEP_BYTES = 2_000_000
 
 
-def slices(texts: list[str], step_chars: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
+def steps(column: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[tuple[int, int, list[str]]]:
+    """(from, to, texts) over an Arrow column of texts (null: empty): about step_bytes a step, at least one text."""
+    ends = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).cumsum(dtype="int64")
+    lo = 0
+    while lo < len(column):
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(ends.searchsorted(before + step_bytes, "right")))
+        yield lo, hi, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+        lo = hi
+
+
+def slices(texts: list[str], step_chars: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about step_chars characters each, at least one text a range."""
     start, size = 0, 0
     for i, t in enumerate(texts):
@@ -30,7 +42,7 @@ def schema_of(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list]], added: str, text: str = "text", keep_text: bool = False) -> DataFrame:
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list]], added: str, text: str = "text", keep_text: bool = False, step_bytes: int = STEP_BYTES) -> DataFrame:
     """df's columns except text, and the added ones (a DDL string), computed from whole texts in Arrow batches.
 
     make() runs once a task and returns a function from a list of texts (null: empty) to the added columns as
@@ -45,11 +57,10 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list]], ad
     def run(batches):
         fn = make()
         for b in batches:
-            texts = [x or "" for x in b.column(text).to_pylist()]
             kept = [b.column(name) for name in names]
-            for lo, hi in slices(texts):
-                cols = fn(texts[lo:hi])
-                made = [pa.array(c, type=arrow.field(len(names) + k).type) for k, c in enumerate(cols[:n])]
+            for lo, hi, texts in steps(b.column(text), step_bytes):
+                cols = fn(texts)
+                made = [c if isinstance(c, pa.Array) else pa.array(c, type=arrow.field(len(names) + k).type) for k, c in enumerate(cols[:n])]
                 yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo).cast(arrow.field(k).type) for k, c in enumerate(kept)] + made, schema=arrow)
 
     return df.select(*names, *([] if keep_text else [text])).mapInArrow(run, out_schema)
@@ -63,6 +74,15 @@ def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list]
     return made.where(keep).select(*[F.col(f"__c{k}").alias(n) for k, n in enumerate(names)])
 
 
+def add_to_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list]], added: str) -> DataFrame:
+    """All rows and columns of docs as they are (null texts stay null), then the added columns; a column of docs that has
+    the name of an added one gives way to it."""
+    names, new = docs.columns, schema_of(added).names
+    plain = docs.toDF(*[f"__c{k}" for k in range(len(names))])
+    made = map_texts(plain, make, added, text=f"__c{names.index('text')}", keep_text=True)
+    return made.select(*[F.col(f"__c{k}").alias(n) for k, n in enumerate(names) if n not in new], *new)
+
+
 def fold(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as text, mod; null ids count as 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

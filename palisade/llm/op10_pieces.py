@@ -4,8 +4,8 @@ The normaliser walks the model's compiled character map by longest prefix and re
 span of the original bytes behind it; escaping of spaces and the dummy prefix are recorded too. The library encodes
 each whole text; every piece lies over a run of the normalised bytes and is projected back to its original byte span.
 
-Edge cases: null text counts as empty and has no pieces; a byte piece of a character covers its own byte; pieces that
-don't cover the normalised text (more than one unknown piece in a model without byte fallback) raise an error;
+Edge cases: null text counts as empty and has no pieces; a byte piece of a character covers its own byte; where several
+unknown pieces (of a model without byte fallback) leave open which bytes are whose, the library's spans are taken;
 repeated rows are encoded alike. Extra columns are ignored by the query and kept by encode().
 """
 
@@ -14,13 +14,13 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import zlib
 
 import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from palisade.llm.common import map_texts
+from palisade.llm.common import add_to_texts, map_texts
 
 MARK = "▁"
 
@@ -172,7 +172,7 @@ class Encoder:
                 size[unk] += len(lo) - end[-1]
                 end = np.cumsum(size)
             else:
-                raise ValueError("pieces don't cover the normalised text")
+                return self._library_spans(text)
         start = end - size
         a, b = lo[start], hi[end - 1]
         byte = self.byte[arr]  # a byte piece is its own byte of the character
@@ -182,10 +182,15 @@ class Encoder:
             b = np.where(byte, a + 1, b)
         return a, b
 
+    def _library_spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        pieces = self.sp.encode(text, out_type="proto").pieces
+        return np.array([p.begin for p in pieces], np.int64), np.array([p.end for p in pieces], np.int64)
+
     def __call__(self, texts: list[str]) -> list:
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[], [], [], [], [], []]
         for t, ids in zip(texts, self.encode(texts)):
             a, b = self.spans(t, ids)
+            cols[5].append(zlib.crc32(np.stack([a, b], axis=1).astype("<u4").tobytes()))
             cols[0].append(len(ids))
             cols[1].append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
             cols[2].append(hashlib.sha256(self.sp.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
@@ -204,13 +209,14 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-#: span_bytes: original bytes under all pieces; last_byte: where the last piece ends in the original.
-ADDED = "n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long, last_byte long"
+#: span_bytes: original bytes under all pieces; last_byte: where the last piece ends in the original; spans_crc32: of all
+#: starts and ends, in turn, as little-endian unsigned 32-bit integers.
+ADDED = "n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long, last_byte long, spans_crc32 long"
 
 
-def digests(docs: DataFrame, path: str, keep_text: bool = False) -> DataFrame:
-    """docs with the digest columns of its pieces."""
-    return map_texts(docs, lambda: encoder(path), ADDED, keep_text=keep_text)
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """docs without text, with the digest columns of its pieces and their spans."""
+    return map_texts(docs, lambda: encoder(path), ADDED)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -239,5 +245,5 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the documents with their digests of pieces."""
-    return digests(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[c for c in ("lang", "source", "n_chars") if c in docs.columns]), _path(), keep_text=True)
+    """Last pipeline stage: all rows and columns (null texts stay null and count as empty), with the digests of their pieces."""
+    return add_to_texts(docs, lambda: encoder(_path()), ADDED)

@@ -5,29 +5,32 @@ text. A window with at most k edits against a text shares at least window - q +
 within a diagonal band of width k: q-gram hits are counted in overlapping bands of 2k + 1 or more diagonals, regions
 that reach the bound are kept, and a banded alignment verifies each and reports its span and edits.
 
-Items are broadcast in blocks of at most BLOCK_BYTES of text, one pass over the documents a block, so a benchmark of
-any size is searched whole with bounded memory.
+Items under MIN_CHARS normalised characters leave the lemma no useful bound; they are found exactly, as whole words.
 
-Edge cases: null and empty texts and items match nothing; items under MIN_CHARS normalised characters are too short
-to be told from chance and match nothing; items with the same text are reported each; repeated rows are searched
-alike; null ids are kept. Extra columns are ignored.
+Items are dealt in blocks of at most BLOCK_BYTES of text, of which each is broadcast and indexed once a worker; there is
+one pass over the documents a block, so a benchmark of any size is searched whole with bounded memory.
+
+Edge cases: null and empty texts and items match nothing; items with the same text are reported each; repeated rows are
+searched alike; null ids are kept. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from palisade.llm.common import filter_texts
+from palisade.llm.common import filter_texts, steps
 
 Q = 10
 WINDOW, STEP = 120, 60
 #: Edits allowed: a share of the window's characters.
 EDIT_RATE = 0.075
 MIN_CHARS = 40
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_000_000
 #: Bits of the table that sorts out q-grams of no item.
 TABLE_BITS = 22
 # A-Z lower-cased; ASCII other than digits and letters separates words.
@@ -69,23 +72,31 @@ class Windows:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.windows: list[tuple[int, int, bytes]] = []  # item, offset, text
+        short: dict[str, list[int]] = {}
         for item, text in items:
             norm = normalise(text or "")
             if len(norm) < MIN_CHARS:
+                if norm:
+                    short.setdefault(norm.decode("utf-8", "surrogatepass"), []).append(item)
                 continue
             last = max(0, len(norm) - WINDOW)
             for off in sorted({*range(0, last + 1, STEP), last}):
                 self.windows.append((item, off, norm[off:off + WINDOW]))
+        self.short = ahocorasick.Automaton() if short else None
+        for norm, owners in short.items():
+            self.short.add_word(f" {norm} ", (len(norm), owners))
+        if short:
+            self.short.make_automaton()
         hashes, owner, place = [], [], []
         for k, (_, _, w) in enumerate(self.windows):
             h = gram_hashes(w)
             hashes.append(h)
-            owner.append(np.full(len(h), k, np.int64))
-            place.append(np.arange(len(h), dtype=np.int64))
+            owner.append(np.full(len(h), k, np.int32))
+            place.append(np.arange(len(h), dtype=np.uint8))
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         h = cat(hashes, np.uint64)
         order = np.argsort(h, kind="stable")
-        self.hashes, self.owner, self.place = h[order], cat(owner, np.int64)[order], cat(place, np.int64)[order]
+        self.hashes, self.owner, self.place = h[order], cat(owner, np.int32)[order], cat(place, np.uint8)[order]
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[(self.hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
         self.budgets = np.array([budget(len(w)) for _, _, w in self.windows], np.int64)
@@ -128,8 +139,21 @@ def align(pattern: bytes, text: bytes, k: int, low: int, high: int) -> tuple[int
 
 
 def find(index: Windows, text: str) -> list[tuple[int, int, int, int]]:
-    """(item, start, end, edits) of every window found in the text, places in normalised bytes."""
+    """(item, start, end, edits) of every window and short item found in the text, places in normalised bytes."""
     data = normalise(text)
+    return sorted({*_windows_in(index, data), *_short_in(index, data)})
+
+
+def _short_in(index: Windows, data: bytes) -> list[tuple[int, int, int, int]]:
+    if index.short is None:
+        return []
+    text = f" {data.decode('utf-8', 'surrogatepass')} "
+    found = [(e - n, n, owners) for e, (n, owners) in index.short.iter(text)]
+    places = [len(text[:at].encode("utf-8", "surrogatepass")) for at, _, _ in found] if not text.isascii() else [at for at, _, _ in found]
+    return [(item, at - 1, at - 1 + len(text[c:c + n].encode("utf-8", "surrogatepass")), 0) for at, (c, n, owners) in zip(places, found) for item in owners]
+
+
+def _windows_in(index: Windows, data: bytes) -> list[tuple[int, int, int, int]]:
     if len(data) < MIN_CHARS - budget(MIN_CHARS) or not index.windows:
         return []
     h = gram_hashes(data)
@@ -151,7 +175,7 @@ def find(index: Windows, text: str) -> list[tuple[int, int, int, int]]:
         return []
     flat = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
     pos, owner = np.repeat(at, count), index.owner[flat]
-    diag = pos - index.place[flat]
+    diag = pos - index.place[flat].astype(np.int64)
     regions: set[tuple[int, int, int]] = set()
     width, bounds = index.budgets[owner] + 1, index.bounds
     for shift in (0, 1):  # overlapping bands: two widths long, one width apart
@@ -176,11 +200,11 @@ def find(index: Windows, text: str) -> list[tuple[int, int, int, int]]:
         got = align(window, data[a:b], e, d - e - a, d2 + e - a)
         if got:
             out.append((item, a + got[1], a + got[2], got[0]))
-    return sorted(set(out))
+    return out
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """Items in blocks of BLOCK_BYTES at most (a longer item is a block of its own); the driver holds one block at a time."""
+def _blocks(benchmark: DataFrame):
+    """Items in blocks of BLOCK_BYTES of text at most (a longer item is a block of its own)."""
     block, size = [], 0
     for r in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         if block and size + len(r["text"]) > BLOCK_BYTES:
@@ -192,21 +216,32 @@ def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
         yield block
 
 
+_INDEX: dict[str, Windows] = {}
+
+
+def _index(ref) -> Windows:
+    """The index of a broadcast block of items, one a worker."""
+    key, items = ref.value
+    if key not in _INDEX:
+        _INDEX.clear()
+        _INDEX[key] = Windows(items)
+    return _INDEX[key]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, start, end, edits (fewest) for every item of which a window is found in a document."""
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, n_windows long, start long, `end` long, edits int"
     for block in _blocks(benchmark):
-        ref = spark.sparkContext.broadcast(Windows(block))
+        ref = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
         def run(batches, ref=ref):
-            index = ref.value
+            index = _index(ref)
             for b in batches:
-                keys, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-                rows = []
-                for key, t in zip(keys, texts):
+                keys, rows = b.column("doc_id"), []
+                for key, t in ((keys[lo + i].as_py(), t) for lo, _, texts in steps(b.column("text")) for i, t in enumerate(texts)):
                     per: dict[int, list] = {}
-                    for item, s, e, k in find(index, t or ""):
+                    for item, s, e, k in find(index, t):
                         per.setdefault(item, []).append((s, e, k))
                     rows += [(key, item, len(v), min(x[0] for x in v), max(x[1] for x in v), min(x[2] for x in v)) for item, v in sorted(per.items())]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
@@ -222,8 +257,9 @@ def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a window of a benchmark item go; the columns of documents stay."""
+    """Pipeline stage: documents that hold a window of a benchmark item, or a short item as whole words, go. Null and empty
+    texts stay, repeated rows fare alike, all columns stay, whatever their names; an empty benchmark drops nothing."""
     for block in _blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
-        ref = spark.sparkContext.broadcast(Windows(block))
-        docs = filter_texts(docs, lambda ref=ref: lambda texts: [[bool(find(ref.value, t)) for t in texts]], "found boolean", "not found")
+        ref = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
+        docs = filter_texts(docs, lambda ref=ref: lambda texts: [[bool(find(_index(ref), t)) for t in texts]], "found boolean", "not found")
     return docs

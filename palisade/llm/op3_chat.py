@@ -2,8 +2,10 @@
 
 For every participant of a conversation (every distinct role) the dialogue is rendered with that speaker as the
 assistant and all others as named users; mask spans mark what the assistant is trained on (its texts with their end
-marks). Conversations beyond PART turns are rendered in parts, which follow one another; no conversation is gathered
-whole in one task.
+marks). A rendering is a sequence of parts of PART turns, with the place of each part's first character in the whole:
+parts joined in order are the whole, and a part's spans moved by its place are the whole's spans, so no conversation
+has to be gathered in one task; whole() gathers them where that is wanted. Turns are numbered by ranges of the sorted
+table, so one long conversation lies in many tasks.
 
 Edge cases: a null role is called `unknown`, a null text is empty, null conversation ids form one conversation; turns
 are ordered by turn, role, text (nulls first); repeated rows are repeated turns; marks within texts are broken up.
@@ -16,16 +18,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palisade.session import cut
+
 PART = 256
 
 
+def numbered(turns: DataFrame) -> DataFrame:
+    """turns (conv_id, turn, role, text) with pos, their place in the conversation from 0: places within the ranges of a
+    sort, and the sums of the ranges before."""
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
+    n = max(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    ranges = cut(turns.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()), "chat-ranges")
+    sizes = ranges.groupBy("conv_id", "__p").agg(F.count("*").alias("n"))  # a row a conversation and range
+    before = F.coalesce(F.sum("n").over(W.partitionBy("conv_id").orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("conv_id").alias("c"), F.col("__p").alias("q"), before.alias("before"))
+    own = ranges.withColumn("own", F.row_number().over(W.partitionBy("conv_id", "__p").orderBy(*order[1:])) - 1)
+    placed = own.join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("__p") == F.col("q")))
+    return placed.select("conv_id", "turn", "role", "text", (F.col("own") + F.col("before")).cast("long").alias("pos"))
+
+
 def rotate(conversations: DataFrame, part: int = PART) -> DataFrame:
-    """conv_id, perspective, part, n_turns, n_masked, text, mask_spans ("start-end" in characters, comma-joined)."""
-    turns = conversations.select(
+    """conv_id, perspective, part, n_turns, n_masked, text, mask_spans ("start-end" in characters of the part,
+    comma-joined), part_start (characters of the whole before the part)."""
+    turns = numbered(conversations.select(
         F.col("conv_id").cast("string").alias("conv_id"), "turn",
-        F.coalesce("role", F.lit("unknown")).alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"))
-    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
-    turns = turns.withColumn("pos", (F.row_number().over(W.partitionBy("conv_id").orderBy(*order)) - 1).cast("long"))
+        F.coalesce("role", F.lit("unknown")).alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text")))
     people = turns.select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
     rows = turns.join(people, F.col("conv_id").eqNullSafe(F.col("c")))
     own = F.col("role") == F.col("perspective")
@@ -40,8 +57,25 @@ def rotate(conversations: DataFrame, part: int = PART) -> DataFrame:
     got = rows.groupBy(*key).agg(
         F.count("*").alias("n_turns"), F.sum("masked").alias("n_masked"),
         F.sort_array(F.collect_list(F.struct("pos", "seg", span.alias("span")))).alias("all"))
-    return got.select(*key, "n_turns", "n_masked", F.array_join(F.transform("all", lambda x: x["seg"]), "").alias("text"),
-                      F.array_join(F.transform("all", lambda x: x["span"]), ",").alias("mask_spans"))
+    got = got.withColumn("text", F.array_join(F.transform("all", lambda x: x["seg"]), ""))
+    sizes = rows.groupBy(*key).agg(F.sum(F.length("seg").cast("long")).alias("size"))
+    ahead = F.coalesce(F.sum("size").over(W.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = sizes.select(F.col("conv_id").alias("c"), F.col("perspective").alias("q"), F.col("part").alias("p"), ahead.alias("part_start"))
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("q")) & (F.col("part") == F.col("p"))
+    return got.join(places, same).select(*key, "n_turns", "n_masked", "text", F.array_join(F.transform("all", lambda x: x["span"]), ",").alias("mask_spans"), "part_start")
+
+
+def whole(parts: DataFrame) -> DataFrame:
+    """One row a conversation and perspective of what rotate() gives: n_turns, n_masked, text, mask_spans of the whole.
+
+    A row is as long as its conversation.
+    """
+    shift = lambda start: lambda s: F.concat_ws("-", *[(F.split(s, "-")[k].cast("long") + start).cast("string") for k in (0, 1)])
+    spans = F.when(F.col("mask_spans") == "", F.array().cast("array<string>")).otherwise(F.split("mask_spans", ","))
+    rows = parts.withColumn("spans", F.transform(spans, shift(F.col("part_start"))))
+    got = rows.groupBy("conv_id", "perspective").agg(F.sum("n_turns").alias("n_turns"), F.sum("n_masked").alias("n_masked"), F.sort_array(F.collect_list(F.struct("part", "text", "spans"))).alias("all"))
+    return got.select("conv_id", "perspective", "n_turns", "n_masked", F.array_join(F.transform("all", lambda x: x["text"]), "").alias("text"),
+                      F.array_join(F.flatten(F.transform("all", lambda x: x["spans"])), ",").alias("mask_spans"))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +97,9 @@ pieces AS (
 ), offsets AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS s
   FROM pieces
-)
-SELECT conv_id, perspective, part, count(*) AS n_turns, CAST(sum(CASE WHEN own THEN 1 ELSE 0 END) AS BIGINT) AS n_masked,
+), parts AS (SELECT conv_id, perspective, part, count(*) AS n_turns, CAST(sum(CASE WHEN own THEN 1 ELSE 0 END) AS BIGINT) AS n_masked,
        string_agg(head || body || chr(10), '' ORDER BY pos) AS text,
        coalesce(string_agg(CASE WHEN own THEN CAST(s AS BIGINT) || '-' || CAST(s + length(body) AS BIGINT) END, ',' ORDER BY pos), '') AS mask_spans
-FROM offsets GROUP BY conv_id, perspective, part
+FROM offsets GROUP BY conv_id, perspective, part)
+SELECT *, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id, perspective ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS part_start FROM parts
 """

@@ -238,11 +238,19 @@ def _scorer(ref) -> Scorer:
 
 
 def _sample(labelled: DataFrame, per_lang: int, more: int) -> DataFrame:
-    """At most per_lang + more rows of each language, by hash of the id, the latter marked __more: ids first, then their texts by a broadcast of the ids."""
-    w = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = labelled.select("doc_id", "lang").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_lang + more)
-    ids = ranked.groupBy("doc_id").agg((F.min("__r") > per_lang).alias("__more"))
-    return labelled.join(F.broadcast(ids), "doc_id")
+    """At most per_lang + more rows of each language, one a doc_id, by hash of the id, the latter marked __more.
+
+    Ids first: from a language's number of ids follows a limit of the hash under which a fifth more than is wanted lies,
+    so that only so many are ranked in one task. Then their texts, joined by id.
+    """
+    ids = labelled.where("doc_id is not null").select("lang", "doc_id").distinct().withColumn("__h", F.xxhash64("doc_id"))
+    want = per_lang + more
+    share = F.least((want * 1.2 + 100) / F.count("*"), F.lit(1.0))
+    limits = ids.groupBy("lang").agg((F.lit(float(-(1 << 63))) + share * float(1 << 64)).alias("__limit"))
+    low = ids.join(limits, "lang").where(F.col("__h").cast("double") <= F.col("__limit"))
+    ranked = low.withColumn("__r", F.row_number().over(W.partitionBy("lang").orderBy("__h", "doc_id"))).where(F.col("__r") <= want)
+    chosen = ranked.select("lang", "doc_id", (F.col("__r") > per_lang).alias("__more"))
+    return labelled.join(chosen, ["lang", "doc_id"]).groupBy("lang", "doc_id", "__more").agg(F.min("text").alias("text"))
 
 
 def train(labelled: DataFrame, order: int = ORDER, per_lang: int = SAMPLE_PER_LANG) -> KneserNey:
@@ -271,7 +279,7 @@ def train(labelled: DataFrame, order: int = ORDER, per_lang: int = SAMPLE_PER_LA
 
     grams = part.where("not __cal").select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {}
-    for r in grams.toLocalIterator():  # bounded by the sample
+    for r in grams.toLocalIterator():  # as many as the sample's languages have
         counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]
     model = KneserNey(list(counts), counts, order)
     if model.langs:
@@ -303,6 +311,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the models reject go; the columns of documents stay."""
+    """Pipeline stage: documents that the models reject go, and so do texts that are null or have no letter. Repeated rows
+    fare alike, all columns stay, whatever their names; without labelled rows no language is known and all go."""
     ref = spark.sparkContext.broadcast((uuid.uuid4().hex, train(training_rows(docs))))
     return filter_texts(docs, lambda: _scorer(ref), "lang_pred string, score double, xent double, rejected boolean", ~F.col("rejected"))
