@@ -4,8 +4,10 @@ Distinct fingerprints are dealt into shards by keys that near ones must share, a
 (children keyed by Hamming distance to the parent) and searched along the edges within the radius; each shard gives
 spanning links only, and components tie them together. Exact copies have one fingerprint and are never paired.
 
-The query's fingerprints have 64 bits and radius 3; four keys of 16 bits each make its search exact (of four blocks
-one is the same in any two fingerprints at 3 bits). The pipeline stage takes five-word shingles and a similarity of
+The query's fingerprints have 64 bits and radius 3; ten keys of 25 bits each, the pairs of five blocks, make its search
+exact (of five blocks two are the same in any two fingerprints at 3 bits) and keep shards small up to billions of
+fingerprints. The trees of a shard go to the tasks that hold its rows; they are not broadcast to all, since all trees
+together grow with the corpus. The pipeline stage takes five-word shingles and a similarity of
 0.8: fingerprints of 256 bits over distinct shingles, with keys of MinHash bands. There a hit of the tree only proposes
 a pair: first components of proposed pairs are built, then pairs within them are linked by the exact Jaccard similarity
 of their distinct shingle hashes.
@@ -22,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from palisade.llm.common import map_texts
 from palisade.llm.components import components
@@ -151,12 +154,14 @@ def _spanning(left: list[int], right: list[int] | None, radius: int, sets: list[
 
 
 def links(prints: DataFrame, keys: Column, radius: int, words: int, tree: int = TREE) -> DataFrame:
-    """Spanning links (u, v) between the ids of prints (id long, w array<long>) within the radius that share a key.
+    """Spanning links (u, v) between the ids of prints (id, w array<long>) within the radius that share a key.
 
     keys: an array of longs a row. Where prints have sets (binary, sorted distinct 64-bit hashes), only similar ones are
     linked. Shards are streams of sorted rows, so a task holds one tree at a time.
     """
     exact = "sets" in prints.columns
+    kind = prints.schema["id"].dataType
+    arrow = to_arrow_type(kind)
     cols = ["id", "w", *(["sets"] if exact else [])]
     rows = prints.select(*cols, F.explode(F.array_distinct(keys)).alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -189,20 +194,20 @@ def links(prints: DataFrame, keys: Column, radius: int, words: int, tree: int =
                 if exact:
                     sets.append(np.frombuffer(h, "<u8"))
                 (left if own_part == p else right).append(v)
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], arrow) for k in (0, 1)], ["u", "v"])
         if shard is not None:
             found = finish()
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], arrow) for k in (0, 1)], ["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long").where("u <> v").distinct()
+    return rows.mapInArrow(run, f"u {kind.simpleString()}, v {kind.simpleString()}").where("u <> v").distinct()
 
 
 def _blocks(fp: Column, radius: int) -> Column:
-    """radius + 1 keys of a 64-bit fingerprint, of which two within the radius share one."""
-    k = radius + 1
+    """Keys of a 64-bit fingerprint, the pairs of radius + 2 blocks, of which two within the radius share one."""
+    k = radius + 2
     cuts = [64 * i // k for i in range(k + 1)]
     part = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:])]
-    return F.array(*[p * k + i for i, p in enumerate(part)])
+    return F.array(*[(F.shiftleft(x, 26) + y) * (k * k) + i * k + j for i, x in enumerate(part) for j, y in enumerate(part) if i < j])
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -225,11 +230,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def stage_prints(text: str) -> tuple[list[int], list[int], bytes]:
-    """Fingerprint words over distinct shingles, the MinHash band keys, and the shingles' sorted hashes."""
+def stage_prints(text: str) -> tuple[str, list[int], list[int], bytes]:
+    """Of the set of distinct shingle hashes: its name (128 bits), fingerprint words, MinHash band keys, and the sorted hashes."""
     h = np.unique(shingle_hashes(text, STAGE_SHINGLE))
+    sets = h.astype("<u8").tobytes()
+    name = xxhash.xxh3_128_hexdigest(sets)
     if not len(h):
-        return [0] * STAGE_WORDS, [0], b""
+        return name, [0] * STAGE_WORDS, [0], sets
     with np.errstate(over="ignore"):
         mixed = [h * np.uint64(_ODD[k]) for k in range(STAGE_WORDS)]
         mixed = [(m ^ (m >> np.uint64(32))) * np.uint64(_ODD[k + 8]) for k, m in enumerate(mixed)]
@@ -237,11 +244,11 @@ def stage_prints(text: str) -> tuple[list[int], list[int], bytes]:
         low = [int((h * np.uint64(_ODD[16 + k])).min()) for k in range(2 * STAGE_BANDS)]
     fp = vote(np.stack(mixed, axis=1))
     keys = [xxhash.xxh64_intdigest(b"%d,%d,%d" % (k, low[2 * k], low[2 * k + 1])) for k in range(STAGE_BANDS)]
-    return [_signed(int(x)) for x in fp], [_signed(k) for k in keys], h.astype("<u8").tobytes()
+    return name, [_signed(int(x)) for x in fp], [_signed(k) for k in keys], sets
 
 
 def _verified(prints: DataFrame) -> DataFrame:
-    """(node, root) of the ids of prints (id, w, bands, sets) that are tied by pairs of similar shingle sets.
+    """(node, root) of the ids of prints (id, w, bands, sets; rows of one id are alike) tied by pairs of similar shingle sets.
 
     Sets are carried only by what some proposed pair touches, once where the proposed component fits a tree; a larger
     component is searched by the bands again.
@@ -252,23 +259,25 @@ def _verified(prints: DataFrame) -> DataFrame:
     nodes = coarse.join(sizes, "root").select(F.col("node").alias("id"), "root", "size")
     own = prints.join(nodes, "id").groupBy("id", "root", "size").agg(F.min("w").alias("w"), F.min("bands").alias("bands"), F.min("sets").alias("sets"))
     own = cut(own, "stage-sets")
-    keys = F.when(F.col("size") <= STAGE_TREE, F.array("root")).otherwise(F.col("bands"))
+    keys = F.when(F.col("size") <= STAGE_TREE, F.array(F.xxhash64("root"))).otherwise(F.col("bands"))
     roots = components(links(own, keys, STAGE_RADIUS, STAGE_WORDS, STAGE_TREE))
     drop_cut(own)
     return roots
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every group of near copies the row of the smallest doc_id stays (of equal ids the smallest text hash)."""
+    """Pipeline stage: of every group of near copies the row of the smallest doc_id stays (of equal ids the smallest text
+    hash, null ids last). Null and texts without words are copies of each other; rows equal in id and text count once;
+    all columns stay, whatever their names."""
     names = docs.columns
     plain = docs.toDF(*[f"__c{k}" for k in range(len(names))])
     doc_id, text = (f"__c{names.index(c)}" for c in ("doc_id", "text"))
     keyed = plain.withColumn("__t", F.xxhash64(F.coalesce(text, F.lit(""))))
 
     def make():
-        return lambda texts: [list(c) for c in zip(*(stage_prints(t) for t in texts))] if texts else [[], [], []]
+        return lambda texts: [list(c) for c in zip(*(stage_prints(t) for t in texts))] if texts else [[], [], [], []]
 
-    whole = cut(map_texts(keyed.select(F.col(doc_id).alias("d"), "__t", F.col(text).alias("text")), make, "w array<long>, bands array<long>, sets binary").withColumn("id", F.xxhash64("w")), "stage-fingerprints")
+    whole = cut(map_texts(keyed.select(F.col(doc_id).alias("d"), "__t", F.col(text).alias("text")), make, "id string, w array<long>, bands array<long>, sets binary"), "stage-fingerprints")
     prints = cut(whole.select("d", "__t", "id"), "stage-ids")
     roots = _verified(whole).withColumnsRenamed({"node": "id"})
     drop_cut(whole)
