@@ -3,14 +3,16 @@
 Texts are encoded in ascending doc_id order and written as segments. A segment is a self-contained binary file image
 (a row of a Parquet table, so that any store takes it and commits are atomic) of whole documents, SEGMENT ids or
 more. Its blocks of 128 ids are stored less their minimum, packed at the width that holds the PERCENTILE of them;
-wider values lie in an exception list; block starts are indexed, so any block can be decoded alone.
+wider values lie in an exception list; block starts are indexed, so any block can be decoded alone, and so are the
+documents' starts and ids, so that an image alone gives back any document.
 
-Layout, little-endian: magic "PFR1", u32 block size, u64 ids, u32 blocks, u64 exceptions; then per block: u64 start of
-the packed words, u32 minimum, u8 width, u64 start of the exceptions (both starts with one more at the end); packed
-u32 words (four lanes of 32 values); exceptions: u8 position, u32 value less the minimum.
+Layout, little-endian: magic "PFR2", u32 block size, u64 ids, u32 blocks, u64 exceptions, u32 documents; u64 start of
+each document (with one more at the end), i64 its id, u8 whether it has one; then u64 start of each block's packed
+words, u32 minimum, u8 width, u64 start of its exceptions (both starts with one more at the end); packed u32 words
+(four lanes of 32 values); exceptions: u8 position, u32 value less the minimum.
 
-Edge cases: null text counts as empty and gives the end id only; null ids sort first; rows of one id are ordered by
-text; empty tables give no rows. Extra columns are ignored.
+Edge cases: null text counts as empty and gives the end id only; null ids sort first; rows of one id are ordered by a
+hash of their text, then by the text; empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import re
 import struct
 import zlib
 from array import array
+from collections.abc import Iterable
 from itertools import islice
 
 import numpy as np
@@ -28,20 +31,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palisade.llm.common import slices
+from palisade.llm.common import steps
 from palisade.session import cut
 
 BLOCK = 128
 SEGMENT = 1 << 20
 PERCENTILE = 0.9
 END_ID = 2
-#: Chunks of text whose ids a worker keeps.
-CACHE = 800_000
-_HEAD = struct.Struct("<4sIQIQ")
-# A word, its punctuation, and perhaps a line feed and another word with its own: each a pre-token whatever stands around it.
-_LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[.,;:!?#$%&*]"
-_GAP = re.compile(r"\s ")
-_SPLIT = re.compile(f"( ?{_LETTER})({_MARK}*)(?:(\n)({_LETTER})({_MARK}*))?")
+#: Pre-tokens whose ids a worker keeps at most, the first it meets (some 160 bytes each; all others are encoded anew).
+CACHE = 250_000
+#: Bytes of text encoded at a time.
+STEP = 1_000_000
+_HEAD = struct.Struct("<4sIQIQI")
+# The model's pre-tokens over characters of which the classes are beyond doubt (ASCII, letters of Latin-1, line feeds).
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_OTHER = re.compile(rf"[^ -~\n{_LETTER}]")
+_PRE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
+# Of any other text: runs that end before a space or line feed which follows no white space.
+_ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+_RUN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -55,8 +63,8 @@ def _lanes(width: int):
         yield 4 * i, bit >> 5, bit & 31, (bit & 31) + width > 32
 
 
-def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
-    """File image of an array of unsigned 32-bit ids."""
+def pack(ids: np.ndarray, starts_of: Iterable[int] = (), doc_ids: Iterable[int | None] = (), percentile: float = PERCENTILE) -> bytes:
+    """File image of an array of unsigned 32-bit ids, and of the starts and ids of its documents."""
     n = len(ids)
     blocks = -(-n // BLOCK)
     full = np.empty(blocks * BLOCK, np.uint32)
@@ -85,16 +93,18 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
                 out[:, word + 1] |= four >> np.uint32(32 - off)
         words[starts[at].astype(np.int64)[:, None] + np.arange(4 * int(w))] = out.reshape(len(at), -1)
     pos = np.nonzero(wide)[1].astype(np.uint8)
-    return b"".join([_HEAD.pack(b"PFR1", BLOCK, n, blocks, len(pos)), starts.tobytes(), low.tobytes(), width.astype(np.uint8).tobytes(), exc.tobytes(), words.tobytes(), pos.tobytes(), v[wide].tobytes()])
+    keys = list(doc_ids)
+    docs = [np.array([*starts_of, n], "<u8"), np.array([k or 0 for k in keys], "<i8"), np.array([k is not None for k in keys], np.uint8)]
+    return b"".join([_HEAD.pack(b"PFR2", BLOCK, n, blocks, len(pos), len(keys)), *[d.tobytes() for d in docs], starts.tobytes(), low.tobytes(), width.astype(np.uint8).tobytes(), exc.tobytes(), words.tobytes(), pos.tobytes(), v[wide].tobytes()])
 
 
 class Image:
     """Reader of a file image."""
 
     def __init__(self, data: bytes):
-        magic, self.block, self.n, blocks, n_exc = _HEAD.unpack_from(data)
-        if magic != b"PFR1":
-            raise ValueError("not a PFR1 image")
+        magic, self.block, self.n, blocks, n_exc, docs = _HEAD.unpack_from(data)
+        if magic != b"PFR2":
+            raise ValueError("not a PFR2 image")
         at = _HEAD.size
 
         def take(kind, count):
@@ -103,6 +113,7 @@ class Image:
             at += out.nbytes
             return out
 
+        self.doc_starts, self.doc_ids, self.has_id = take("<u8", docs + 1).astype(np.int64), take("<i8", docs), take("u1", docs)
         self.starts, self.low, self.width = take("<u8", blocks + 1), take("<u4", blocks), take("u1", blocks)
         self.exc = take("<u8", blocks + 1)
         self.words = take("<u4", int(self.starts[-1]))
@@ -134,27 +145,24 @@ class Image:
     def ids(self) -> np.ndarray:
         return self.blocks(0, len(self.low))[:self.n]
 
-
-class _Cache(dict):
-    """Kept chunks, and behind them those of the step at hand."""
-
-    fresh: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.fresh[chunk]
+    def document(self, k: int) -> np.ndarray:
+        """The ids of the k-th document, of whose blocks alone are decoded."""
+        a, b = int(self.doc_starts[k]), int(self.doc_starts[k + 1])
+        first = a // BLOCK
+        return self.blocks(first, -(-b // BLOCK))[a - first * BLOCK:b - first * BLOCK]
 
 
 class Encoder:
-    """Byte-level BPE of whole texts. A space after a character that is no white space starts a new pre-token whatever
-    follows, so texts are cut there; distinct chunks, further cut at plain punctuation, are encoded once by the library
-    and the first CACHE of them kept."""
+    """Byte-level BPE of whole texts. Pre-tokens are encoded each by itself whatever stands around them, so the distinct
+    ones go through the library once and the first CACHE of them are kept. Texts with characters outside _PRE's classes
+    are cut before spaces only; those with a special token's string or other white space go to the library whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache = _Cache()
+        self.cache: dict[str, bytes] = {}
 
     def _library(self, parts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -162,28 +170,24 @@ class Encoder:
             out += [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(parts[lo:lo + 20_000], add_special_tokens=False)]
         return out
 
-    def _chunks(self, text: str) -> list[str]:
-        if text[0] == " " or _GAP.search(text) or any(x in text for x in self.special):
+    def _parts(self, text: str) -> list[str]:
+        if any(x in text for x in self.special):
             return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]]
+        if not _OTHER.search(text):
+            return _PRE.findall(text)
+        return [text] if _ODD_SPACE.search(text) else _RUN.findall(text)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        chunked = [self._chunks(t) if t else [] for t in texts]
-        new = set().union(*chunked).difference(self.cache)
-        split = {c: [p for p in m.groups() if p] for c in new if (m := _SPLIT.fullmatch(c))}
-        units = list({p for c in new for p in split.get(c, (c,))}.difference(self.cache))
-        made = dict(zip(units, self._library(units)))
-        for part in split.values():
-            made.update((p, self.cache[p]) for p in part if p not in made)
-        fresh = {c: b"".join([made[p] for p in split[c]]) if c in split else made[c] for c in new}
+        parts = [self._parts(t) for t in texts]
+        new = list(set().union(*parts).difference(self.cache))
+        fresh = dict(zip(new, self._library(new)))
         room = CACHE - len(self.cache)
-        if room > 0:
-            self.cache.update(islice(((p, made[p]) for p in units), room))
-            self.cache.update(islice(fresh.items(), max(0, CACHE - len(self.cache))))
-        self.cache.fresh = fresh
+        self.cache.update(fresh)
         get = self.cache.__getitem__
-        return [b"".join(map(get, cs)) for cs in chunked]
+        out = [b"".join(map(get, p)) for p in parts]
+        for p in islice(new, max(0, room), None):
+            del self.cache[p]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -199,7 +203,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-SEGMENTS = "pid int, seg int, n_ids long, doc_ids array<long>, doc_lens array<long>, image binary"
+SEGMENTS = "pid int, seg int, n_ids long, image binary"
 
 
 def segments(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SEGMENT) -> DataFrame:
@@ -207,39 +211,39 @@ def segments(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SEGME
     rows = docs.select("doc_id", "text")
     n = max(rows.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism)
     tie = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
+    order = [F.col("doc_id").asc_nulls_first(), tie]
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         enc, pid, seg = encoder(path), TaskContext.get().partitionId(), 0
-        ids, lens, parts, held = [], [], [], 0
+        keys, starts, parts, held = [], [], [], 0
 
         def flush():
             nonlocal seg, held
-            data = pack(np.frombuffer(b"".join(parts), "<u4"))
-            out = pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([seg], pa.int32()), pa.array([held], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["pid", "seg", "n_ids", "doc_ids", "doc_lens", "image"])
-            ids.clear(), lens.clear(), parts.clear()
+            data = pack(np.frombuffer(b"".join(parts), "<u4"), starts, keys)
+            out = pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([seg], pa.int32()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["pid", "seg", "n_ids", "image"])
+            keys.clear(), starts.clear(), parts.clear()
             seg, held = seg + 1, 0
             return out
 
         for b in batches:
-            keys, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-            for lo, hi in slices(texts):
-                for key, enc_ids in zip(keys[lo:hi], enc(texts[lo:hi])):
-                    ids.append(key)
-                    lens.append(len(enc_ids) // 4 + 1)
-                    parts.append(enc_ids + end)
-                    held += lens[-1]
+            for lo, hi, texts in steps(b.column("text"), STEP):
+                for key, ids in zip(b.column("doc_id").slice(lo, hi - lo).to_pylist(), enc(texts)):
+                    keys.append(key)
+                    starts.append(held)
+                    parts.append(ids + end)
+                    held += len(ids) // 4 + 1
                     if held >= size:
                         yield flush()
-        if ids:
+        if keys:
             yield flush()
 
     return rows.mapInArrow(run, SEGMENTS)
 
 
 def documents_of(segs: DataFrame) -> DataFrame:
-    """Per document of written segments: doc_id, start, n_tokens, ids_crc32 and its segment, from the decoded ids."""
+    """Per document of written segments: doc_id, start, n_tokens, ids_crc32 and its segment, from the images alone."""
     spark = segs.sparkSession
     sizes = segs.select("pid", "seg", "n_ids")
     totals = sorted((r["pid"], r["n"]) for r in sizes.groupBy("pid").agg(F.sum("n_ids").alias("n")).collect())  # one row a task that wrote
@@ -251,13 +255,11 @@ def documents_of(segs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
-                row = b.slice(r, 1)
-                ids = Image(row.column("image")[0].as_py()).ids().astype("<u4", copy=False)
-                lens = np.array(row.column("doc_lens")[0].as_py(), np.int64)
-                end = np.cumsum(lens)
-                crc = [zlib.crc32(ids[e - n:e].tobytes()) for e, n in zip(end.tolist(), lens.tolist())]
-                k = len(lens)
-                yield pa.RecordBatch.from_arrays([pa.array([row.column(c)[0].as_py()] * k, pa.int32()) for c in ("pid", "seg")] + [pa.array(row.column("doc_ids")[0].as_py(), pa.int64()), pa.array(end - lens, pa.int64()), pa.array(lens, pa.int64()), pa.array(crc, pa.int64())], ["pid", "seg", "doc_id", "local", "n_tokens", "ids_crc32"])
+                image = Image(b.column("image")[r].as_py())
+                ids, at = image.ids().astype("<u4", copy=False), image.doc_starts
+                crc = [zlib.crc32(ids[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+                k = len(crc)
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(c)[r].as_py()] * k, pa.int32()) for c in ("pid", "seg")] + [pa.array(image.doc_ids, mask=image.has_id == 0), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["pid", "seg", "doc_id", "local", "n_tokens", "ids_crc32"])
 
     rows = segs.mapInArrow(run, "pid int, seg int, doc_id long, local long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["pid", "seg"]).select("doc_id", (F.col("seg_start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "pid", "seg")
