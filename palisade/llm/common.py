@@ -26,18 +26,6 @@ def steps(column: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def slices(texts: list[str], step_chars: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about step_chars characters each, at least one text a range."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= step_chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def schema_of(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
 

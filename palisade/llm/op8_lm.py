@@ -1,6 +1,7 @@
 """Scoring by a gated recurrent language model with a class-factored softmax.
 
-Counts of all training tokens are summed by Spark. The most frequent tokens are symbols of their own; any other token
+Counts of all training tokens are summed by Spark. Texts are then read once more and become symbols, which are written
+for the passes of training and scoring. The most frequent tokens are symbols of their own; any other token
 belongs to a bucket symbol by its ending, and its probability is the bucket's times its smoothed share of the
 bucket's counts, so every text has a proper log-probability. A GRU predicts symbols: class first, then symbol within
 the class. It is trained in numpy by truncated backpropagation on all training documents, in rounds: every task
@@ -24,10 +25,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import fold, slices
+from palisade.llm.common import fold, schema_of, steps
 from palisade.session import cut
 
 HIDDEN, CLASSES, PER_CLASS, BUCKETS = 16, 24, 24, 64
@@ -36,6 +37,8 @@ TOP = 131_072
 #: Training: parts (of 16) of the documents in each round, together all; segment, truncation and batch lengths; step size.
 ROUNDS = (1, 1, 2, 4, 8)
 SEGMENT, TRUNCATE, BATCH, RATE = 512, 16, 448, 0.08
+#: Bytes of symbols whose documents are trained on or scored side by side; symbols whose states are held at once in scoring.
+SIDE_BYTES, WINDOW = 4_000_000, 32_768
 SMOOTH = 0.1
 END = b""
 _PUNCT = b".,;:!?\"'()[]"
@@ -48,7 +51,7 @@ def tokens(text: str) -> list[bytes]:
 
 
 def bucket(token: bytes) -> int:
-    """The bucket of a token that is no symbol of its own: by its last two letters."""
+    """The bucket of a token that is no symbol of its own: by its last three bytes, punctuation aside."""
     return zlib.crc32(token.rstrip(_PUNCT)[-3:]) % BUCKETS
 
 
@@ -101,6 +104,27 @@ class Vocabulary:
         return sym, at, buckets
 
 
+class Packed:
+    """Symbols of sequences step by step, without padding: longest sequence first, so that those still going at a step
+    are the first ones. start: where each step's symbols begin; before: the symbol before each; owner: its sequence."""
+
+    def __init__(self, docs: list[np.ndarray], start: int):
+        lens = np.fromiter(map(len, docs), np.int64, len(docs))
+        self.order = np.argsort(-lens, kind="stable")
+        lens = lens[self.order]
+        self.steps = int(lens[0]) if len(lens) else 0
+        live = len(lens) - np.cumsum(np.bincount(lens, minlength=self.steps + 1))[:-1]
+        self.start = np.concatenate([[0], np.cumsum(live)])
+        flat = np.concatenate([docs[i] for i in self.order]).astype(np.int64) if len(docs) else np.zeros(0, np.int64)
+        first = np.cumsum(lens) - lens
+        owner = np.repeat(np.arange(len(lens)), lens)
+        at = self.start[np.arange(len(flat)) - first[owner]] + owner
+        shifted = np.concatenate([[start], flat[:-1]])[:len(flat)]
+        shifted[first[lens > 0]] = start
+        self.symbols, self.before, self.owner = (np.empty(len(flat), np.int64) for _ in range(3))
+        self.symbols[at], self.before[at], self.owner[at] = flat, shifted, owner
+
+
 class GRU:
     """Parameters in one flat array: input projections by symbol, recurrence, class and symbol outputs."""
 
@@ -126,14 +150,32 @@ class GRU:
         p["bw"][:] = np.log(f / f.sum(axis=1, keepdims=True))
         return flat
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple:
-        """One time step: input projections, state before; returns the state after and what backpropagation needs."""
-        k = HIDDEN
-        hp = h @ self.parts["h"]
-        zr = 1 / (1 + np.exp(-(x[:, :2 * k] + hp[:, :2 * k])))
-        z, r, hn = zr[:, :k], zr[:, k:], hp[:, 2 * k:]
-        n = np.tanh(x[:, 2 * k:] + r * hn)
-        return n + z * (h - n), z, r, hn, n
+    def run(self, packed: Packed, first: int, last: int, h: np.ndarray, kept: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """States of the steps first to last, and the state after them; kept: arrays for what backpropagation needs."""
+        k, at = HIDDEN, packed.start
+        base = at[first]
+        x = self.parts["x"][packed.before[base:at[last]]]
+        states = np.empty((len(x), k), np.float32)
+        for t in range(first, last):
+            a, b = at[t] - base, at[t + 1] - base
+            h = h[:b - a]
+            hp = h @ self.parts["h"]
+            zr = x[a:b, :2 * k] + hp[:, :2 * k]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            hn = hp[:, 2 * k:]
+            n = zr[:, k:] * hn
+            n += x[a:b, 2 * k:]
+            np.tanh(n, out=n)
+            if kept is not None:
+                kept[0][a:b], kept[1][a:b], kept[2][a:b], kept[3][a:b] = zr, hn, n, h
+            h = h - n
+            h *= zr[:, :k]
+            h += n
+            states[a:b] = h
+        return states, h
 
     def outputs(self, hs: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probability of the targets; with grads, adds to them and returns the states' gradient too."""
@@ -185,94 +227,69 @@ class GRU:
 
     def score(self, docs: list[np.ndarray], start: int) -> np.ndarray:
         """Natural log-probability of each document's symbols; states run through whole documents, longest first."""
+        packed = Packed(docs, start)
         out = np.zeros(len(docs))
-        lens = np.array([len(d) for d in docs])
-        order = np.argsort(-lens, kind="stable")
-        active = np.flatnonzero(lens[order] > 0).size
-        h, prev, t = np.zeros((active, HIDDEN), np.float32), np.full(active, start), 0
-        longest = lens[order]
-        while active:
-            steps = int(min(512, max(1, 32_768 // active), longest[0] - t))
-            grid = np.zeros((active, steps), np.int64)
-            n = np.minimum(longest[:active] - t, steps)
-            for i in range(active):
-                grid[i, :n[i]] = docs[order[i]][t:t + n[i]]
-            states = np.zeros((steps, active, HIDDEN), np.float32)
-            for s in range(steps):
-                live = int(np.searchsorted(-n, -s, "left"))  # documents still going at this step
-                h[:live] = self.step(self.parts["x"][prev[:live]], h[:live])[0]
-                states[s, :live] = h[:live]
-                prev[:live] = grid[:live, s]
-            ok = np.arange(steps)[None, :] < n[:, None]
-            lp, _ = self.outputs(states.transpose(1, 0, 2)[ok], grid[ok])
-            out[order[:active]] += np.bincount(np.nonzero(ok)[0], weights=lp, minlength=active)
-            t += steps
-            active = int(np.searchsorted(-longest[:active], -t, "left"))
-            h, prev = h[:active], prev[:active]
-        return out
+        h, t = np.zeros((len(docs), HIDDEN), np.float32), 0
+        while t < packed.steps:
+            last = max(t + 1, int(np.searchsorted(packed.start, packed.start[t] + WINDOW, "right")) - 1)
+            states, h = self.run(packed, t, last, h)
+            part = slice(packed.start[t], packed.start[last])
+            lp, _ = self.outputs(states, packed.symbols[part])
+            out += np.bincount(packed.owner[part], weights=lp, minlength=len(docs))
+            t = last
+        got = np.empty_like(out)
+        got[packed.order] = out
+        return got
+
+    def gradient(self, packed: Packed, first: int, last: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient of the mean loss of the steps first to last (the state before them fixed), and the state after."""
+        k, p, at = HIDDEN, self.parts, packed.start
+        base, rows = at[first], int(at[last] - at[first])
+        zr, hn, n, past = kept = tuple(np.empty((rows, w), np.float32) for w in (2 * k, k, k, k))
+        states, after = self.run(packed, first, last, h, kept)
+        g = GRU(np.zeros(self.size, np.float32))
+        _, dh = self.outputs(states, packed.symbols[base:at[last]], g.parts)
+        z, r = zr[:, :k], zr[:, k:]
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (past - n) * z * (1 - z)
+        to_r = hn * r * (1 - r)
+        dx, dhp = np.empty((rows, 3 * k), np.float32), np.empty((rows, 3 * k), np.float32)
+        back = np.ascontiguousarray(p["h"].T)
+        carry = np.zeros((0, k), np.float32)
+        for t in range(last - 1, first - 1, -1):
+            a, b = at[t] - base, at[t + 1] - base
+            d = dh[a:b]
+            d[:len(carry)] += carry
+            x, y = dx[a:b], dhp[a:b]
+            np.multiply(d, to_n[a:b], out=x[:, 2 * k:])
+            np.multiply(d, to_z[a:b], out=x[:, :k])
+            np.multiply(x[:, 2 * k:], to_r[a:b], out=x[:, k:2 * k])
+            y[:, :2 * k] = x[:, :2 * k]
+            np.multiply(x[:, 2 * k:], r[a:b], out=y[:, 2 * k:])
+            carry = y @ back
+            carry += d * z[a:b]
+        g.parts["h"] += past.T @ dhp
+        ids = packed.before[base:at[last]]
+        by = np.argsort(ids.astype(np.int16), kind="stable")
+        ids = ids[by]
+        edge = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        g.parts["x"][ids[edge]] += np.add.reduceat(dx[by], edge, axis=0)
+        g.flat /= rows
+        return g.flat, after
 
     def train(self, segments: list[np.ndarray], start: int, rate: float = RATE) -> None:
         """One pass of truncated backpropagation over segments, in batches of like length; Adagrad steps."""
-        p = self.parts
         memory = np.full(self.size, 1e-2, np.float32)
         order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
         batches = [order[i:i + BATCH] for i in range(0, len(order), BATCH)]
         np.random.default_rng(5).shuffle(batches)
         for batch in batches:
-            segs = sorted((segments[i] for i in batch), key=len, reverse=True)
-            longest = np.array([len(s) for s in segs])
-            h, prev = np.zeros((len(segs), HIDDEN), np.float32), np.full(len(segs), start)
-            for t in range(0, int(longest[0]), TRUNCATE):
-                live = int(np.searchsorted(-longest, -t, "left"))
-                h, prev = h[:live], prev[:live]
-                steps = int(min(TRUNCATE, longest[0] - t))
-                grid = np.zeros((live, steps), np.int64)
-                for i in range(live):
-                    part = segs[i][t:t + steps]
-                    grid[i, :len(part)] = part
-                ok = np.arange(steps)[None, :] < (longest[:live] - t)[:, None]
-                inputs = np.concatenate([prev[:, None], grid[:, :-1]], axis=1)
-                kept, before, states = [], [], np.empty((steps, live, HIDDEN), np.float32)
-                for s in range(steps):
-                    before.append(h)
-                    h, *rest = self.step(p["x"][inputs[:, s]], h)
-                    kept.append(rest)
-                    states[s] = h
-                g = GRU(np.zeros(self.size, np.float32))
-                flat_ok = ok.T.ravel()
-                hs = states.reshape(-1, HIDDEN)
-                _, dh_ok = self.outputs(hs[flat_ok], grid.T.ravel()[flat_ok], g.parts)
-                dstates = np.zeros_like(hs)
-                dstates[flat_ok] = dh_ok
-                dstates = dstates.reshape(steps, live, HIDDEN)
-                z, r, hn, n = (np.stack([x[i] for x in kept]) for i in range(4))
-                past = np.stack(before)
-                to_n = (1 - z) * (1 - n * n)
-                to_z = (past - n) * z * (1 - z)
-                to_r = hn * r * (1 - r)
-                dx = np.empty((steps, live, 3 * HIDDEN), np.float32)
-                dhp = np.empty_like(dx)
-                carry = np.zeros((live, HIDDEN), np.float32)
-                k = HIDDEN
-                for s in range(steps - 1, -1, -1):
-                    d = dstates[s] + carry
-                    x, y = dx[s], dhp[s]
-                    np.multiply(d, to_n[s], out=x[:, 2 * k:])
-                    np.multiply(d, to_z[s], out=x[:, :k])
-                    np.multiply(x[:, 2 * k:], to_r[s], out=x[:, k:2 * k])
-                    y[:, :2 * k] = x[:, :2 * k]
-                    np.multiply(x[:, 2 * k:], r[s], out=y[:, 2 * k:])
-                    carry = d * z[s]
-                    carry += y @ p["h"].T
-                g.parts["h"] += past.reshape(-1, k).T @ dhp.reshape(-1, 3 * k)
-                ids = inputs.T.ravel()
-                by = np.argsort(ids.astype(np.int16), kind="stable")
-                first = np.flatnonzero(np.append(True, ids[by][1:] != ids[by][:-1]))
-                g.parts["x"][ids[by][first]] += np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[by], first, axis=0)
-                grad = g.flat / max(1, int(flat_ok.sum()))
+            packed = Packed([segments[i] for i in batch], start)
+            h = np.zeros((len(batch), HIDDEN), np.float32)
+            for t in range(0, packed.steps, TRUNCATE):
+                grad, h = self.gradient(packed, t, min(t + TRUNCATE, packed.steps), h)
                 memory += grad * grad * 1e3
                 self.flat -= rate * grad / np.sqrt(memory) * np.float32(30 ** 0.5)
-                prev = grid[:, -1]
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -285,9 +302,8 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
         c: Counter = Counter()
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for lo, hi in slices(texts):
-                for t in texts[lo:hi]:
+            for _, _, texts in steps(b.column("text")):
+                for t in texts:
                     c.update(tokens(t))
                 if len(c) > _FLUSH:
                     yield rows(c)
@@ -325,30 +341,55 @@ def _average(parts: DataFrame) -> DataFrame:
     return parts.groupBy("block", "salt").applyInPandas(mean, schema).groupBy("block").applyInPandas(mean, schema)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, rounds: tuple[int, ...] = ROUNDS) -> np.ndarray:
-    """Weights after one pass over all of docs (doc_id, text), dealt to rounds by hash."""
-    spark = docs.sparkSession
+ENCODED = "rid long, doc_id long, training boolean, place int, n_tokens long, known long, base double, lm double, rare array<binary>, rare_n array<int>, symbols binary"
+
+
+def encode(docs: DataFrame, vocab: Vocabulary, training: Column) -> DataFrame:
+    """docs (doc_id, text) as symbols: what scoring needs of the counts, the tokens beyond the broadcast ones, and a
+    place in training by a hash of id and text."""
+    ref = docs.sparkSession.sparkContext.broadcast(vocab)
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(sum(ROUNDS))).cast("int")
+    names = schema_of(ENCODED).names
+
+    def run(batches):
+        v, pid, row = ref.value, TaskContext.get().partitionId(), 0
+        for b in batches:
+            for lo, hi, texts in steps(b.column("text")):
+                made: list[list] = [[] for _ in range(7)]
+                for t in texts:
+                    words = tokens(t)
+                    sym, at, buckets = v.symbols(words)
+                    known = at >= 0
+                    rare = Counter(words[i] for i in np.flatnonzero(~known))
+                    base = v.base[at[known]].sum() - len(buckets) * v.base_den
+                    lm = v.share[at[known]].sum() - (v.rare_den[buckets].sum() if buckets else 0.0)
+                    for c, x in zip(made, (len(words), int(known.sum()), base, lm, list(rare), list(rare.values()), sym.astype("<u2").tobytes())):
+                        c.append(x)
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary())
+                rid = pa.array(range((pid << 33) + row, (pid << 33) + row + hi - lo), pa.int64())
+                row += hi - lo
+                yield pa.RecordBatch.from_arrays([rid, *[b.column(c).slice(lo, hi - lo) for c in ("doc_id", "training", "place")], *[pa.array(c, k) for c, k in zip(made, kinds)]], names)
+
+    return docs.select("doc_id", "text", training.alias("training"), place.alias("place")).mapInArrow(run, ENCODED)
+
+
+def train(encoded: DataFrame, vocab: Vocabulary, rounds: tuple[int, ...] = ROUNDS) -> np.ndarray:
+    """Weights after one pass over all encoded training documents, dealt to rounds by their places."""
+    spark = encoded.sparkSession
     flat = GRU.initial(vocab.freq)
-    whole, at = sum(rounds), 0
-    ref_v = spark.sparkContext.broadcast(vocab)
-    block = 8192
+    at, end, block = 0, vocab.end, 8192
     for share in rounds:
         ref = spark.sparkContext.broadcast(flat)
-        place = F.pmod(F.xxhash64("doc_id"), F.lit(whole))
-        part = docs.where((place >= at) & (place < at + share)).select("text")
+        part = encoded.where(F.col("training") & (F.col("place") >= at) & (F.col("place") < at + share)).select("symbols")
         at += share
 
         def run(batches, ref=ref):
-            v, model, seen = ref_v.value, GRU(ref.value.copy()), 0
+            model, seen = GRU(ref.value.copy()), 0
             for b in batches:
-                texts = [t or "" for t in b.column("text").to_pylist()]
-                for lo, hi in slices(texts, 12_000_000):
-                    segs = []
-                    for t in texts[lo:hi]:
-                        s = v.symbols(tokens(t))[0]
-                        seen += len(s)
-                        segs += [s[i:i + SEGMENT] for i in range(0, len(s), SEGMENT)]
-                    model.train(segs, v.end)
+                for _, _, docs in steps(b.column("symbols"), SIDE_BYTES):
+                    syms = [np.frombuffer(d, "<u2") for d in docs]
+                    seen += sum(map(len, syms))
+                    model.train([s[i:i + SEGMENT] for s in syms for i in range(0, len(s), SEGMENT)], end)
             if seen:
                 pid = TaskContext.get().partitionId()
                 cuts = list(range(0, len(model.flat), block))
@@ -361,50 +402,33 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: tuple[int, ...] = ROUNDS)
     return flat
 
 
-def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, flat: np.ndarray) -> DataFrame:
-    """docs (doc_id, text) scored: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
-    ref = docs.sparkSession.sparkContext.broadcast((vocab, flat))
+def score(encoded: DataFrame, counts: DataFrame, vocab: Vocabulary, flat: np.ndarray) -> DataFrame:
+    """Encoded documents scored: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+    ref, end = encoded.sparkSession.sparkContext.broadcast(flat), vocab.end
+    cols = ["rid", "doc_id", "n_tokens", "known", "base", "lm"]
 
     def run(batches):
-        v, weights = ref.value
-        model, pid, row = GRU(weights), TaskContext.get().partitionId(), 0
-        ln10 = math.log(10)
-        names = ["rid", "doc_id", "n_tokens", "known", "base", "lm", "rare", "rare_n"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+        model = GRU(ref.value)
         for b in batches:
-            keys, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-            for lo, hi in slices(texts, 12_000_000):
-                cols: list[list] = [[] for _ in names]
-                syms = []
-                for key, t in zip(keys[lo:hi], texts[lo:hi]):
-                    words = tokens(t)
-                    sym, at, buckets = v.symbols(words)
-                    known = at >= 0
-                    rare = Counter(words[i] for i in np.flatnonzero(~known))
-                    base = v.base[at[known]].sum() - len(buckets) * v.base_den
-                    lm = v.share[at[known]].sum() - (v.rare_den[buckets].sum() if buckets else 0.0)
-                    syms.append(sym)
-                    for c, x in zip(cols, ((pid << 33) + row, key, len(words), int(known.sum()), base, lm, list(rare), list(rare.values()))):
-                        c.append(x)
-                    row += 1
-                cols[5] = (np.array(cols[5]) + model.score(syms, v.end) / ln10).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+            for lo, hi, docs in steps(b.column("symbols"), SIDE_BYTES):
+                got = model.score([np.frombuffer(d, "<u2") for d in docs], end) / math.log(10)
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in cols], pa.array(got)], [*cols, "gru"])
 
-    done = cut(docs.select("doc_id", "text").mapInArrow(run, "rid long, doc_id long, n_tokens long, known long, base double, lm double, rare array<binary>, rare_n array<int>"), "lm-scores")
-    rare = done.select("rid", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("rid", F.col("r.rare").alias("token"), F.col("r.rare_n").alias("k"))
+    done = encoded.select(*cols, "symbols").mapInArrow(run, "rid long, doc_id long, n_tokens long, known long, base double, lm double, gru double")
+    rare = encoded.select("rid", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("rid", F.col("r.rare").alias("token"), F.col("r.rare_n").alias("k"))
     c = F.coalesce("n", F.lit(0))
     sums = rare.join(counts.select("token", "n"), "token", "left").groupBy("rid").agg(
         F.sum(F.col("k") * F.log10(c + SMOOTH)).alias("s"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("rare_known"))
-    out = done.drop("rare", "rare_n").join(sums, "rid", "left")
     s = F.coalesce("s", F.lit(0.0))
-    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(vocab.total).cast("long").alias("train_tokens"),
-                      (F.col("base") + s).alias("base_score"), (F.col("lm") + s).alias("score"))
+    return done.join(sums, "rid", "left").select(
+        "doc_id", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(vocab.total).cast("long").alias("train_tokens"),
+        (F.col("base") + s).alias("base_score"), (F.col("lm") + F.col("gru") + s).alias("score"))
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    training = docs.where(fold("doc_id", 10) != 0)
-    counts = cut(count_tokens(training), "lm-counts")
+    counts = cut(count_tokens(docs.where(fold("doc_id", 10) != 0)), "lm-counts")
     vocab = vocabulary(counts)
-    got = score(docs, counts, vocab, train(training, vocab))
+    encoded = cut(encode(docs, vocab, fold("doc_id", 10) != 0), "lm-symbols")
+    got = score(encoded, counts, vocab, train(encoded, vocab))
     return got.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
