@@ -1,11 +1,15 @@
-"""Column functions over nucleotide and protein sequences; all stay inside the JVM."""
+"""Column functions over nucleotide and protein sequences; all stay inside the JVM but translation, which is a table
+lookup over the bytes of an Arrow batch."""
 
 from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The standard genetic code, codons in TCAG order.
 AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -51,18 +55,62 @@ def codons(seq: str | Column, frame: int = 0) -> Column:
     return F.regexp_extract_all(F.substr(col(seq), F.lit(frame + 1)), F.lit("(...)"), F.lit(1))
 
 
-def codon_map() -> Column:
-    return F.create_map(*[F.lit(x) for kv in CODONS.items() for x in kv])
+_CODE = np.full(256, 4, np.uint8)
+_CODE[np.frombuffer(b"TCAG", np.uint8)] = range(4)
+_AMINO = np.frombuffer(AMINO.encode(), np.uint8)
+_PAIR = np.full(256, ord("N"), np.uint8)
+_PAIR[np.frombuffer(b"ACGTacgt", np.uint8)] = np.frombuffer(b"TGCATGCA", np.uint8)
 
 
-def translate_codons(codon_array: Column) -> Column:
-    """Protein of an array of codons, stops kept as *, unknown codons X."""
-    table = codon_map()
-    return F.array_join(F.transform(codon_array, lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
+def residues(seqs: np.ndarray) -> np.ndarray:
+    """The residue of the codon from each byte of a buffer on: stops *, codons with anything but A, C, G, T as X."""
+    code = _CODE[seqs]
+    if len(code) < 3:
+        return np.zeros(0, np.uint8)
+    a, b, c = code[:-2], code[1:-1], code[2:]
+    out = _AMINO[((a << 4) | (b << 2) | c) & 63]
+    out[((a | b | c) & 4) > 0] = ord("X")
+    return out
+
+
+def _proteins(seqs: pd.Series, frames: list[tuple[str, int]]) -> list[list[str | None]]:
+    """Proteins of all sequences of a batch in each (strand, frame)."""
+    whole = [None if x is None else x.encode("latin-1", "replace") for x in seqs]
+    data = np.frombuffer(b"".join(x or b"" for x in whole), np.uint8)
+    end = np.cumsum([len(x or b"") for x in whole])
+    out = []
+    for strand, frame in frames:
+        aa = residues(data if strand == "+" else _PAIR[data[::-1]])
+        rows = []
+        for x, e in zip(whole, end.tolist()):
+            at = e - len(x or b"") if strand == "+" else len(data) - e
+            rows.append(None if x is None else aa[at + frame:max(at + frame, at + len(x) - 2):3].tobytes().decode())
+        out.append(rows)
+    return out
+
+
+@F.pandas_udf(T.StringType())
+def _translated(seqs: pd.Series, frame: pd.Series) -> pd.Series:
+    out = pd.Series([None] * len(seqs), dtype=object)
+    for f in frame.unique():
+        at = np.flatnonzero(frame == f)
+        out.iloc[at] = _proteins(seqs.iloc[at], [("+", int(f))])[0]
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _six(seqs: pd.Series) -> pd.Series:
+    return pd.Series(list(map(list, zip(*_proteins(seqs, [(s, f) for s in "+-" for f in range(3)])))))
 
 
 def translate(seq: str | Column, frame: int = 0) -> Column:
-    return translate_codons(codons(seq, frame))
+    """Protein of a frame, stops kept as *, unknown codons X."""
+    return _translated(col(seq), F.lit(frame))
+
+
+def six_frames(seq: str | Column) -> Column:
+    """Proteins of the frames 0, 1, 2 of the sequence, then of its reverse complement."""
+    return _six(col(seq))
 
 
 def until_stop(protein: str | Column) -> Column:

@@ -1,12 +1,20 @@
-"""Damage annotation of alignments from their aligned strings, and the decomposed Bayesian score."""
+"""Damage annotation of alignments from their aligned strings, and the decomposed Bayesian score.
+
+An alignment is annotated from its own row, so nothing is shuffled: the aligned columns of an Arrow batch lie in flat
+arrays, classes and hazards come from lookup tables, and sums are taken by row.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from palisade.functions.sequence import bases
 from palisade.functions.stats import clamp, inv_logit, logit
 
 # Residue substitutions that damage can cause (target, query, class, 1 for high confidence).
@@ -23,68 +31,136 @@ def _classes(kind: str) -> list[str]:
     return sorted({t for t, _, c, _ in SUBSTITUTIONS if c == kind})
 
 
-def columns(aln: DataFrame, key: list[str]) -> DataFrame:
-    """One row an aligned column of both residues: key, q and t (residues), qpos and tpos (from 0), qlen, reverse.
-
-    aln: key columns, qaln, taln, qstart and tstart (from 1), qlen, reverse (boolean)."""
-    pair = F.zip_with(bases("qaln"), bases("taln"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    rows = aln.select(*key, "qstart", "tstart", "qlen", "reverse", F.posexplode(pair).alias("i", "x"))
-    w = W.partitionBy(*key).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    q, t = F.col("x.a"), F.col("x.b")
-    before = lambda c: F.coalesce(F.sum((c != "-").cast("int")).over(w), F.lit(0))
-    rows = rows.select(*key, "qlen", "reverse", q.alias("q"), t.alias("t"), (F.col("qstart") - 1 + before(q)).alias("qpos"), (F.col("tstart") - 1 + before(t)).alias("tpos"))
-    return rows.where("q <> '-' and t <> '-'")
-
-
-def sites(cols: DataFrame, d_max: float, rate: float) -> DataFrame:
-    """Adds opportunity classes, distances in nucleotides, hazards, and the damage class of a substitution (null: none)."""
-    five = 3 * F.col("qpos")
-    three = F.when(F.col("qpos") < F.col("qlen"), 3 * (F.col("qlen") - 1 - F.col("qpos"))).otherwise(0)
-    out = cols.withColumn("d5", F.when(F.col("reverse"), three).otherwise(five)).withColumn("d3", F.when(F.col("reverse"), five).otherwise(three))
-    out = out.withColumn("c_opp", F.col("t").isin(_classes("C"))).withColumn("g_opp", F.col("t").isin(_classes("G")))
-    e5, e3 = F.exp(-rate * F.col("d5")), F.exp(-rate * F.col("d3"))
-    out = out.withColumn("decay_c", F.when(F.col("c_opp"), e5).otherwise(0.0)).withColumn("decay_g", F.when(F.col("g_opp"), e3).otherwise(0.0))
-    table = F.create_map(*[F.lit(x) for t, q, c, h in SUBSTITUTIONS for x in (t + q, f"{c}{h}")])
-    hit = F.try_element_at(table, F.concat("t", "q"))
-    out = out.withColumn("damage_class", F.substr(hit, F.lit(1), F.lit(1))).withColumn("high", F.substr(hit, F.lit(2), F.lit(1)) == "1")
-    return out.withColumn("p_damage", F.when(F.col("damage_class") == "C", d_max * e5).when(F.col("damage_class") == "G", d_max * e3))
-
-
-def within(site_rows: DataFrame, max_dist: int | None) -> DataFrame:
-    """Sites farther from their end than max_dist are no sites any more; mismatches and opportunities stay."""
-    if max_dist is None:
-        return site_rows
-    far = F.when(F.col("damage_class") == "C", F.col("d5")).when(F.col("damage_class") == "G", F.col("d3")) > max_dist
-    for c in ("damage_class", "high", "p_damage"):
-        site_rows = site_rows.withColumn(f"__{c}", F.when(far, F.lit(None)).otherwise(F.col(c)))
-    return site_rows.drop("damage_class", "high", "p_damage").withColumnsRenamed({f"__{c}": c for c in ("damage_class", "high", "p_damage")})
-
-
-def summary(site_rows: DataFrame, key: list[str], no_site: float = 0.5) -> DataFrame:
-    """Per alignment: counts, hazards and damage probability. no_site: p_damaged without sites (0 after a distance filter)."""
-    opp = F.col("c_opp") | F.col("g_opp")
-    hit = F.col("damage_class").isNotNull()
-    llr = clamp(F.log(F.greatest("p_damage", F.lit(0.01)) / 0.01), -3, 5)
-    n = lambda c: F.sum(c.cast("long"))
-    s = site_rows.groupBy(*key).agg(
-        F.count("*").alias("aligned"), n(F.col("q") != F.col("t")).alias("mismatches"), n(opp).alias("m"), n(hit).alias("k"), n(F.coalesce("high", F.lit(False))).alias("high_conf"),
-        n(hit & (F.col("damage_class") == "C")).alias("ct_sites"), n(hit & (F.col("damage_class") == "G")).alias("ga_sites"),
-        n(hit & (F.col("damage_class") == "C") & (F.col("d5") < 9)).alias("terminal_5"), n(hit & (F.col("damage_class") == "G") & (F.col("d3") < 9)).alias("terminal_3"),
-        F.sum(F.greatest("decay_c", "decay_g")).alias("sum_decay"), F.coalesce(F.sum(F.log((F.col("p_damage") + BACKGROUND) / BACKGROUND)), F.lit(0.0)).alias("sum_log"),
-        F.coalesce(F.max("p_damage"), F.lit(0.0)).alias("max_p_damage"), F.sum(llr).alias("llr"))
-    return s.withColumn("damage_fraction", F.when(F.col("mismatches") > 0, F.col("k") / F.col("mismatches")).otherwise(0.0)).withColumn(
-        "p_damaged", F.when(F.col("k") > 0, inv_logit(clamp(F.col("llr"), -10, 10))).otherwise(no_site)).drop("llr")
-
-
-def evidence(site_rows: DataFrame, key: list[str], d_max: float) -> DataFrame:
-    """Per alignment: k, m and the log-likelihoods ll_a and ll_m of its opportunities being ancient or modern."""
-    keep = lambda x: clamp(x, 1e-8, 1 - 1e-8)
-    hazard = d_max * F.greatest("decay_c", "decay_g")
-    hit = F.col("damage_class").isNotNull()
-    opp = F.col("c_opp") | F.col("g_opp")
-    a = F.when(hit, F.log(keep(F.col("p_damage") + BACKGROUND))).otherwise(F.log(keep(1 - (hazard + BACKGROUND))))
-    m = F.when(hit, F.log(F.lit(BACKGROUND))).otherwise(F.log(F.lit(1 - BACKGROUND)))
-    return site_rows.where(opp).groupBy(*key).agg(F.sum(hit.cast("long")).alias("k"), F.count("*").alias("m"), F.sum(a).alias("ll_a"), F.sum(m).alias("ll_m"))
+_GAP = ord("-")
+_HIT = np.zeros((256, 256), np.uint8)  # target, query: 1 for class C, 2 for class G
+_HIGH = np.zeros((256, 256), bool)
+for _t, _q, _c, _h in SUBSTITUTIONS:
+    _HIT[ord(_t), ord(_q)], _HIGH[ord(_t), ord(_q)] = 1 + (_c == "G"), bool(_h)
+_OPP = {c: np.isin(np.arange(256), [ord(x) for x in _classes(c)]) for c in "CG"}
+
+
+class Columns:
+    """The aligned columns of both residues of a batch of alignments, in flat arrays: row, q and t (residues), qpos and
+    tpos (from 0), distances d5 and d3 in nucleotides, class of the hit (0: none), opportunity hazards of both classes."""
+
+    def __init__(self, batch: pa.RecordBatch, rate: float):
+        get = lambda c: np.nan_to_num(batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)).astype(np.int64)
+        pairs = [((q or "").encode("latin-1", "replace"), (t or "").encode("latin-1", "replace")) for q, t in zip(batch.column("qaln").to_pylist(), batch.column("taln").to_pylist())]
+        n = np.array([min(len(q), len(t)) for q, t in pairs], np.int64)
+        self.q_all, self.t_all = (np.frombuffer(b"".join(p[k][:m] for p, m in zip(pairs, n)), np.uint8) for k in (0, 1))
+        self.rows, self.row_all = len(pairs), np.repeat(np.arange(len(pairs)), n)
+        self.start = np.cumsum(n) - n
+        self.qstart, self.tstart, qlen = get("qstart"), get("tstart"), get("qlen")
+        back = batch.column("reverse").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+        qpos, tpos = (self._before(x != _GAP) + s[self.row_all] - 1 for x, s in ((self.q_all, self.qstart), (self.t_all, self.tstart)))
+        self.at = np.flatnonzero((self.q_all != _GAP) & (self.t_all != _GAP))
+        self.row, self.q, self.t, self.qpos, self.tpos = (x[self.at] for x in (self.row_all, self.q_all, self.t_all, qpos, tpos))
+        five, length = 3 * self.qpos, qlen[self.row]
+        three = np.where(self.qpos < length, 3 * (length - 1 - self.qpos), 0)
+        turned = back[self.row]
+        self.d5, self.d3 = np.where(turned, three, five), np.where(turned, five, three)
+        self.hit, self.high = _HIT[self.t, self.q], _HIGH[self.t, self.q]
+        self.e5, self.e3 = np.exp(-rate * self.d5), np.exp(-rate * self.d3)
+        self.decay = np.maximum(np.where(_OPP["C"][self.t], self.e5, 0.0), np.where(_OPP["G"][self.t], self.e3, 0.0))
+        self.opp = _OPP["C"][self.t] | _OPP["G"][self.t]
+        self.dist = np.where(self.hit == 2, self.d3, self.d5)
+        self.level = np.where(self.hit == 1, self.e5, np.where(self.hit == 2, self.e3, 0.0))
+
+    def _before(self, present: np.ndarray) -> np.ndarray:
+        """How many of the row's columns before each one are present."""
+        upto = np.cumsum(present)
+        ahead = upto - present
+        return ahead - (ahead[self.start.clip(max=max(len(ahead) - 1, 0))][self.row_all] if len(ahead) else 0)
+
+    def sums(self, values: np.ndarray | None, where: np.ndarray | None = None) -> np.ndarray:
+        """By alignment, of all its aligned columns or of those picked out."""
+        row = self.row if where is None else self.row[where]
+        return np.bincount(row, None if values is None else values if where is None else values[where], minlength=self.rows)
+
+
+#: Per alignment: counts, hazards, damage probability, evidence of both states, and statistics of the strings.
+SUMMARY = ("aligned long, mismatches long, m long, k long, high_conf long, ct_sites long, ga_sites long, terminal_5 long, terminal_3 long, sum_decay double, sum_log double, "
+           "max_p_damage double, damage_fraction double, p_damaged double, ll_a double, ll_m double, gap_opens long, qend long, tend long")
+
+
+def _added(aln: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], list], drop: tuple[str, ...] = ()) -> DataFrame:
+    """aln's columns but those dropped or clashing, then the added ones, made batch by batch."""
+    new = T._parse_datatype_string(ddl)
+    keep = [f for f in aln.schema.fields if f.name not in new.names and f.name not in drop]
+    out = T.StructType([*keep, *new.fields])
+    arrow, names = to_arrow_schema(out), [f.name for f in keep]
+
+    def run(batches):
+        for b in batches:
+            made = make(b)
+            yield pa.RecordBatch.from_arrays([b.column(n).cast(arrow.field(k).type) for k, n in enumerate(names)] + [pa.array(c, arrow.field(len(names) + k).type) for k, c in enumerate(made)], schema=arrow)
+
+    return aln.mapInArrow(run, out)
+
+
+def annotate(aln: DataFrame, d_max: float, rate: float, max_dist: int | None = None) -> DataFrame:
+    """aln (qaln, taln, qstart and tstart from 1, qlen, reverse, and more) with the columns of SUMMARY.
+
+    Sites farther from their end than max_dist are no sites any more; mismatches, opportunities and evidence stay, and
+    p_damaged without any site is 0 instead of one half. Null strings have no columns; null numbers count as 0.
+    """
+
+    def make(batch):
+        c = Columns(batch, rate)
+        site = (c.hit > 0) & (True if max_dist is None else c.dist <= max_dist)
+        p = d_max * c.level
+        k, mismatches = c.sums(None, site), c.sums(None, c.q != c.t)
+        llr = c.sums(np.clip(np.log(np.maximum(p, 0.01) / 0.01), -3, 5), site)
+        top = np.zeros(c.rows)
+        np.maximum.at(top, c.row[site], p[site])
+        keep = lambda x: np.clip(x, 1e-8, 1 - 1e-8)
+        ll_a = np.where(c.hit > 0, np.log(keep(p + BACKGROUND)), np.log(keep(1 - (d_max * c.decay + BACKGROUND))))
+        ll_m = np.where(c.hit > 0, np.log(BACKGROUND), np.log(1 - BACKGROUND))
+        gaps = []
+        for x in (c.q_all, c.t_all):
+            g = x == _GAP
+            first = np.ones(len(g), bool)
+            first[1:] = ~g[:-1] | (c.row_all[1:] != c.row_all[:-1])
+            gaps.append(np.bincount(c.row_all[g & first], minlength=c.rows))
+        ends = [s - 1 + np.bincount(c.row_all[x != _GAP], minlength=c.rows) for x, s in ((c.q_all, c.qstart), (c.t_all, c.tstart))]
+        return [c.sums(None), mismatches, c.sums(None, c.opp), k, c.sums(None, site & c.high), c.sums(None, site & (c.hit == 1)), c.sums(None, site & (c.hit == 2)),
+                c.sums(None, site & (c.hit == 1) & (c.d5 < 9)), c.sums(None, site & (c.hit == 2) & (c.d3 < 9)), c.sums(c.decay, c.opp), c.sums(np.log((p + BACKGROUND) / BACKGROUND), site), top,
+                np.where(mismatches > 0, k / np.maximum(mismatches, 1), 0.0), np.where(k > 0, 1 / (1 + np.exp(-np.clip(llr, -10, 10))), 0.5 if max_dist is None else 0.0),
+                c.sums(ll_a, c.opp), c.sums(ll_m, c.opp), gaps[0] + gaps[1], *ends]
+
+    return _added(aln, SUMMARY, make)
+
+
+def site_rows(aln: DataFrame, d_max: float, rate: float, max_dist: int | None = None) -> DataFrame:
+    """A row a site: the key columns of aln, query_pos and target_pos (from 0), residues, class, confidence, distances and p_damage."""
+    fields = "query_pos long, target_pos long, target_aa string, query_aa string, damage_class string, high boolean, dist_5prime long, dist_3prime long, p_damage double"
+    names = T._parse_datatype_string(fields).names
+
+    def make(batch):
+        c = Columns(batch, rate)
+        site = np.flatnonzero((c.hit > 0) & (True if max_dist is None else c.dist <= max_dist))
+        cols = [c.qpos[site], c.tpos[site], [chr(x) for x in c.t[site]], [chr(x) for x in c.q[site]], [" CG"[x] for x in c.hit[site]], c.high[site], c.d5[site], c.d3[site], d_max * c.level[site]]
+        made: list[list] = [[] for _ in range(c.rows)]
+        for row, *values in zip(c.row[site].tolist(), *[x.tolist() if isinstance(x, np.ndarray) else x for x in cols]):
+            made[row].append(dict(zip(names, values)))
+        return [made]
+
+    got = _added(aln, f"sites array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>", make, ("qaln", "taln", "qstart", "tstart", "qlen", "reverse"))
+    return got.select(*[c for c in got.columns if c != "sites"], F.explode("sites").alias("s")).select("*", "s.*").drop("s")
+
+
+def corrected(aln: DataFrame) -> DataFrame:
+    """aln with corrected: the query's residues, those of damage sites replaced by the target's."""
+
+    def make(batch):
+        c = Columns(batch, 0.0)
+        fixed = c.q_all.copy()
+        site = c.at[c.hit > 0]
+        fixed[site] = c.t_all[site]
+        ends = np.append(c.start[1:], len(fixed))
+        return [[fixed[a:b][fixed[a:b] != _GAP].tobytes().decode("latin-1") for a, b in zip(c.start.tolist(), ends.tolist())]]
+
+    return _added(aln, "corrected string", make)
 
 
 def bayesian(rows: DataFrame, d_max: float, pi: float = 0.1, w0: float = 0.3, min_opp: int = 1, cap: float = 3.0, detectability: float = 1.0, channel_b: bool = True, identity: bool = True) -> DataFrame:

@@ -105,7 +105,22 @@ def kl(aln: DataFrame, b: int = 8) -> DataFrame:
     return d.join(n, "ref_id").select("ref_id", "n_eff", F.greatest("kl", F.lit(0.0)).alias("kl"), (2 * F.col("n_eff") * F.greatest("kl", F.lit(0.0))).alias("deviance"))
 
 
-def coverage_weight(stats: DataFrame, tau: float = 0.1, low: float = 0.2, b: int = 8) -> DataFrame:
+def adaptive_kl(aln: DataFrame) -> DataFrame:
+    """ref_id, sum_g, n_eff, b, kl and deviance over as many bins as the effective reads bear: 3 under 8, 6 under 15, else 8.
+
+    Starts are counted in eight bins once; fewer bins take their shares by overlap."""
+    n = aln.where("g >= 1e-6").groupBy("ref_id").agg(F.sum("g").alias("sum_g"), (F.sum("g") ** 2 / F.sum(F.col("g") ** 2)).alias("n_eff"))
+    n = n.withColumn("b", F.when(F.col("n_eff") <= 0, 6).when(F.col("n_eff") < 8, 3).when(F.col("n_eff") < 15, 6).otherwise(8))
+    z = bins(aln, 8).join(n, "ref_id").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+    part = F.greatest(F.least((F.col("bin") + 1) * F.col("b"), (F.col("j") + 1) * 8) - F.greatest(F.col("bin") * F.col("b"), F.col("j") * 8), F.lit(0)) / F.col("b")
+    r = z.groupBy("ref_id", "sum_g", "n_eff", "b", "j").agg(F.sum(F.col("x") * part).alias("x"), F.sum(F.col("q") * part).alias("q"))
+    w = W.partitionBy("ref_id")
+    r = r.withColumn("p", (F.col("x") + 0.5 / F.col("b")) / (F.sum("x").over(w) + 0.5)).withColumn("u", (F.col("q") + 0.5 / F.col("b")) / (F.sum("q").over(w) + 0.5))
+    d = r.groupBy("ref_id", "sum_g", "n_eff", "b").agg(F.greatest(F.sum(F.col("p") * F.log(F.col("p") / F.col("u"))), F.lit(0.0)).alias("kl"))
+    return d.withColumn("deviance", 2 * F.col("n_eff") * F.col("kl"))
+
+
+def coverage_weight(stats: DataFrame, tau: float = 0.1, low: float = 0.2, b: int | Column = 8) -> DataFrame:
     """ref_id, coverage_weight: exp(-tau * gate * excess deviance / 2), the gate rising from 0 at 8 to 1 at 20 effective reads, clamped to [low, 1]."""
     gate = F.least(F.greatest((F.col("n_eff") - 8) / 12.0, F.lit(0.0)), F.lit(1.0))
     w = F.exp(-tau * gate * F.greatest(F.col("deviance") - (b - 1), F.lit(0.0)) / 2)

@@ -1,27 +1,37 @@
 """Expectation-maximisation over multi-mapping reads.
 
 score = log max(w, 1e-10) - log(len)/2 + scale * bits; gamma is its softmax within the read; new weights are
-proportional to max(sum gamma + alpha - 1, 1e-10). Weights stay a DataFrame keyed by reference, so neither the driver
-nor a broadcast has to hold them; Spark broadcasts them itself where they are small. Reads with one alignment have
-gamma 1 whatever the weights: they are summed once and only the others iterate.
+proportional to max(sum gamma + alpha - 1, 1e-10). The two states of a damaged alignment, ancient and modern, only add a
+constant to its score (the log of their summed factors), so both models iterate alike and the states are told apart at
+the end.
+
+Reads with one alignment have gamma 1 whatever the weights: they are summed once and only the others iterate. Those are
+dealt by read once and cached, on disk where memory is short; an iteration joins the weights, which are broadcast up to
+BROADCAST_REFS references and shuffled beyond, takes the softmax where the read lies, and shuffles one partial sum a
+task and reference. Every iteration's sums are written to the shared folder, which ends the lineage there, so a lost
+executor costs no earlier iteration; only scalars reach the driver.
 """
 
 from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palisade.operators import coverage as C
 from palisade.session import cut, drop_cut
 
 FLOOR = 1e-10
+#: References whose weights are broadcast (some 80 MB); beyond, weights and alignments are shuffled together.
+BROADCAST_REFS = 1_000_000
 
 
 def uniform_weights(aln: DataFrame) -> DataFrame:
-    refs = aln.groupBy("ref_id").agg(F.max("tlen").alias("len"))
-    return refs.crossJoin(refs.agg(F.count("*").alias("n"))).select("ref_id", "len", (1.0 / F.col("n")).alias("w"))
+    refs = cut(aln.groupBy("ref_id").agg(F.max("tlen").alias("len")), "em-refs")
+    return refs.select("ref_id", "len", F.lit(1.0 / max(1, refs.count())).alias("w"))
 
 
 def _score(scale: float) -> Column:
@@ -55,17 +65,64 @@ def e_step_damage(aln: DataFrame, weights: DataFrame, scale: float) -> DataFrame
 
 def m_step(gammas: DataFrame, weights: DataFrame, alpha: float = 1.0) -> DataFrame:
     mass = gammas.groupBy("ref_id").agg(F.sum("gamma").alias("g"))
-    raw = weights.select("ref_id", "len").join(mass, "ref_id", "left").withColumn("r", F.greatest(F.coalesce("g", F.lit(0.0)) + (alpha - 1), F.lit(FLOOR)))
-    return raw.crossJoin(raw.agg(F.sum("r").alias("total"))).select("ref_id", "len", (F.col("r") / F.col("total")).alias("w"))
+    return _normalised(weights.select("ref_id", "len").join(mass, "ref_id", "left").withColumn("r", F.greatest(F.coalesce("g", F.lit(0.0)) + (alpha - 1), F.lit(FLOOR))))
+
+
+def _normalised(raw: DataFrame) -> DataFrame:
+    """(ref_id, len, w) from (ref_id, len, r), which is written once for its sum and its rows."""
+    raw = cut(raw.select("ref_id", "len", "r"), "em-w")
+    return raw.select("ref_id", "len", (F.col("r") / (raw.agg(F.sum("r")).first()[0] or 1.0)).alias("w"))
+
+
+class Problem:
+    """The iterating side of an alignment table (read_id, ref_id, bits, tlen; with damage p_read, ll_a, ll_m too)."""
+
+    def __init__(self, aln: DataFrame, scale: float, alpha: float = 1.0, damage: bool = False):
+        self.alpha = alpha
+        base = F.lit(float(scale)) * F.col("bits")
+        if damage:
+            a, m = damage_terms(0.1)
+            top = F.greatest(a, m)
+            base = base + top + F.log(F.exp(a - top) + F.exp(m - top))
+        n = max(int(aln.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+        rows = aln.select("read_id", "ref_id", base.alias("base"))
+        rows = cut(rows.withColumn("degree", F.count("*").over(W.partitionBy("read_id"))), "em-rows")
+        self.single = cut(rows.where("degree = 1").groupBy("ref_id").agg(F.count("*").cast("double").alias("n1"), F.sum("base").alias("b1")), "em-single")
+        self.multi = rows.where("degree > 1").select("read_id", "ref_id", "base").repartition(n, "read_id").sortWithinPartitions("read_id").persist(StorageLevel.MEMORY_AND_DISK)
+        self.rows = rows
+
+    def step(self, weights: DataFrame) -> tuple[DataFrame, float]:
+        """The weights after one EM step, and the objective of the ones before."""
+        prior = weights.select("ref_id", "len", "w", (F.log(F.greatest("w", F.lit(FLOOR))) - 0.5 * F.log(F.greatest("len", F.lit(1)).cast("double"))).alias("prior"))
+        if not hasattr(self, "few"):
+            self.few = weights.count() <= BROADCAST_REFS
+        side = prior.select("ref_id", "prior")
+        w = W.partitionBy("read_id")
+        e = self.multi.join(F.broadcast(side) if self.few else side, "ref_id").withColumn("score", F.col("base") + F.col("prior")).withColumn("top", F.max("score").over(w))
+        e = e.withColumn("e", F.exp(F.col("score") - F.col("top"))).withColumn("z", F.sum("e").over(w))
+        gamma = F.col("e") / F.col("z")
+        mass = e.select("ref_id", gamma.alias("gamma"), (gamma * (F.col("top") + F.log("z"))).alias("ll"))  # gammas of a read sum to 1
+        own = self.single.join(side, "ref_id").select("ref_id", F.col("n1").alias("gamma"), (F.col("n1") * F.col("prior") + F.col("b1")).alias("ll"))
+        sums = mass.groupBy("ref_id").agg(F.sum("gamma").alias("gamma"), F.sum("ll").alias("ll")).unionByName(own).groupBy("ref_id").agg(F.sum("gamma").alias("g"), F.sum("ll").alias("ll"))
+        raw = weights.select("ref_id", "len").join(sums, "ref_id", "left").select("ref_id", "len", "ll", F.greatest(F.coalesce("g", F.lit(0.0)) + (self.alpha - 1), F.lit(FLOOR)).alias("r"))
+        raw = cut(raw, "em-w")
+        total, ll = raw.agg(F.sum("r"), F.sum("ll")).first()
+        return raw.select("ref_id", "len", (F.col("r") / (total or 1.0)).alias("w")), _objective(ll or 0.0, weights, self.alpha)
+
+    def close(self) -> None:
+        self.multi.unpersist()
+        drop_cut(self.rows)
+        drop_cut(self.single)
 
 
 def plain_em(aln: DataFrame, iterations: int, scale: float, damage: bool = False, alpha: float = 1.0) -> DataFrame:
-    """Weights after a fixed number of iterations, as one lazy plan."""
-    aln = aln.select("read_id", "ref_id", "bits", *(["p_read", "ll_a", "ll_m"] if damage else []), "tlen")
-    weights = uniform_weights(aln)
-    step = e_step_damage if damage else e_step
+    """Weights after a fixed number of iterations."""
+    problem, weights = Problem(aln, scale, alpha, damage), uniform_weights(aln)
     for _ in range(iterations):
-        weights = m_step(step(aln.drop("tlen"), weights, scale), weights, alpha)
+        before = weights
+        weights, _ = problem.step(before)
+        drop_cut(before)
+    problem.close()
     return weights
 
 
@@ -75,73 +132,98 @@ def _objective(ll: float, weights: DataFrame, alpha: float) -> float:
     return ll + (alpha - 1) * weights.agg(F.sum(F.log(F.greatest("w", F.lit(FLOOR))))).first()[0]
 
 
-def squarem(aln: DataFrame, scale: float, alpha: float = 1.0, tol: float = 1e-4, max_iter: int = 100, warm_up: int = 4, start: DataFrame | None = None, strict: bool = False) -> tuple[DataFrame, list[float]]:
+def squarem(aln: DataFrame, scale: float, alpha: float = 1.0, tol: float = 1e-4, max_iter: int = 100, warm_up: int = 4, start: DataFrame | None = None, strict: bool = False, damage: bool = False, problem: Problem | None = None) -> tuple[DataFrame, list[float]]:
     """Accelerated EM. Returns the weights and the objective after each accepted step.
 
     Ends by tolerance, or after max_iter EM steps; with strict, the latter raises.
 
     After plain warm-up steps each cycle takes two EM steps, extrapolates along them (step length from the ratio of
     the squared differences, clamped to an adaptive bound), applies an EM step to stabilise, and falls back to the
-    plain steps where the objective would drop. Every cycle's weights are written to the shared folder: lineage ends
-    there, and a lost executor costs no earlier cycle. Only scalars reach the driver.
+    plain steps where the objective would drop.
     """
-    cols = ["read_id", "ref_id", "bits", "tlen"]
-    aln = aln.select(*cols)
-    degree = aln.groupBy("read_id").agg(F.count("*").alias("degree"))
-    tagged = aln.join(degree, "read_id")
-    weights = cut(start if start is not None else uniform_weights(aln), "em-w")
-    multi = cut(tagged.where("degree > 1").select("read_id", "ref_id", "bits").repartition("read_id"), "em-multi")
-    single = cut(tagged.where("degree = 1").groupBy("ref_id").agg(F.count("*").cast("double").alias("n1"), F.sum("bits").alias("b1")), "em-single")
-
-    def step(w: DataFrame) -> tuple[DataFrame, float]:
-        e = e_step(multi, w, scale)
-        own = single.join(w, "ref_id").withColumn("ll", F.col("n1") * (F.log(F.greatest("w", F.lit(FLOOR))) - 0.5 * F.log(F.greatest("len", F.lit(1)).cast("double"))) + scale * F.col("b1"))
-        mass = e.groupBy("ref_id").agg(F.sum("gamma").alias("gamma"), F.sum(F.col("ll") * F.col("gamma")).alias("ll"))  # gammas of a read sum to 1
-        mass = cut(mass.unionByName(own.select("ref_id", F.col("n1").alias("gamma"), "ll")), "em-mass")
-        new = cut(m_step(mass, w, alpha), "em-w")
-        ll = mass.agg(F.sum("ll")).first()[0] or 0.0
-        drop_cut(mass)
-        return new, _objective(ll, w, alpha)
-
+    own = problem is None
+    problem = problem or Problem(aln, scale, alpha, damage)
+    weights = start if start is not None else uniform_weights(aln)
+    mine = start is None
     trace: list[float] = []
-    bound = 1.0
-    it = 0
+    bound, it = 1.0, 0
+
+    def replace(new: DataFrame, *others: DataFrame) -> None:
+        nonlocal weights, mine
+        for old in (*([weights] if mine else []), *others):
+            drop_cut(old)
+        weights, mine = new, True
+
     while it < max_iter:
-        w1, obj0 = step(weights)
+        w1, obj0 = problem.step(weights)
         it += 1
         trace.append(obj0)
         if it <= warm_up:
-            weights = w1
+            replace(w1)
             continue
-        w2, obj1 = step(w1)
+        w2, obj1 = problem.step(w1)
         it += 1
         j = weights.select("ref_id", "len", F.col("w").alias("w0")).join(w1.select("ref_id", F.col("w").alias("w1")), "ref_id").join(w2.select("ref_id", F.col("w").alias("w2")), "ref_id")
-        j = j.withColumn("r", F.col("w1") - F.col("w0")).withColumn("v", F.col("w2") - F.col("w1") - F.col("r"))
-        r2, v2 = j.agg(F.sum(F.col("r") ** 2), F.sum(F.col("v") ** 2)).first()
+        j = j.withColumn("d", F.col("w1") - F.col("w0")).withColumn("v", F.col("w2") - F.col("w1") - F.col("d"))
+        r2, v2 = j.agg(F.sum(F.col("d") ** 2), F.sum(F.col("v") ** 2)).first()
         moved = math.sqrt(r2 or 0.0)
         length = max(1.0, min(bound, math.sqrt(r2 / v2))) if v2 and r2 else 1.0
-        raw = j.withColumn("x", F.greatest(F.col("w0") + 2 * length * F.col("r") + length ** 2 * F.col("v"), F.lit(FLOOR)))
-        ahead = cut(raw.crossJoin(raw.agg(F.sum("x").alias("t"))).select("ref_id", "len", (F.col("x") / F.col("t")).alias("w")), "em-w")
-        w3, obj_ahead = step(ahead)
+        ahead = _normalised(j.withColumn("r", F.greatest(F.col("w0") + 2 * length * F.col("d") + length ** 2 * F.col("v"), F.lit(FLOOR))))
+        w3, obj_ahead = problem.step(ahead)
         it += 1
         if obj_ahead >= obj1 - 1e-9:
-            weights, obj = w3, obj_ahead
+            obj = obj_ahead
+            replace(w3, w1, w2, ahead)
             if length >= bound:
                 bound *= 4
         else:
-            weights, obj = w2, obj1
+            obj = obj1
+            replace(w2, w1, w3, ahead)
             bound = max(1.0, bound / 4)
-        for old in (w1, ahead):
-            drop_cut(old)
         if it >= 8 and abs(obj - obj0) <= tol * max(1.0, abs(obj0)) * 1e-3 and moved <= math.sqrt(tol):
             trace.append(obj)
             break
     else:
         if strict:
             raise RuntimeError(f"em did not converge in {max_iter} steps")
+    if own:
+        problem.close()
     return weights, trace
 
 
+def coverage_em(aln: DataFrame, scale: float, rounds: int = 5, eta: float = 0.5, tol: float = 0.01, inner: int | None = None, refit: bool = True) -> tuple[DataFrame, int]:
+    """EM whose weights are pulled towards references that reads cover evenly; aln has tstart and aln_len too.
+
+    Each round fits the EM from the last round's weights (inner steps, or until it settles), weighs every reference's
+    reads by how well their starts agree with uniform ones, and blends: log w = (1 - eta) log w + eta log(reads * weight).
+    Ends when no weight changes by more than tol of itself. Returns weights (after a last fit, with refit) and rounds."""
+    problem, start, done = Problem(aln, scale), uniform_weights(aln), 0
+
+    def fit(begin: DataFrame) -> DataFrame:
+        if inner is None:
+            return squarem(aln, scale, start=begin, problem=problem, max_iter=200)[0]
+        w = begin
+        for _ in range(inner):
+            w = problem.step(w)[0]
+        return w
+
+    for done in range(1, rounds + 1):
+        w = fit(start)
+        g = e_step(aln.select("read_id", "ref_id", "bits", "tstart", "aln_len", "tlen"), w, scale).select("ref_id", "tstart", "aln_len", F.col("len").alias("tlen"), F.col("gamma").alias("g"))
+        stats = C.adaptive_kl(g)
+        weight = stats.select("ref_id", "sum_g").join(C.coverage_weight(stats, b=F.col("b")), "ref_id")
+        reads = (F.coalesce("sum_g", F.lit(0.0)) + 1e-15) * F.coalesce("coverage_weight", F.lit(1.0))
+        blend = F.exp((1 - eta) * F.log(F.col("w") + 1e-300) + eta * F.log(reads + 1e-300))
+        new = _normalised(w.join(weight, "ref_id", "left").withColumn("r", blend))
+        moved = new.join(start.select("ref_id", F.col("w").alias("old")), "ref_id").agg(F.max(F.abs(F.col("w") - F.col("old")) / F.greatest("old", F.lit(1e-15)))).first()[0]
+        start = new
+        if done > 1 and (moved or 0.0) <= tol:
+            break
+    out = fit(start) if refit else start
+    problem.close()
+    return out, done
+
+
 def assignments(gammas: DataFrame) -> DataFrame:
     """Per alignment: whether it is the read's most likely (first by ref_id), the margin to the next and the effective number of references."""
     w = W.partitionBy("read_id")

@@ -72,6 +72,30 @@ def em_squarem(spark, sf_dir):
     return w.select("ref_id", F.round("w", 6).alias("w"))
 
 
+def coverage_em_2(spark, sf_dir):
+    """Two rounds of coverage-aware EM with one inner step each, without the last fit."""
+    w, _ = E.coverage_em(soft_alignments(spark, sf_dir), 1.0, rounds=2, tol=0.0, inner=1, refit=False)
+    return w.select("ref_id", F.round("w", 9).alias("w"))
+
+
+def coverage_kl_adaptive(spark, sf_dir):
+    """Start positions against uniform ones over as many bins as each reference's reads bear."""
+    k = C.adaptive_kl(_gammaed(spark, sf_dir))
+    return k.join(C.coverage_weight(k, b=F.col("b")), "ref_id").select("ref_id", "b", r("n_eff"), r("kl"), r("deviance", 5), r("coverage_weight"))
+
+
+def coverage_em(spark, sf_dir):
+    """Coverage-aware weights, rounds and inner fits until they settle; iterative, so the unrolled rounds have SQL instead."""
+    w, _ = E.coverage_em(soft_alignments(spark, sf_dir), 1.0)
+    return w.select("ref_id", F.round("w", 6).alias("w"))
+
+
+def em_squarem_damage(spark, sf_dir):
+    """Converged weights of the two-state model; iterative, so the fixed steps of em_damage_weights_3 have SQL instead."""
+    w, _ = E.squarem(soft_alignments(spark, sf_dir), 1.0, tol=1e-6, max_iter=200, strict=True, damage=True)
+    return w.select("ref_id", F.round("w", 6).alias("w"))
+
+
 def gene_coverage(spark, sf_dir):
     return C.depth_stats(_gammaed(spark, sf_dir)).select("ref_id", r("breadth"), r("depth_mean"), r("depth_std", 5), r("depth_evenness", 5))
 
@@ -300,6 +324,27 @@ b AS (SELECT ref_id, bin, sum(CASE WHEN sb=bin THEN g ELSE 0 END) AS x, sum(g*gr
 p AS (SELECT *, (x+0.0625)/(sum(x) OVER (PARTITION BY ref_id)+0.5) AS p, (q+0.0625)/(sum(q) OVER (PARTITION BY ref_id)+0.5) AS u FROM b),
 d AS (SELECT ref_id, greatest(sum(p*ln(p/u)),0) AS kl FROM p GROUP BY ref_id), n AS (SELECT ref_id, sum(g)*sum(g)/sum(g*g) AS n_eff FROM ga WHERE g >= 1e-6 GROUP BY ref_id),
 k AS (SELECT ref_id, n_eff, kl, 2*n_eff*kl AS deviance FROM d JOIN n USING (ref_id))"""
+def _adaptive_sql(source: str, k: int) -> str:
+    """CTEs of the adaptive divergence of source (ref_id, tstart, aln_len, tlen, g)."""
+    return f"""az{k} AS (SELECT *, greatest(tlen-aln_len+1,1) AS mm, least(tstart*8//tlen, 7) AS sb, unnest(range(0,8)) AS bin FROM {source} WHERE g >= 1e-6),
+ab{k} AS (SELECT ref_id, bin, sum(CASE WHEN sb=bin THEN g ELSE 0 END) AS x, sum(g*greatest(least((bin+1)*tlen//8, mm)-(bin*tlen//8),0)/mm) AS q FROM az{k} GROUP BY ref_id, bin),
+an{k} AS (SELECT *, CASE WHEN n_eff <= 0 THEN 6 WHEN n_eff < 8 THEN 3 WHEN n_eff < 15 THEN 6 ELSE 8 END AS b FROM (SELECT ref_id, sum(g) AS sum_g, sum(g)*sum(g)/sum(g*g) AS n_eff FROM {source} WHERE g >= 1e-6 GROUP BY ref_id)),
+ar{k} AS (SELECT ref_id, sum_g, n_eff, b, j, sum(x*ov) AS x, sum(q*ov) AS q FROM (SELECT *, greatest(least((bin+1)*b,(j+1)*8)-greatest(bin*b,j*8),0)/b AS ov FROM ab{k} JOIN an{k} USING (ref_id), range(0,8) r(j) WHERE j < b) GROUP BY ALL),
+ap{k} AS (SELECT *, (x+CAST(0.5 AS DOUBLE)/b)/(sum(x) OVER (PARTITION BY ref_id)+0.5) AS p, (q+CAST(0.5 AS DOUBLE)/b)/(sum(q) OVER (PARTITION BY ref_id)+0.5) AS u FROM ar{k}),
+ad{k} AS (SELECT *, 2*n_eff*kl AS deviance FROM (SELECT ref_id, sum_g, n_eff, b, greatest(sum(p*ln(p/u)),0) AS kl FROM ap{k} GROUP BY ref_id, sum_g, n_eff, b)),
+aw{k} AS (SELECT *, least(greatest(exp(CAST(-0.1 AS DOUBLE)*least(greatest((n_eff-8)/12,0),1)*greatest(deviance-(b-1),0)/2),0.2),1) AS cw FROM ad{k})"""
+
+
+def _coverage_em_sql(n: int) -> str:
+    out = f"WITH {SOFT}, rf AS (SELECT ref_id, max(tlen) AS len FROM soft GROUP BY ref_id), w0 AS (SELECT ref_id, len, CAST(1 AS DOUBLE)/(SELECT count(*) FROM rf) AS w FROM rf)"
+    gamma = "SELECT ref_id, tstart, aln_len, len AS tlen, exp(sc-t)/sum(exp(sc-t)) OVER (PARTITION BY read_id) AS g FROM (SELECT *, max(sc) OVER (PARTITION BY read_id) AS t FROM (SELECT a.*, len, ln(greatest(w, 1e-10)) - CAST(0.5 AS DOUBLE)*ln(len) + bits AS sc FROM soft a JOIN {0} USING (ref_id)))"
+    for i in range(n):
+        out += f", g{i} AS ({gamma.format(f'w{i}')}), v{i} AS (SELECT ref_id, len, r/sum(r) OVER () AS w FROM (SELECT ref_id, len, greatest(coalesce(s,0),1e-10) AS r FROM w{i} LEFT JOIN (SELECT ref_id, sum(g) AS s FROM g{i} GROUP BY ref_id) USING (ref_id)))"
+        out += f", h{i} AS ({gamma.format(f'v{i}')}), {_adaptive_sql(f'h{i}', i)}"
+        out += f", w{i + 1} AS (SELECT ref_id, len, r/sum(r) OVER () AS w FROM (SELECT ref_id, len, exp(CAST(0.5 AS DOUBLE)*ln(w+1e-300)+CAST(0.5 AS DOUBLE)*ln((coalesce(sum_g,0)+1e-15)*coalesce(cw,1)+1e-300)) AS r FROM v{i} LEFT JOIN aw{i} USING (ref_id)))"
+    return out
+
+
 _KEYS = "read_id, ref_id, bits, fident, aln_len, sk, ln"
 _FAIL = "CASE WHEN n_reads >= 28 THEN NULL ELSE 'n_reads' END, CASE WHEN breadth >= 0.9 THEN NULL ELSE 'breadth' END, CASE WHEN depth_mean >= 1.5 THEN NULL ELSE 'depth' END, CASE WHEN positional_score >= 0.8 THEN NULL ELSE 'positional' END, CASE WHEN terminal_middle_ratio >= 0.5 THEN NULL ELSE 'terminal' END"
 _FL, _FH = _wilson("anc", "eff")
@@ -314,6 +359,8 @@ ORACLE = {
     "qlen_quantiles": f"WITH {ALN}, q AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY aln_len) AS rn, count(*) OVER (PARTITION BY ref_id) AS n FROM aln) SELECT ref_id, aln_len AS quantile FROM q WHERE rn = floor(CAST(0.2 AS DOUBLE)*(n-1))+1",
     "em_weights_3": _em_sql(False, 3) + " SELECT ref_id, round(w, 9) AS w FROM w3",
     "em_damage_weights_3": _em_sql(True, 3) + " SELECT ref_id, round(w, 9) AS w FROM w3",
+    "coverage_em_2": _coverage_em_sql(2) + " SELECT ref_id, round(w, 9) AS w FROM w2",
+    "coverage_kl_adaptive": f"WITH {GAMMA}, {_adaptive_sql('ga', 0)} SELECT ref_id, b, round(n_eff,6) AS n_eff, round(kl,6) AS kl, round(deviance,5) AS deviance, round(cw,6) AS coverage_weight FROM aw0",
     "em_assignments": _em_sql(False, 2) + """, o AS (SELECT *, row_number() OVER v AS rn, lead(gamma) OVER v AS nx, 1/sum(gamma*gamma) OVER (PARTITION BY read_id) AS neff FROM g1 WINDOW v AS (PARTITION BY read_id ORDER BY gamma DESC, ref_id, sk, ln, aln_len, bits))
  SELECT read_id, ref_id, round(gamma, 6) AS gamma, round(gamma-coalesce(nx,0), 6) AS em_margin, round(neff, 6) AS em_ref_neff FROM o WHERE rn = 1""",
     "gene_coverage": f"WITH {GAMMA}, {SEGMENTS} SELECT ref_id, round(breadth,6) AS breadth, round(depth_mean,6) AS depth_mean, round(depth_std,5) AS depth_std, round(CASE WHEN depth_mean > 0 THEN depth_std/depth_mean ELSE 0 END,5) AS depth_evenness FROM dst",
@@ -342,4 +389,4 @@ ORACLE = {
     "event_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
     "group_map": "SELECT l_partkey AS ref_id, l_suppkey AS grp FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) AS rn FROM lineitem) WHERE rn = 1",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLE, "em_squarem", "completeness", "protein_damage", "gene_posterior"]}
+QUERIES = {name: globals()[name] for name in [*ORACLE, "em_squarem", "em_squarem_damage", "coverage_em", "completeness", "protein_damage", "gene_posterior"]}

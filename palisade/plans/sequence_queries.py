@@ -19,10 +19,8 @@ def revcomp(spark, sf_dir):
 
 
 def _frames(spark, sf_dir):
-    s = sequences(spark, sf_dir).select("doc_id", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("s")), F.struct(F.lit("-").alias("strand"), S.reverse_complement("seq").alias("s")))).alias("x"))
-    rows = s.select("doc_id", "x.strand", "x.s", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("frame"))
-    codons = F.regexp_extract_all(F.expr("substr(s, frame + 1)"), F.lit("(...)"), F.lit(1))
-    return rows.select("doc_id", "strand", "frame", S.translate_codons(codons).alias("protein"))
+    six = F.posexplode(S.six_frames("seq")).alias("i", "protein")
+    return sequences(spark, sf_dir).select("doc_id", six).select("doc_id", F.when(F.col("i") < 3, "+").otherwise("-").alias("strand"), (F.col("i") % 3).alias("frame"), "protein")
 
 
 def translate_6frame(spark, sf_dir):
@@ -93,27 +91,25 @@ def _pairs(spark, sf_dir):
 D_MAX, RATE = 0.3, 0.3
 
 
-def _sites(spark, sf_dir):
-    return N.sites(N.columns(_pairs(spark, sf_dir), ["doc_id"]), D_MAX, RATE)
+def _annotated(spark, sf_dir, max_dist=None):
+    return N.annotate(_pairs(spark, sf_dir), D_MAX, RATE, max_dist).where("aligned > 0")
 
 
 def damage_sites(spark, sf_dir):
-    s = N.summary(_sites(spark, sf_dir), ["doc_id"])
-    return s.select("doc_id", "aligned", "mismatches", "m", "k", "high_conf", "ct_sites", "ga_sites", "terminal_5", "terminal_3", F.round("sum_decay", 6).alias("sum_decay"), F.round("max_p_damage", 6).alias("max_p_damage"), F.round("damage_fraction", 6).alias("damage_fraction"), F.round("p_damaged", 6).alias("p_damaged"))
+    return _annotated(spark, sf_dir).select("doc_id", "aligned", "mismatches", "m", "k", "high_conf", "ct_sites", "ga_sites", "terminal_5", "terminal_3", F.round("sum_decay", 6).alias("sum_decay"), F.round("max_p_damage", 6).alias("max_p_damage"), F.round("damage_fraction", 6).alias("damage_fraction"), F.round("p_damaged", 6).alias("p_damaged"))
 
 
 def damage_sites_near(spark, sf_dir):
     """Sites of at most 12 nucleotides from their end."""
-    s = N.summary(N.within(_sites(spark, sf_dir), 12), ["doc_id"], 0.0)
-    return s.select("doc_id", "k", "ct_sites", "ga_sites", F.round("p_damaged", 6).alias("p_damaged"))
+    return _annotated(spark, sf_dir, 12).select("doc_id", "k", "ct_sites", "ga_sites", F.round("p_damaged", 6).alias("p_damaged"))
 
 
 def alignment_evidence(spark, sf_dir):
-    return N.evidence(_sites(spark, sf_dir), ["doc_id"], D_MAX).select("doc_id", "k", "m", F.round("ll_a", 5).alias("ll_a"), F.round("ll_m", 5).alias("ll_m"))
+    return _annotated(spark, sf_dir).where("m > 0").select("doc_id", "k", "m", F.round("ll_a", 5).alias("ll_a"), F.round("ll_m", 5).alias("ll_m"))
 
 
 def bayesian_score(spark, sf_dir):
-    s = N.summary(_sites(spark, sf_dir), ["doc_id"]).withColumn("p_read", 0.02 + (F.col("doc_id") % 97) / 100.0).withColumn("fident", 0.85 + (F.col("doc_id") % 15) / 100.0)
+    s = _annotated(spark, sf_dir).withColumn("p_read", 0.02 + (F.col("doc_id") % 97) / 100.0).withColumn("fident", 0.85 + (F.col("doc_id") % 15) / 100.0)
     b = N.bayesian(s, D_MAX)
     return b.select("doc_id", F.round("log_bf_terminal", 5).alias("log_bf_terminal"), F.round("log_bf_sites", 5).alias("log_bf_sites"), F.round("log_bf_identity", 5).alias("log_bf_identity"), F.round("posterior", 6).alias("posterior"), "tier", "damage_call")
 
