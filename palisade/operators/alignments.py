@@ -13,7 +13,8 @@ TIES = ("ref_id", "sk", "ln", "aln_len", "p_read")
 
 
 def filters(min_identity: float = 0.0, min_bits: float = 0.0, min_len: int = 0) -> list[tuple[str, Column]]:
-    """Named predicates in the order in which a row is charged to the first that it fails."""
+    """Named predicates in the order in which a row is charged to the first that it fails; report.rules has those of hits
+    with an e-value."""
     return [("identity", F.col("fident") >= min_identity), ("bits", F.col("bits") >= min_bits), ("length", F.col("aln_len") >= min_len)]
 
 
@@ -31,18 +32,17 @@ def first_failing(aln: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     return aln.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-def _best_first() -> list[Column]:
-    return [F.desc("bits"), *[F.col(c) for c in TIES]]
-
-
 def best_hits(aln: DataFrame) -> DataFrame:
-    """One row a read: its best alignment, the runner-up's bits (0 if none), their difference and the read's degree."""
-    w = W.partitionBy("read_id")
-    ranked = aln.withColumn("rn", F.row_number().over(w.orderBy(*_best_first())))
-    ranked = ranked.withColumn("bits_second", F.lead("bits").over(w.orderBy(*_best_first()))).withColumn("degree", F.count("*").over(w))
-    best = ranked.where("rn = 1").drop("rn")
-    second = F.coalesce("bits_second", F.lit(0.0))
-    return best.withColumn("bits_second", second).withColumn("delta_bits", F.when(F.col("degree") > 1, F.col("bits") - F.col("bits_second")).otherwise(0.0))
+    """One row a read: its best alignment, the runner-up's bits (0 if none), their difference and the read's degree.
+
+    One aggregation; what it collects of a read are the bits of its own alignments."""
+    first = F.struct((-F.col("bits")).alias("b"), *TIES)
+    cols = [c for c in aln.columns if c != "read_id"]
+    two = F.slice(F.sort_array(F.collect_list("bits"), asc=False), 1, 2)
+    got = aln.groupBy("read_id").agg(F.min_by(F.struct(*cols), first).alias("x"), two.alias("two"), F.count("*").alias("degree"))
+    second = F.coalesce(F.get("two", F.lit(1)), F.lit(0.0))
+    delta = F.when(F.col("degree") > 1, F.col("x.bits") - second).otherwise(0.0)
+    return got.select(*["read_id" if c == "read_id" else f"x.{c}" for c in aln.columns], second.alias("bits_second"), "degree", delta.alias("delta_bits"))
 
 
 def unique_mappers(aln: DataFrame) -> DataFrame:
@@ -53,11 +53,12 @@ def unique_mappers(aln: DataFrame) -> DataFrame:
 
 
 def lower_rank_quantile(df: DataFrame, value: str, q: float, by: list[str]) -> DataFrame:
-    """Lower nearest rank of a group: element floor(q * (n - 1)) in ascending order; of equal values any is the same."""
+    """Lower nearest rank of a group: element floor(q * (n - 1)) in ascending order, from the counts of distinct values."""
+    c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
     w = W.partitionBy(*by)
-    ranked = df.select(*by, value).withColumn("rn", F.row_number().over(w.orderBy(value))).withColumn("n", F.count("*").over(w))
-    at = F.floor(F.lit(q) * (F.col("n") - 1)) + 1
-    return ranked.where(F.col("rn") == at).select(*by, F.col(value).alias("quantile"))
+    c = c.withColumn("upto", F.sum("k").over(w.orderBy(value))).withColumn("n", F.sum("k").over(w))
+    at = F.floor(F.lit(q) * (F.col("n") - 1))
+    return c.where((F.col("upto") > at) & (F.col("upto") - F.col("k") <= at)).select(*by, F.col(value).alias("quantile"))
 
 
 def dictionary(values: DataFrame, column: str) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palisade.operators.ranges import Ranges
+
 
 def score_counts(scores: DataFrame) -> DataFrame:
     """(score, t, d) by distinct score: what running counts need, however many rows share a score."""
@@ -14,25 +15,26 @@ def score_counts(scores: DataFrame) -> DataFrame:
 
 def q_values(scores: DataFrame) -> DataFrame:
     """Targets (id, score) with q: the least of decoys / all over every threshold that takes the score in."""
-    c = score_counts(scores)
-    down = W.orderBy(F.desc("score"))
-    c = c.withColumn("ct", F.sum("t").over(down)).withColumn("cd", F.sum("d").over(down))
-    c = c.withColumn("fdr", F.col("cd") / (F.col("ct") + F.col("cd")))
-    c = c.withColumn("q", F.min("fdr").over(W.orderBy("score")))
-    return scores.where(~F.col("is_decoy")).join(c.select("score", "q"), "score").select("id", "score", "q")
+    r = Ranges(score_counts(scores), "score", descending=True).sums(ct="t", cd="d")
+    r.rows = r.rows.withColumn("fdr", F.col("cd") / (F.col("ct") + F.col("cd")))
+    q = r.least_from_here("q", "fdr").result()
+    return scores.where(~F.col("is_decoy")).join(q.select("score", "q"), "score").select("id", "score", "q")
 
 
 def threshold_for_fdr(scores: DataFrame, target: float, step: float = 0.01) -> DataFrame:
-    """One row: the lowest threshold of a descending grid at which decoys / all is within the target (violations above don't end the scan)."""
+    """One row: the lowest threshold of a descending grid at which decoys / all is within the target (violations above don't
+    end the scan). Thresholds between two occupied cells share the counts of the upper one, so only occupied cells are kept."""
     n = round(1 / step)
     cell = F.floor(F.col("score") * n)  # a score counts at every threshold up to its cell
-    c = scores.groupBy(cell.alias("cell")).agg(F.sum((~F.col("is_decoy")).cast("long")).alias("t"), F.sum(F.col("is_decoy").cast("long")).alias("d"))
-    run = W.orderBy(F.desc("cell"))
-    top = scores.agg(F.ceil(F.max("score") * n).alias("top"))
-    grid = top.select(F.explode(F.sequence(F.lit(0), "top")).alias("cell"))
-    g = grid.join(c, "cell", "left").withColumn("ct", F.sum(F.coalesce("t", F.lit(0))).over(run)).withColumn("cd", F.sum(F.coalesce("d", F.lit(0))).over(run))
-    g = g.withColumn("fdr", F.when(F.col("ct") + F.col("cd") > 0, F.col("cd") / (F.col("ct") + F.col("cd"))).otherwise(0.0))
-    return g.where(F.col("fdr") <= target).agg(F.min("cell").alias("cell"), F.min_by("fdr", "cell").alias("fdr")).select((F.col("cell") / n).alias("threshold"), "fdr")
+    c = scores.groupBy(cell.alias("cell")).agg(F.sum((~F.col("is_decoy")).cast("long")).alias("t"), F.sum(F.col("is_decoy").cast("long")).alias("d")).where("cell >= 0")
+    up = Ranges(c, "cell").previous("below", "cell").sums(bt="t", bd="d").result()
+    total = c.agg(F.sum("t").alias("at"), F.sum("d").alias("ad"), F.max("cell").alias("last"))
+    g = up.crossJoin(F.broadcast(total))  # one row
+    t, d = F.col("at") - F.col("bt") + F.col("t"), F.col("ad") - F.col("bd") + F.col("d")
+    g = g.select(F.coalesce(F.col("below") + 1, F.lit(0)).alias("cell"), F.when(t + d > 0, d / (t + d)).otherwise(0.0).alias("fdr"))
+    top = scores.agg(F.ceil(F.max("score") * n).alias("top")).crossJoin(total).where("top > last").select((F.col("last") + 1).alias("cell"), F.lit(0.0).alias("fdr"))  # one row
+    both = g.unionByName(top).where(F.col("fdr") <= target)
+    return both.agg(F.min("cell").alias("cell"), F.min_by("fdr", "cell").alias("fdr")).select((F.col("cell") / n).alias("threshold"), "fdr")
 
 
 def pep(scores: DataFrame) -> DataFrame:
@@ -49,8 +51,23 @@ def pep(scores: DataFrame) -> DataFrame:
 def auc(scores: DataFrame) -> DataFrame:
     """One row: area under the ROC of (score, label 0/1), by ranks with ties at half, over distinct scores."""
     c = scores.groupBy("score").agg(F.sum((F.col("label") == 1).cast("long")).alias("p"), F.sum((F.col("label") == 0).cast("long")).alias("n"))
-    c = c.withColumn("below", F.coalesce(F.sum("n").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return c.agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)) / (F.sum("p") * F.sum("n"))).alias("auc"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
+    c = Ranges(c, "score").sums(upto="n").result()
+    return c.agg((F.sum(F.col("p") * (F.col("upto") - F.col("n") / 2.0)) / (F.sum("p") * F.sum("n"))).alias("auc"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
+
+
+def auc_by_rows(scores: DataFrame) -> DataFrame:
+    """One row: area under the ROC stepped row by row, score descending and then id; ties aren't merged, so it depends on ids."""
+    order = F.struct((-F.col("score")).alias("s"), "id")
+    rows = Ranges(scores.select(order.alias("o"), (F.col("label") == 1).cast("long").alias("p"), (F.col("label") == 0).cast("long").alias("n")), "o").sums(tp="p").result()
+    return rows.agg((F.sum(F.col("n") * F.col("tp")) / (F.sum("p") * F.sum("n"))).alias("auc"))
+
+
+def fdr_by_stratum(scores: DataFrame, stratum: str, thresholds: list[float]) -> DataFrame:
+    """(stratum, threshold, targets, decoys, fdr) of scores with a stratum column, in one aggregation."""
+    per = scores.groupBy(stratum).agg(*[F.sum(((F.col("score") >= t) & (F.col("is_decoy") == d)).cast("long")).alias(f"{'d' if d else 't'}{i}") for i, t in enumerate(thresholds) for d in (False, True)])
+    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"t{i}").alias("targets"), F.col(f"d{i}").alias("decoys")) for i, t in enumerate(thresholds)]))
+    r = per.select(stratum, rows.alias("r")).select(stratum, "r.*")
+    return r.withColumn("fdr", F.when(F.col("targets") + F.col("decoys") > 0, F.col("decoys") / (F.col("targets") + F.col("decoys"))).otherwise(0.0))
 
 
 def confusion(scores: DataFrame, thresholds: list[float]) -> DataFrame:

@@ -11,6 +11,7 @@ from palisade.functions.stats import protein_damage as protein_fit
 from palisade.operators import alignments as A
 from palisade.operators import coverage as C
 from palisade.operators import em as E
+from palisade.operators.ranges import lower_rank
 from palisade.plans.adapters import ALN, SOFT, alignments, soft_alignments
 from palisade.session import table
 from palisade.streaming import incremental as I
@@ -180,13 +181,7 @@ def function_rollup(spark, sf_dir):
 def spurious_calibration(spark, sf_dir):
     """Fifth percentile (element n div 20) of the positional score of references with enough reads and starts; at least the floor."""
     p = C.positional_stats(alignments(spark, sf_dir)).where("n_reads >= 10 and n_unique_starts >= 3")
-    # ordered by distributed counting: values of a coarse grid first, then the one cell that holds the rank
-    cells = p.withColumn("cell", F.floor(F.col("positional_score") * 4096)).groupBy("cell").agg(F.count("*").alias("k"))
-    run = cells.withColumn("upto", F.sum("k").over(W.orderBy("cell"))).withColumn("n", F.sum("k").over(W.partitionBy()))
-    at = run.where("upto > n div 20 and upto - k <= n div 20").select("cell", (F.expr("n div 20") - F.col("upto") + F.col("k")).alias("skip"), "n")
-    inside = p.withColumn("cell", F.floor(F.col("positional_score") * 4096)).join(F.broadcast(at), "cell")
-    ranked = inside.withColumn("rn", F.row_number().over(W.partitionBy("cell").orderBy("positional_score")))
-    return ranked.where("rn = skip + 1").select(F.round(F.greatest("positional_score", F.lit(0.2)), R).alias("threshold"), F.col("n").alias("n_genes"))
+    return lower_rank(p, "positional_score", "n div 20").select(F.round(F.greatest("positional_score", F.lit(0.2)), R).alias("threshold"), F.col("n").alias("n_genes"))
 
 
 def length_bin_z(spark, sf_dir):
@@ -205,9 +200,7 @@ def _baseline(k, m):
 def modern_baseline(spark, sf_dir):
     """Posterior mean of the modern mismatch rate over reads of low damage (p_read within the 20th percentile, lower rank)."""
     a = alignments(spark, sf_dir)
-    counts = a.groupBy("p_read").agg(F.count("*").alias("k"))
-    run = counts.withColumn("upto", F.sum("k").over(W.orderBy("p_read"))).withColumn("n", F.sum("k").over(W.partitionBy()))
-    q = run.where("upto > floor(0.2D * (n - 1)) and upto - k <= floor(0.2D * (n - 1))").select(F.least(F.greatest("p_read", F.lit(0.02)), F.lit(0.35)).alias("limit"))
+    q = lower_rank(a, "p_read", "floor(0.2D * (n - 1))").select(F.least(F.greatest("p_read", F.lit(0.02)), F.lit(0.35)).alias("limit"))
     low = a.join(F.broadcast(q), a["p_read"] <= q["limit"])  # one row
     s = low.agg(F.sum(F.floor((1 - F.col("fident")) * 10)).alias("k"), F.sum("aln_len").alias("m"), F.count("*").alias("n"))
     return s.select(F.round(_baseline(F.col("k"), F.col("m")), 9).alias("baseline"), F.col("n").alias("n_proxy"))

@@ -1,7 +1,7 @@
 """Readers and writers of the file formats: hit tables, FASTA and FASTQ, GFF3, maps, ground truth, summaries.
 
-Readers are line-based Spark sources, so files split and codecs follow the extension; a gzip file doesn't split and is
-dealt anew after reading. Multi-line records are grouped by the position of their header line.
+Readers are line-based Spark sources, so files split and codecs follow the extension; a gzip file doesn't split, and is one
+block. Multi-line records are grouped by the position of their header line.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.functions.sequence import wrap
+from palisade.functions.sequence import frame, strand, strip_frame_suffix, wrap
 
 HITS = T.StructType([T.StructField(n, t) for n, t in (
     ("query", T.StringType()), ("target", T.StringType()), ("fident", T.DoubleType()), ("alnlen", T.IntegerType()), ("mismatch", T.IntegerType()), ("gapopen", T.IntegerType()),
@@ -21,7 +21,11 @@ HITS = T.StructType([T.StructField(n, t) for n, t in (
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
     """16-column hit table, with or without a header row that starts with `query`; numbers that don't parse are null."""
-    raw = spark.read.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in HITS])).csv(path, sep="\t", quote="")
+    return parsed(spark.read.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in HITS])).csv(path, sep="\t", quote=""))
+
+
+def parsed(raw: DataFrame) -> DataFrame:
+    """Hits from columns of strings."""
     rows = raw.where(~F.coalesce(F.col("query").startswith("query") & F.col("target").startswith("target"), F.lit(False)))
     return rows.select(*[F.col(f.name) if f.dataType == T.StringType() else F.expr(f"try_cast({f.name} AS {f.dataType.simpleString()})").alias(f.name) for f in HITS])
 
@@ -37,9 +41,18 @@ def write_hits_parquet(hits: DataFrame, path: str) -> None:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, off, value): lines with an order inside their file. Blocks of a file are read in order of their start."""
+    """(file, block, n, off, value): lines, the block of the file that they were read in, their number in it from 0, and an
+    order inside the file. Numbers are given block by block, so a file lies in as many tasks as it has blocks."""
     text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("value"))
-    return text.select("file", F.struct("block", "id").alias("off"), "value")
+    n = F.row_number().over(W.partitionBy("file", "block").orderBy("id")) - 1
+    rows = text.withColumn("n", n.cast("long"))
+    return rows.select("file", "block", "n", F.struct("block", "n").alias("off"), "value")
+
+
+def _carried(rows: DataFrame, aggregate: Column, over) -> DataFrame:
+    """(f, b, carried) of what the blocks of a file before each one add up to; a row a block."""
+    per = rows.groupBy(F.col("file").alias("f"), F.col("block").alias("b")).agg(aggregate.alias("own"))
+    return per.select("f", "b", over(F.col("own")).over(W.partitionBy("f").orderBy("b").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
 
 
 def _split_header(header: Column) -> list[Column]:
@@ -49,22 +62,33 @@ def _split_header(header: Column) -> list[Column]:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(id, description, sequence): multi-line records, grouped by the last header at or before each line."""
-    rows = _lines(spark, path).withColumn("head", F.col("value").startswith(">"))
-    w = W.partitionBy("file").orderBy("off").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("at", F.last(F.when(F.col("head"), F.col("off")), ignorenulls=True).over(w)).where(F.col("at").isNotNull())
-    got = rows.groupBy("file", "at").agg(F.max(F.when(F.col("head"), F.substring("value", 2, 1_000_000))).alias("header"), F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("off", "value")))).alias("parts"))
+    """(id, description, sequence): multi-line records, grouped by the last header at or before each line; a block's first
+    lines belong to the last header of the blocks before. A row is as long as its record."""
+    rows = _lines(spark, path).withColumn("head", F.when(F.col("value").startswith(">"), F.col("off")))
+    ahead = _carried(rows, F.max("head"), F.max)
+    w = W.partitionBy("file", "block").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("own", F.last("head", ignorenulls=True).over(w)).join(ahead, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+    rows = rows.withColumn("at", F.coalesce("own", "carried")).where(F.col("at").isNotNull())
+    got = rows.groupBy("file", "at").agg(F.max(F.when(F.col("head").isNotNull(), F.expr("substring(value, 2)"))).alias("header"), F.sort_array(F.collect_list(F.when(F.col("head").isNull(), F.struct("off", "value")))).alias("parts"))
     seq = F.array_join(F.transform("parts", lambda p: F.trim(p["value"])), "")
     return got.select(*_split_header(F.col("header")), seq.alias("sequence"))
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(id, description, sequence, quality): records of four lines by their number in the file."""
-    rows = _lines(spark, path).withColumn("k", F.row_number().over(W.partitionBy("file").orderBy("off")) - 1)
-    rows = rows.withColumn("rec", (F.col("k") / 4).cast("long")).withColumn("part", F.col("k") % 4)
+    """(id, description, sequence, quality): records of four lines by their number in the file, which goes on over blocks."""
+    rows = _lines(spark, path)
+    ahead = _carried(rows, F.count("*"), F.sum)
+    rows = rows.join(ahead, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b"))).withColumn("k", F.col("n") + F.coalesce("carried", F.lit(0)))
+    rows = rows.withColumn("rec", F.floor(F.col("k") / 4)).withColumn("part", F.col("k") % 4)
     pick = lambda i: F.max(F.when(F.col("part") == i, F.col("value")))
     got = rows.groupBy("file", "rec").agg(pick(0).alias("h"), pick(1).alias("sequence"), pick(3).alias("quality")).where("sequence is not null")
-    return got.select(*_split_header(F.substring("h", 2, 1_000_000)), "sequence", "quality")
+    return got.select(*_split_header(F.expr("substring(h, 2)")), "sequence", "quality")
+
+
+def write_fastq(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """Records (id, description, sequence, quality) of four lines each."""
+    head = F.concat(F.lit("@"), "id", F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(" "), "description")).otherwise(""))
+    df.select(F.concat_ws("\n", head, "sequence", F.lit("+"), "quality").alias("value")).write.text(path, compression=compression)
 
 
 def write_fasta(df: DataFrame, path: str, header: str | Column = "id", sequence: str = "sequence", width: int = 60) -> None:
@@ -96,8 +120,18 @@ def read_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """Ground truth with columns found by its header."""
-    return spark.read.csv(path, sep="\t", header=True)
+    """Ground truth (read_id, strand, frame, sequence) with columns found by their names or other names in the header;
+    those that are missing are null."""
+    raw = spark.read.csv(path, sep="\t", header=True)
+    by_name = {c.strip().lower(): c for c in raw.columns}
+    pick = lambda names: next((F.col(f"`{by_name[n]}`") for n in names if n in by_name), F.lit(None).cast("string"))
+    return raw.select(pick(("read_id", "read", "read_name", "id")).alias("read_id"), pick(("strand", "true_strand")).alias("strand"), pick(("frame", "true_frame")).try_cast("int").alias("frame"), pick(("sequence", "protein", "true_protein")).alias("sequence"))
+
+
+def read_proteins(spark: SparkSession, path: str) -> DataFrame:
+    """(read_id, strand, frame, sequence) of a protein FASTA whose names end with strand and frame."""
+    f = read_fasta(spark, path)
+    return f.select(strip_frame_suffix("id").alias("read_id"), strand("id").alias("strand"), frame("id").alias("frame"), "sequence")
 
 
 def unique_blast8(hits: DataFrame) -> DataFrame:

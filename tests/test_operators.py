@@ -1,5 +1,7 @@
 """Scenarios with known answers for the operators on alignments, annotation and error rates."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from palisade.operators import annotate as N
 from palisade.operators import clustering as K
 from palisade.operators import em as E
 from palisade.operators import fdr as D
+from palisade.operators import report as R
+from palisade.operators.ranges import Ranges, lower_rank
 
 ALN = "read_id long, ref_id long, bits double, fident double, aln_len int, tstart int, tlen int, p_read double, sk long, ln int"
 
@@ -30,14 +34,73 @@ def test_unique_mappers(spark):
     assert [(r["read_id"], r["ref_id"]) for r in got] == [(2, 3)]
 
 
-def test_em_moves_shared_read_to_supported_target(spark):
-    rows = [(0, 1, 1.0), (0, 2, 0.99)] + [(i, 2, 1.0) for i in range(1, 8)]
-    w, trace = E.squarem(aln(spark, rows), 1.0, max_iter=14)
+def random_aln(seed, reads=60, refs=8, damage=False):
+    rng = random.Random(seed)
+    rows = [(r, t, round(rng.uniform(0, 3), 3), rng.randrange(40), 10 + rng.randrange(30), 60 + 10 * t, rng.random(), -rng.random(), -rng.random()) for r in range(reads) for t in rng.sample(range(refs), rng.choice([1, 1, 2, 3]))]
+    return rows, "read_id long, ref_id long, bits double, tstart int, aln_len int, tlen int, p_read double, ll_a double, ll_m double"
+
+
+def plain_step(rows, w, damage):
+    """One EM step by loops."""
+    mass = dict.fromkeys(w, 0.0)
+    by_read: dict = {}
+    for r in rows:
+        s = np.log(max(w[r[1]], 1e-10)) - 0.5 * np.log(max(x[5] for x in rows if x[1] == r[1])) + r[2]
+        if damage:
+            s += np.logaddexp(np.log(r[6]) + r[7], np.log(1 - r[6]) + r[8])
+        by_read.setdefault(r[0], []).append((r[1], s))
+    ll = 0.0
+    for hits in by_read.values():
+        top = np.logaddexp.reduce([s for _, s in hits])
+        ll += top
+        for t, s in hits:
+            mass[t] += np.exp(s - top)
+    total = sum(mass.values())
+    return {t: m / total for t, m in mass.items()}, ll
+
+
+@pytest.mark.parametrize("damage", [False, True])
+def test_em_equals_plain_loops(spark, damage):
+    rows, schema = random_aln(5)
+    df = spark.createDataFrame(rows, schema)
+    w = {t: 1 / len({r[1] for r in rows}) for t in {r[1] for r in rows}}
+    for _ in range(3):
+        w, _ = plain_step(rows, w, damage)
+    got = {r["ref_id"]: r["w"] for r in E.plain_em(df, 3, 1.0, damage=damage).collect()}
+    assert got == pytest.approx(w, abs=1e-9)
+
+
+@pytest.mark.parametrize("damage", [False, True])
+def test_accelerated_em_climbs_and_settles(spark, damage):
+    rows, schema = random_aln(9)
+    w, trace = E.squarem(spark.createDataFrame(rows, schema), 1.0, tol=1e-7, max_iter=200, strict=True, damage=damage)
+    got = {r["ref_id"]: r["w"] for r in w.collect()}
+    assert sum(got.values()) == pytest.approx(1) and all(b >= a - 1e-6 for a, b in zip(trace, trace[1:]))
+    assert plain_step(rows, got, damage)[0] == pytest.approx(got, abs=1e-3)  # a fixed point
+
+
+def test_em_without_broadcast_is_alike(spark, monkeypatch):
+    rows, schema = random_aln(11)
+    df = spark.createDataFrame(rows, schema)
+    small = {r["ref_id"]: r["w"] for r in E.plain_em(df, 2, 1.0).collect()}
+    monkeypatch.setattr(E, "BROADCAST_REFS", 0)
+    assert {r["ref_id"]: r["w"] for r in E.plain_em(df, 2, 1.0).collect()} == pytest.approx(small)
+
+
+def test_em_on_empty_and_repeated_rows(spark):
+    rows, schema = random_aln(3, reads=4)
+    df = spark.createDataFrame(rows, schema)
+    assert E.plain_em(df.limit(0), 2, 1.0).count() == 0
+    twice = {r["ref_id"]: r["w"] for r in E.plain_em(df.unionByName(df), 1, 1.0).collect()}
+    assert sum(twice.values()) == pytest.approx(1)
+
+
+def test_coverage_em_prefers_evenly_covered(spark):
+    """Two references share all reads; on one they start everywhere, on the other at one place."""
+    rows = [(r, t, 1.0, (r * 3) % 80 if t == 1 else 0, 20, 100, 0.1, 0.0, 0.0) for r in range(40) for t in (1, 2)]
+    w, rounds = E.coverage_em(spark.createDataFrame(rows, random_aln(1)[1]), 1.0)
     got = {r["ref_id"]: r["w"] for r in w.collect()}
-    assert got[2] > 0.9 and abs(sum(got.values()) - 1) < 1e-9
-    assert all(b >= a - 1e-6 for a, b in zip(trace, trace[1:]))
-    g = E.assignments(E.e_step(aln(spark, rows).drop("tlen"), w, 1.0)).where("read_id = 0").first()
-    assert g["ref_id"] == 2
+    assert got[1] > 0.9 and 1 <= rounds <= 5
 
 
 def test_em_query_runs_until_it_settles(spark, monkeypatch):
@@ -57,30 +120,156 @@ def test_em_recovers_unique_mapper_shares(spark):
     assert np.allclose([got[1], got[2], got[3]], [0.6, 0.3, 0.1])
 
 
-def annotated(spark, q, t, max_dist=None, d_max=0.3):
-    df = spark.createDataFrame([(1, q, t, 1, 1, len(q.replace("-", "")), False)], "id long, qaln string, taln string, qstart int, tstart int, qlen int, reverse boolean")
-    s = N.within(N.sites(N.columns(df, ["id"]), d_max, 0.3), max_dist)
-    return N.summary(s, ["id"], 0.5 if max_dist is None else 0.0).first()
-
-
-def test_damage_site_and_distance_filter(spark):
-    q, t = "AAAAAAAAAWAAAAAAAAAA", "AAAAAAAAARAAAAAAAAAA"
-    one = annotated(spark, q, t)
-    assert (one["k"], one["mismatches"], one["high_conf"]) == (1, 1, 1)
-    none = annotated(spark, q, t, 0)
-    assert (none["k"], none["p_damaged"], none["max_p_damage"], none["mismatches"]) == (0, 0.0, 0.0, 1)
-
-
-def test_gaps_shift_positions(spark):
-    df = spark.createDataFrame([(1, "A-CD", "ABC-", 1, 5, 3, False)], "id long, qaln string, taln string, qstart int, tstart int, qlen int, reverse boolean")
-    got = [(r["q"], r["t"], r["qpos"], r["tpos"]) for r in N.columns(df, ["id"]).orderBy("qpos").collect()]
-    assert got == [("A", "A", 0, 4), ("C", "C", 1, 6)]
-
-
-def test_fdr_threshold_scans_past_violations(spark):
-    rows = [(i, s, False) for i, s in enumerate([0.9, 0.8, 0.7] + [0.01] * 100)] + [(999, 0.65, True)]
-    got = D.threshold_for_fdr(spark.createDataFrame(rows, "id long, score double, is_decoy boolean"), 0.05).first()
-    assert got["threshold"] <= 0.02 and got["fdr"] <= 0.05
+AA = "ARNDCQEGHILKMFPSTWYV"
+
+
+def walk(q, t, qstart, tstart, qlen, reverse, d_max, rate, max_dist):
+    """The annotation of one alignment, column by column."""
+    table = {(a, b): (c, h) for a, b, c, h in N.SUBSTITUTIONS}
+    i, j, out = qstart - 1, tstart - 1, dict(aligned=0, mismatches=0, m=0, k=0, high_conf=0, ct_sites=0, ga_sites=0, sum_decay=0.0, ll_a=0.0, ll_m=0.0)
+    llr, sites = 0.0, []
+    for x, y in zip(q, t):
+        if x != "-" and y != "-":
+            five, three = 3 * i, 3 * (qlen - 1 - i) if i < qlen else 0
+            d5, d3 = (three, five) if reverse else (five, three)
+            e = {"C": np.exp(-rate * d5), "G": np.exp(-rate * d3)}
+            mine = [c for c in "CG" if y in N._classes(c)]
+            hit = table.get((y, x))
+            out["aligned"] += 1
+            out["mismatches"] += x != y
+            if mine:
+                decay = max(e[c] for c in mine)
+                out["m"] += 1
+                out["sum_decay"] += decay
+                out["ll_a"] += np.log(np.clip(d_max * e[hit[0]] + 0.005 if hit else 1 - d_max * decay - 0.005, 1e-8, 1 - 1e-8))
+                out["ll_m"] += np.log(0.005 if hit else 0.995)
+            if hit and (max_dist is None or (d5 if hit[0] == "C" else d3) <= max_dist):
+                p = d_max * e[hit[0]]
+                out["k"] += 1
+                out["high_conf"] += hit[1]
+                out["ct_sites" if hit[0] == "C" else "ga_sites"] += 1
+                llr += min(max(np.log(max(p, 0.01) / 0.01), -3), 5)
+                sites.append((i, j, y, x, hit[0], d5, d3, p))
+        i += x != "-"
+        j += y != "-"
+    out["p_damaged"] = 1 / (1 + np.exp(-min(max(llr, -10), 10))) if out["k"] else 0.5 if max_dist is None else 0.0
+    out["qend"], out["tend"] = i, j
+    return out, sites
+
+
+def gapped(rng):
+    t = "".join(rng.choice(AA) for _ in range(30))
+    swap = {a: b for a, b, _, _ in N.SUBSTITUTIONS}
+    q = "".join(swap.get(c, c) if rng.random() < 0.3 else rng.choice(AA) if rng.random() < 0.1 else c for c in t)
+    q, t = list(q), list(t)
+    for s in (q, t):
+        if rng.random() < 0.6:
+            at = rng.randrange(1, 25)
+            s[at:at + 3] = "---"
+    return "".join(q), "".join(t), rng.randrange(1, 5), rng.randrange(1, 50), len(q) + rng.randrange(5), rng.random() < 0.5
+
+
+@pytest.mark.parametrize("max_dist", [None, 9])
+def test_annotation_equals_a_walk(spark, max_dist):
+    rng = random.Random(17)
+    rows = [(k, *gapped(rng)) for k in range(120)] + [(900, None, "AR", 1, 1, 2, False), (901, "", "", 1, 1, 0, True), (902, "---", "ARN", 1, 1, 3, None)]
+    df = spark.createDataFrame(rows, "id long, qaln string, taln string, qstart int, tstart int, qlen int, reverse boolean").repartition(3)
+    got = {r["id"]: r for r in N.annotate(df, 0.3, 0.3, max_dist).collect()}
+    sites: dict = {}
+    for r in N.site_rows(df, 0.3, 0.3, max_dist).collect():
+        sites.setdefault(r["id"], []).append((r["query_pos"], r["target_pos"], r["target_aa"], r["query_aa"], r["damage_class"], r["dist_5prime"], r["dist_3prime"], pytest.approx(r["p_damage"])))
+    fixed = {r["id"]: r["corrected"] for r in N.corrected(df).collect()}
+    for k, q, t, *rest in rows:
+        want, at = walk(q or "", t or "", *[x or 0 for x in rest], 0.3, 0.3, max_dist)
+        assert {c: got[k][c] for c in want} == pytest.approx(want), k
+        assert sorted(sites.get(k, []), key=lambda s: s[0]) == at
+        if max_dist is None and q and t and len(q) == len(t):
+            mend = {i: y for i, _, y, *_ in at}
+            assert fixed[k] == "".join(mend.get(rest[0] - 1 + i, c) for i, c in enumerate(q.replace("-", "")))
+    assert N.annotate(df.limit(0), 0.3, 0.3).count() == 0
+
+
+def test_threshold_equals_a_scan_of_the_grid(spark):
+    rng = random.Random(23)
+    for k in range(4):
+        rows = [(i, round(rng.random() ** 2 * 3, 3), rng.random() < 0.15 + 0.1 * k) for i in range(200)]
+        got = D.threshold_for_fdr(spark.createDataFrame(rows, "id long, score double, is_decoy boolean"), 0.12).collect()
+        want = None
+        for i in range(int(np.ceil(max(s for _, s, _ in rows) * 100)), -1, -1):
+            over = [d for _, s, d in rows if np.floor(s * 100) >= i]
+            if (sum(over) / len(over) if over else 0.0) <= 0.12:
+                want = i / 100
+        assert got[0]["threshold"] == pytest.approx(want)
+
+
+def test_q_values_and_auc_equal_loops(spark):
+    rng = random.Random(29)
+    rows = [(i, rng.randrange(40) / 7, rng.random() < 0.3) for i in range(300)]
+    got = {r["id"]: r["q"] for r in D.q_values(spark.createDataFrame(rows, "id long, score double, is_decoy boolean")).collect()}
+    fdr = {s: sum(d for _, x, d in rows if x >= s) / sum(x >= s for _, x, _ in rows) for s in {s for _, s, _ in rows}}
+    assert got == pytest.approx({i: min(f for t, f in fdr.items() if t <= s) for i, s, d in rows if not d})
+    lab = [(i, s, int(not d)) for i, s, d in rows]
+    df = spark.createDataFrame(lab, "id long, score double, label int")
+    pos, neg = [s for _, s, y in lab if y], [s for _, s, y in lab if not y]
+    assert D.auc(df).first()["auc"] == pytest.approx(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg))
+    order = [y for _, _, y in sorted((-s, i, y) for i, s, y in lab)]
+    assert D.auc_by_rows(df).first()["auc"] == pytest.approx(sum(sum(order[:k]) for k, y in enumerate(order) if not y) / len(pos) / len(neg))
+    strata = {(r["half"], r["threshold"]): r["fdr"] for r in D.fdr_by_stratum(spark.createDataFrame([(i % 2, s, d) for i, s, d in rows], "half long, score double, is_decoy boolean"), "half", [1.0, 3.0]).collect()}
+    over = [d for i, s, d in rows if i % 2 and s >= 3.0]
+    assert strata[1, 3.0] == pytest.approx(sum(over) / len(over))
+
+
+def test_running_values_over_ranges(spark):
+    rng = random.Random(31)
+    xs = [rng.randrange(1000) / 10 for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for q in (0, 137, 499):
+        assert lower_rank(df, "x", str(q)).first()["x"] == sorted(xs)[q]
+    one = Ranges(df.distinct().withColumn("k", F.lit(1)), "x").previous("p", "x").sums(n="k").result().orderBy("x").collect()
+    want = sorted(set(xs))
+    assert [(r["x"], r["p"], r["n"]) for r in one] == [(x, want[i - 1] if i else None, i + 1) for i, x in enumerate(want)]
+
+
+def test_minimizers_equal_loops(spark):
+    rng = random.Random(37)
+    seqs = [(i, "".join(rng.choice("ACGT" if i % 3 else "ACGTN") for _ in range(rng.randrange(0, 90)))) for i in range(30)] + [(99, None)]
+    got: dict = {}
+    for r in K.minimizers(spark.createDataFrame(seqs, "doc_id long, seq string"), k=5, window=6).collect():
+        got.setdefault(r["doc_id"], set()).add(r["h"])
+    for i, s in seqs:
+        h = []
+        for a in range(len(s or "") - 4):
+            w = s[a:a + 5]
+            codes = [sum("ACGT".index(c) * 4 ** (4 - n) for n, c in enumerate(x)) for x in (w, w[::-1].translate(str.maketrans("ACGT", "TGCA")))] if "N" not in w else None
+            h.append(min(codes) * K.MULTIPLIER % K.PRIME if codes else float("inf"))
+        low = sorted({min(h[a:a + 6]) for a in range(len(h) - 5)} - {float("inf")})[:4]
+        assert got.get(i, set()) == set(low)
+
+
+def test_six_frames_equal_codon_by_codon(spark):
+    rng = random.Random(41)
+    seqs = ["".join(rng.choice("ACGTN") for _ in range(n)) for n in (0, 1, 2, 3, 4, 5, 30, 31)] + [None]
+    got = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "i long, s string").select("i", S.six_frames("s").alias("p")).collect()
+    for r in got:
+        s = seqs[r["i"]]
+        if s is None:
+            assert r["p"] == [None] * 6
+            continue
+        back = s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        assert r["p"] == ["".join(S.CODONS.get(x[f + k:f + k + 3], "X") for k in range(0, len(x) - f - 2, 3)) for x in (s, back) for f in range(3)]
+
+
+def test_validation_joins(spark):
+    truth = spark.createDataFrame([("a", "+", 0), ("b", "-", 1), ("c", "+", 2)], "read_id string, strand string, frame int")
+    calls = spark.createDataFrame([("a", "+", 1, 0.2), ("a", "+", 0, 0.1), ("b", "+", 1, 0.9), ("z", "+", 0, 0.5)], "read_id string, strand string, frame int, score double")
+    got = {r["read_id"]: (r["hit"], r["strand_ok"], r["frame_ok"], r["best"]) for r in R.validated(truth, calls).collect()}
+    assert got == {"a": (True, True, True, 0.2), "b": (True, False, False, 0.9), "c": (False, False, False, None)}
+    assert [r["read_id"] for r in R.unexpected(truth, calls).collect()] == ["z"]
+
+
+def test_settings_presets():
+    s = R.Settings(min_identity=0.5).strict()
+    assert s.min_reads == 5 and s.min_identity == 0.5 and s.loose().min_reads == 1
 
 
 def test_components_chain(spark):
