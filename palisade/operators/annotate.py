@@ -6,6 +6,7 @@ arrays, classes and hazards come from lookup tables, and sums are taken by row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from palisade.functions.sequence import CODONS
 from palisade.functions.stats import clamp, inv_logit, logit
 
 # Residue substitutions that damage can cause (target, query, class, 1 for high confidence).
@@ -80,7 +82,7 @@ class Columns:
 
 #: Per alignment: counts, hazards, damage probability, evidence of both states, and statistics of the strings.
 SUMMARY = ("aligned long, mismatches long, m long, k long, high_conf long, ct_sites long, ga_sites long, terminal_5 long, terminal_3 long, sum_decay double, sum_log double, "
-           "max_p_damage double, damage_fraction double, p_damaged double, ll_a double, ll_m double, gap_opens long, qend long, tend long")
+           "max_p_damage double, damage_fraction double, p_damaged double, ll_a double, ll_m double, gap_opens long, qend long, tend long, end_mismatches long, end_hits long")
 
 
 def _added(aln: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], list], drop: tuple[str, ...] = ()) -> DataFrame:
@@ -126,7 +128,7 @@ def annotate(aln: DataFrame, d_max: float, rate: float, max_dist: int | None = N
         return [c.sums(None), mismatches, c.sums(None, c.opp), k, c.sums(None, site & c.high), c.sums(None, site & (c.hit == 1)), c.sums(None, site & (c.hit == 2)),
                 c.sums(None, site & (c.hit == 1) & (c.d5 < 9)), c.sums(None, site & (c.hit == 2) & (c.d3 < 9)), c.sums(c.decay, c.opp), c.sums(np.log((p + BACKGROUND) / BACKGROUND), site), top,
                 np.where(mismatches > 0, k / np.maximum(mismatches, 1), 0.0), np.where(k > 0, 1 / (1 + np.exp(-np.clip(llr, -10, 10))), 0.5 if max_dist is None else 0.0),
-                c.sums(ll_a, c.opp), c.sums(ll_m, c.opp), gaps[0] + gaps[1], *ends]
+                c.sums(ll_a, c.opp), c.sums(ll_m, c.opp), gaps[0] + gaps[1], *ends, *[c.sums(None, near & what) for near in (np.minimum(c.d5, c.d3) <= 9,) for what in (c.q != c.t, (c.q != c.t) & (c.hit > 0))]]
 
     return _added(aln, SUMMARY, make)
 
@@ -192,6 +194,64 @@ def detectability(d_max: float, artefact: bool, valid_b: bool, validated: bool,
     return max(0.5, (min(1.0, 5 * abs(shift)) + min(1.0, max(0.0, llr / 1e4)) + min(1.0, 5 * d_max)) / 3)
 
 
+def estimate_d_max(annotated: DataFrame) -> DataFrame:
+    """One row, d_max: twice what the damage-like share of mismatches within nine nucleotides of an end has over the rest's, at most one half."""
+    t = annotated.agg(F.sum("end_mismatches").alias("em"), F.sum("end_hits").alias("eh"), F.sum("mismatches").alias("m"), F.sum("k").alias("k"))
+    share = lambda k, n: F.when(n > 0, k / n).otherwise(0.0)
+    return t.select(F.least(F.lit(0.5), 2 * F.greatest(share(F.col("eh"), F.col("em")) - share(F.col("k") - F.col("eh"), F.col("m") - F.col("em")), F.lit(0.0))).alias("d_max"))
+
+
+def settings_from(annotated: DataFrame, default_prior: float = 0.1) -> DataFrame:
+    """One row of what the data settle: the prior (mean p_read within 0.05 and 0.80, with 50 reads or more), whether both ends
+    bear damage (end sites of 3' over 5' beyond 0.3), and the EM's damage term: `alignment` with any likelihood ratio,
+    `read` if p_read differs within a read, else `none`."""
+    per = annotated.groupBy("read_id").agg(F.max("p_read").alias("hi"), F.min("p_read").alias("lo"), F.sum("p_read").alias("p"), F.count("*").alias("n"), F.sum("terminal_5").alias("t5"), F.sum("terminal_3").alias("t3"), F.max(F.abs(F.col("ll_a") - F.col("ll_m"))).alias("llr"))
+    one = per.agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum("t5").alias("t5"), F.sum("t3").alias("t3"), F.max("llr").alias("llr"), F.max(F.col("hi") - F.col("lo")).alias("spread"))
+    prior = F.when(F.col("n") >= 50, clamp(F.col("p") / F.col("n"), 0.05, 0.80)).otherwise(default_prior)
+    both = F.when(F.col("t5") > 0, F.col("t3") / F.col("t5") > 0.3).otherwise(False)
+    return one.select(prior.alias("prior"), both.cast("int").alias("both_ends"), F.when(F.col("llr") > 0, "alignment").when(F.col("spread") > 1e-6, "read").otherwise("none").alias("mode"))
+
+
+def classify(informative: bool | Column, ancient: float = 0.60, modern: float = 0.25) -> Column:
+    """Class of a row with posterior, fident, z_bpa and delta_bits: by the posterior where damage tells something, else likely
+    if the alignment is good, well above its length bin and clear of the runner-up."""
+    by = F.when(F.col("posterior") >= ancient, "ancient_confident").when(F.col("posterior") <= modern, "modern_confident").otherwise("undetermined")
+    good = (F.col("fident") >= 0.90) & (F.col("z_bpa") >= 0.5) & (F.col("delta_bits") >= 5.0)
+    return F.when(F.lit(informative) if isinstance(informative, bool) else informative, by).when(good, "ancient_likely").otherwise("undetermined")
+
+
+def silent_codons(base: str, was: str, place: int) -> tuple[list[str], list[str]]:
+    """Codons with base at a place whose residue stays, and changes, if it was another base."""
+    back = {c: CODONS[c[:place] + was + c[place + 1:]] == CODONS[c] for c in CODONS if c[place] == base}
+    return [c for c, same in back.items() if same], [c for c, same in back.items() if not same]
+
+
+def silent_damage(seq: str, d_max: float, rate: float, codons: int = 5, least: float = 0.05) -> list[Column]:
+    """Counts over the first and last whole codons of frame 0 of T (that may have been C) and A (that may have been G) where
+    damage is likelier than least: silent_5, changing_5, silent_3, changing_3."""
+    s, n = F.col(seq), F.floor(F.length(seq) / 3).cast("int")
+    totals: dict[str, Column] = {}
+    for end, base, was in (("5", "T", "C"), ("3", "A", "G")):
+        for i in range(codons):
+            codon = F.when(n > i, F.substr(s, (F.lit(i) if end == "5" else n - 1 - i) * 3 + 1, F.lit(3)))
+            for place in range(3):
+                if d_max * math.exp(-rate * (3 * i + (place if end == "5" else 2 - place))) < least:
+                    continue
+                for name, those in zip(("silent", "changing"), silent_codons(base, was, place)):
+                    key = f"{name}_{end}"
+                    totals[key] = totals.get(key, F.lit(0)) + F.coalesce(codon.isin(those).cast("long"), F.lit(0)) if those else totals.get(key, F.lit(0))
+    return [totals.get(k, F.lit(0)).cast("long").alias(k) for k in ("silent_5", "changing_5", "silent_3", "changing_3")]
+
+
+def index_records(seqs: DataFrame, d_max: float, rate: float, codons: int = 5) -> DataFrame:
+    """A damage index of seqs (id, seq): p_damaged, and the first and last whole codons of frame 0 (from the end)."""
+    from palisade.operators.read_damage import damage_prior
+
+    n = F.floor(F.length("seq") / 3).cast("int")
+    pick = lambda at: F.array_compact(F.array(*[F.when(n > i, F.substr("seq", at(i) * 3 + 1, F.lit(3))) for i in range(codons)]))
+    return seqs.select("id", damage_prior("seq", d_max, rate).alias("p_damaged"), pick(lambda i: F.lit(i)).alias("codons_5"), pick(lambda i: n - 1 - i).alias("codons_3"))
+
+
 def refit_d_max(gamma_k: Column, gamma_decay: Column) -> Column:
     """Damage level from summed hits over summed opportunity hazards."""
     return F.when(gamma_decay > 0, clamp(gamma_k / gamma_decay, 0, 1)).otherwise(0.0)

@@ -140,3 +140,35 @@ def completeness(binned: DataFrame, n_eff: DataFrame, b: int = 8) -> DataFrame:
 
     f = F.aggregate(F.sequence(F.lit(1), F.lit(10)), (k / b).cast("double"), newton)
     return occ.select("ref_id", F.when((k == 0) | (n < 1), 0.0).when(k == b, 1.0).otherwise(f).alias("completeness"))
+
+
+def reference_stats(aln: DataFrame, pi: float = 0.10) -> DataFrame:
+    """Statistics of a reference that count covered positions only: aln (ref_id, tstart, aln_len, tlen, g, fident, anc, mod).
+
+    breadth, mean, spread and evenness (1 - spread / mean) of depth over covered positions, starts, the two ends' mean depth
+    over the middle's, mean identity, and the log2 odds of ancient to modern mass beyond the prior's."""
+    d = depth_segments(aln)
+    n = F.col("stop") - F.col("start")
+    s = d.groupBy("ref_id").agg(F.sum(n).alias("cov"), F.sum(n * F.col("depth")).alias("d1"), F.sum(n * F.col("depth") ** 2).alias("d2"))
+    size = F.least(F.greatest(F.floor(F.col("tlen") / 10), F.lit(2)), F.floor(F.col("tlen") / 3))
+    a = span(aln).withColumn("e", size)
+    mass = lambda x, y: F.sum(_overlap(F.col("lo"), F.col("hi"), x, y) * F.col("g"))
+    b = a.groupBy("ref_id").agg(
+        F.count("*").alias("n_reads"), F.max("tlen").alias("tlen"), F.max("e").alias("e"), F.countDistinct("tstart").alias("starts"), (F.max("tstart") - F.min("tstart") + 1).alias("reach"), F.avg("fident").alias("avg_identity"),
+        F.avg("aln_len").alias("avg_alignment_length"), F.sum("anc").alias("n_ancient"), F.sum("mod").alias("n_modern"), (mass(F.lit(0), F.col("e")) + mass(F.col("tlen") - F.col("e"), F.col("tlen"))).alias("ends"), mass(F.col("e"), F.col("tlen") - F.col("e")).alias("middle"))
+    r = b.join(s, "ref_id", "left").fillna({"cov": 0, "d1": 0.0, "d2": 0.0})
+    covered = F.col("cov") > 0
+    mean = F.when(covered, F.col("d1") / F.col("cov")).otherwise(0.0)
+    std = F.when(covered, F.sqrt(F.greatest(F.col("d2") / F.col("cov") - (F.col("d1") / F.col("cov")) ** 2, F.lit(0.0)))).otherwise(0.0)
+    mid_n = F.col("tlen") - 2 * F.col("e")
+    ratio = F.when(F.col("tlen") >= 6, (F.col("ends") / (2 * F.col("e")) + 0.01) / (F.when(mid_n > 0, F.col("middle") / mid_n).otherwise(0.0) + 0.01)).otherwise(1.0)
+    div, reach = F.col("starts") / F.least("n_reads", "tlen"), F.col("reach") / F.col("tlen")
+    odds = F.when((F.col("n_ancient") > 0) & (F.col("n_modern") > 0), F.log2(F.col("n_ancient") / F.col("n_modern")) - F.log2(F.lit(pi / (1 - pi)))).otherwise(0.0)
+    return r.select("ref_id", "n_reads", (F.col("cov") / F.col("tlen")).alias("breadth"), mean.alias("depth_mean"), std.alias("depth_std"), F.when(mean > 0, 1 - std / mean).otherwise(0.0).alias("depth_evenness"), "avg_identity", "avg_alignment_length",
+                    F.sqrt(div * reach).alias("positional_score"), ratio.alias("terminal_ratio"), odds.alias("damage_enrichment"))
+
+
+def passes(min_reads: int = 3, min_breadth: float = 0.10, min_depth: float = 0.5, min_identity: float = 0.5, min_enrichment: float = 0.0, min_positional: float = 0.0, min_terminal: float = 0.0) -> Column:
+    """Whether a row of reference_stats meets all seven thresholds."""
+    return ((F.col("n_reads") >= min_reads) & (F.col("breadth") >= min_breadth) & (F.col("depth_mean") >= min_depth) & (F.col("avg_identity") >= min_identity)
+            & (F.col("damage_enrichment") >= min_enrichment) & (F.col("positional_score") >= min_positional) & (F.col("terminal_ratio") >= min_terminal))

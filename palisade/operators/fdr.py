@@ -37,6 +37,15 @@ def threshold_for_fdr(scores: DataFrame, target: float, step: float = 0.01) -> D
     return both.agg(F.min("cell").alias("cell"), F.min_by("fdr", "cell").alias("fdr")).select((F.col("cell") / n).alias("threshold"), "fdr")
 
 
+def labels(scores: DataFrame, most: float = 0.01) -> DataFrame:
+    """Scores (id, score, is_decoy) with fdr, decoys over targets down to the row (score descending, then id), and is_correct:
+    a target within the limit."""
+    order = F.struct((-F.col("score")).alias("s"), "id")
+    rows = scores.select("id", "score", "is_decoy", order.alias("o"), (~F.col("is_decoy")).cast("long").alias("t"), F.col("is_decoy").cast("long").alias("d"))
+    r = Ranges(rows, "o").sums(ct="t", cd="d").result().withColumn("fdr", F.col("cd") / F.greatest("ct", F.lit(1)))
+    return r.select("id", "score", "fdr", (~F.col("is_decoy") & (F.col("fdr") <= most)).alias("is_correct"))
+
+
 def pep(scores: DataFrame) -> DataFrame:
     """Targets with posterior error probabilities: a Gaussian null of the decoys against an exponential alternative."""
     s = scores.agg(F.sum((~F.col("is_decoy")).cast("long")).alias("nt"), F.sum(F.col("is_decoy").cast("long")).alias("nd"),

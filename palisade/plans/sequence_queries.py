@@ -10,6 +10,9 @@ from palisade.operators import annotate as N
 from palisade.operators import clustering as K
 from palisade.operators import fdr as D
 from palisade.operators import profile as P
+from palisade.operators import read_damage as RD
+from palisade.operators import sample_counts as SC
+from palisade.operators import sample_models as SM
 from palisade.plans.adapters import SEQ, sequences
 from palisade.session import table
 
@@ -80,6 +83,25 @@ def sample_profile(spark, sf_dir):
     return spark.createDataFrame(rows, "channel string, baseline double, amplitude double, rate double, llr double, d_max double, p_damage double")
 
 
+def sample_counts(spark, sf_dir):
+    """All counts that the sample's damage models need."""
+    return SC.counts(sequences(spark, sf_dir)).select("channel", "a", "b", F.col("n").cast("long").alias("n"))
+
+
+def sample_models(spark, sf_dir):
+    """The sample's fits, one row a named figure; numeric, so there is no SQL for it (its counts have)."""
+    m = SM.fit(SC.counts(sequences(spark, sf_dir)))
+    flat = {f"{e}_{k}": float(m[e][k]) for e in ("5p", "3p") for k in ("shift", "z", "baseline", "amplitude", "rate", "llr", "control_shift", "wobble")}
+    flat |= {f"stops_{k}": float(m["stops"][k]) for k in ("baseline", "amplitude", "llr", "d_max", "slope")} | {f"oxidation_{k}": float(m["oxidation"][k]) for k in ("baseline", "uniformity", "level")}
+    flat |= {"gc_d_max": m["gc"]["d_max"], "gc_peak": m["gc"]["peak"], "hexamer_llr": m["hexamer_llr"], "classes": float(len(m["mixture"]["levels"])), "factor": m["factor"], "d_max": float(m["d_max"])}
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in flat.items()], "name string, value double")
+
+
+def read_damage(spark, sf_dir):
+    """Each sequence's probability of bearing damage at fixed sample parameters; numeric, so there is no SQL for it."""
+    return sequences(spark, sf_dir).select("doc_id", F.round(RD.damage_prior("seq", D_MAX, RATE), 6).alias("p_damaged"))
+
+
 def _pairs(spark, sf_dir):
     """Ungapped protein alignments: frame-0 proteins of consecutive documents, cut to the shorter; forward strand."""
     p = sequences(spark, sf_dir).select("doc_id", S.translate("seq").alias("protein"))
@@ -205,7 +227,17 @@ def _summary_sql(source: str, no_site: str) -> str:
 _EV = "ev AS (SELECT event_id AS id, value AS score, event_type = 'error' AS dec FROM events WHERE value IS NOT NULL)"
 _LAB = "lb AS (SELECT n_chars/CAST(10000.0 AS DOUBLE) AS score, quality AS label FROM labels JOIN documents USING (doc_id))"
 _LG = "ln(least(greatest({0},1e-9),1-1e-9)/(1-least(greatest({0},1e-9),1-1e-9)))"
+_D4 = "list_reduce(list_transform(string_split(translate({0},'ACGT','0123'),''), lambda x: CAST(x AS BIGINT)), lambda a, x: a*4+x)"
+_ENDS = "range(0,15) r(p)"
+_SAMPLE = SEQ + """, sl AS (SELECT seq, length(seq) AS n, CAST(least(floor((length(seq[6:length(seq)-5])-length(translate(seq[6:length(seq)-5],'GC','')))*10/length(seq[6:length(seq)-5])),9) AS BIGINT) AS gb, seq[length(seq)//3+1:2*length(seq)//3] AS mid FROM seqs),
+m AS (SELECT unnest(['A','C','G','T']) AS b), kd AS (SELECT * FROM (VALUES ('CAA','stop'),('CAG','stop'),('CGA','stop'),('TAA','stop'),('TAG','stop'),('TGA','stop'),('GAG','ox'),('GAA','ox'),('GGA','ox'),('TAA','ox'),('TAG','ox'),('TGA','ox')) v(cd, ch)),
+co AS (SELECT ch, p, cd, gb FROM sl, range(0,15) r(p) JOIN kd ON cd = seq[p+1:p+3]), ci AS (SELECT ch, cd FROM (SELECT seq, unnest(range(30, n-32)) AS p FROM sl WHERE n >= 63) JOIN kd ON cd = seq[p+1:p+3])"""
+_SAMPLE_ROWS = f"""SELECT '5p' AS channel, p AS a, seq[p+1] AS b FROM sl, {_ENDS} UNION ALL SELECT '3p', p, seq[n-p] FROM sl, {_ENDS} UNION ALL SELECT 'phase5', p % 3, seq[p+1] FROM sl, {_ENDS} UNION ALL SELECT 'phase3', p % 3, seq[n-p] FROM sl, {_ENDS}
+ UNION ALL SELECT 'cpg', p, seq[p+1:p+2] FROM sl, range(0,5) r(p) WHERE seq[p+1:p+2] IN ('CG','TG') UNION ALL SELECT 'gc', gb, 'reads' FROM sl UNION ALL SELECT 'gc5', gb*100+p, seq[p+1] FROM sl, {_ENDS} WHERE seq[p+1] IN ('C','T')
+ UNION ALL SELECT ch, p, cd FROM co UNION ALL SELECT ch || '_in', 0, cd FROM ci UNION ALL SELECT 'gcstop', gb*100+p, CASE WHEN cd IN ('TAA','TAG','TGA') THEN 'stop' ELSE 'pre' END FROM co WHERE ch = 'stop'
+ UNION ALL SELECT 'hex5', {_D4.format('seq[1:6]')}, '' FROM sl UNION ALL SELECT 'hexmid', {_D4.format('seq[n//2-2:n//2+3]')}, '' FROM sl"""
 ORACLE = {
+    "sample_counts": f"WITH {_SAMPLE}, rw AS ({_SAMPLE_ROWS}), al AS (SELECT channel, a, b, count(*) AS n FROM rw GROUP BY ALL UNION ALL SELECT 'mid', 0, b, CAST(sum(length(mid)-length(replace(mid,b,''))) AS BIGINT) FROM sl, m GROUP BY b UNION ALL SELECT 'gcmid', gb, b, CAST(sum(length(mid)-length(replace(mid,b,''))) AS BIGINT) FROM sl, m WHERE b IN ('C','T') GROUP BY gb, b) SELECT channel, CAST(a AS BIGINT) AS a, b, n FROM al WHERE n > 0",
     "revcomp": f"WITH {SEQ} SELECT doc_id, translate(reverse(seq),'ACGT','TGCA') AS rc, round((length(seq)-length(translate(seq,'GC','')))/length(seq),6) AS gc FROM seqs",
     "translate_6frame": f"WITH {_FRAMES} SELECT doc_id, strand, CAST(frame AS INT) AS frame, CAST(length(protein) AS INT) AS n_aa, length(protein)-length(replace(protein,'*','')) AS n_stops, md5(protein) AS protein_md5 FROM pr",
     "orf_top_per_frame": f"WITH {_FRAMES}, o AS (SELECT doc_id, strand, CAST(frame AS INT) AS frame, CAST(list_max(list_transform(string_split(protein,'*'), lambda x: length(x))) AS INT) AS orf_aa FROM pr) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, strand ORDER BY orf_aa DESC, frame) AS INT) AS rank FROM o",
@@ -245,4 +277,4 @@ ORACLE = {
     "consensus_pileup": f"""WITH {SEQ}, c AS (SELECT lang, pos, residue, count(*) AS n FROM (SELECT lang, seq[p+1] AS residue, CAST(p AS INT) AS pos FROM (SELECT lang, seq, unnest(range(0,length(seq))) AS p FROM seqs JOIN documents USING (doc_id))) GROUP BY ALL),
  r AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(n) OVER w,0) AS sec, sum(n) OVER (PARTITION BY lang, pos) AS depth FROM c WINDOW w AS (PARTITION BY lang, pos ORDER BY n DESC, residue)) SELECT lang, pos, residue, n, CAST(depth AS BIGINT) AS depth, CAST(depth >= 3 AND n >= 2*sec AS INT) AS candidate FROM r WHERE rn = 1""",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLE, "sample_profile", "components"]}
+QUERIES = {name: globals()[name] for name in [*ORACLE, "sample_profile", "sample_models", "read_damage", "components"]}
