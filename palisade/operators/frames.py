@@ -23,18 +23,33 @@ def _codons(data: np.ndarray) -> np.ndarray:
     return np.where((a < 4) & (b < 4) & (c < 4), a * 16 + b * 4 + c, 64)
 
 
-def usage(seqs: DataFrame) -> np.ndarray:
-    """Counts of the 64 codons (A, C, G, T in order) in frame 0 of all sequences; 64 rows reach the driver."""
+def word_counts(seqs: DataFrame, k: int, step: int = 1) -> DataFrame:
+    """(code, n): how often each word of k bases (base-4 code, A, C, G, T in order) begins at every step-th base of seqs (seq);
+    words with other letters don't count. A task sends one count a word."""
 
     def run(batches):
-        n = np.zeros(65, np.int64)
+        n = np.zeros(4 ** k, np.int64)
         for b in batches:
             for s in b.column("seq").to_pylist():
-                n += np.bincount(_codons(_DIGIT[np.frombuffer((s or "").encode("latin-1", "replace"), np.uint8)])[::3], minlength=65)
-        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array(n[:64])], ["code", "n"])
+                d = _DIGIT[np.frombuffer((s or "").encode("latin-1", "replace"), np.uint8)]
+                m = len(d) - k + 1
+                if m < 1:
+                    continue
+                code, ok = np.zeros(m, np.int64), np.ones(m, bool)
+                for i in range(k):
+                    code = code * 4 + d[i:i + m]
+                    ok &= d[i:i + m] < 4
+                n += np.bincount(code[::step][ok[::step]], minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at])], ["code", "n"])
+
+    return seqs.select("seq").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
+
+def usage(seqs: DataFrame) -> np.ndarray:
+    """Counts of the 64 codons (A, C, G, T in order) in frame 0 of all sequences; 64 rows reach the driver."""
     out = np.zeros(64)
-    for r in seqs.select("seq").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+    for r in word_counts(seqs, 3, 3).collect():
         out[r["code"]] = r["n"]
     return out
 

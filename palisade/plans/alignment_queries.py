@@ -13,7 +13,7 @@ from palisade.operators import coverage as C
 from palisade.operators import em as E
 from palisade.operators.ranges import lower_rank
 from palisade.plans.adapters import ALN, SOFT, alignments, soft_alignments
-from palisade.session import table
+from palisade.session import cut, table
 from palisade.streaming import incremental as I
 
 R = 6
@@ -118,7 +118,7 @@ def coverage_weight(spark, sf_dir):
 
 
 def _summary(spark, sf_dir):
-    a = _gammaed(spark, sf_dir)
+    a = cut(_gammaed(spark, sf_dir).select("ref_id", "tstart", "aln_len", "tlen", "g", "p_read", "fident"), "gammas")  # read by four aggregations
     dam = (F.col("p_read") > 0.04).cast("double")
     base = a.groupBy("ref_id").agg(
         F.count("*").alias("n_reads"), F.sum("g").alias("eff_reads"), F.sum(F.col("g") * dam).alias("n_ancient"), F.sum(F.col("g") * (1 - dam)).alias("n_modern"),

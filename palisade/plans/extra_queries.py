@@ -6,14 +6,16 @@ import math
 
 from pyspark.sql import functions as F
 
+from palisade.functions import codons as Q
 from palisade.functions import sequence as S
 from palisade.operators import annotate as N
 from palisade.operators import clustering as K
 from palisade.operators import coverage as C
 from palisade.operators import fdr as D
+from palisade.operators import markov as M
 from palisade.operators import report as R
 from palisade.operators.frames import frame_scores as score_frames
-from palisade.operators.ranges import lower_rank
+from palisade.operators.ranges import Ranges, lower_rank
 from palisade.plans.adapters import ALN, SEQ, alignments, sequences
 from palisade.plans.alignment_queries import SEGMENTS
 from palisade.plans.chain_queries import _HITS, _IDX, _SITES, _STRIP, _SU, damage_index, hits
@@ -108,6 +110,58 @@ def frame_scores(spark, sf_dir):
     return f.select("doc_id", "strand", "frame", "n_codons", "stops", F.round("score", 6).alias("score"), "rank")
 
 
+def codon_panel(spark, sf_dir):
+    """Functions on codons over the first six codons of each sequence."""
+    c = sequences(spark, sf_dir).select("doc_id", F.length("seq").alias("n"), F.posexplode(S.codons(F.substring("seq", 1, 18))).alias("i", "codon"))
+    aa = F.try_element_at(F.create_map(*[F.lit(x) for kv in S.CODONS.items() for x in kv]), F.col("codon"))
+    return c.select("doc_id", "i", "codon", Q.is_stop("codon").cast("int").alias("is_stop"), Q.is_start("codon").cast("int").alias("is_start"), Q.codon_number("codon").alias("number"), Q.codon_of(Q.codon_number("codon")).alias("again"), Q.codons_of(aa).alias("synonyms"),
+                    Q.damaged_residue("codon", "C", "T").alias("ct"), Q.damaged_residue("codon", "G", "A").alias("ga"), Q.stop_origin("codon", F.col("i") * 3, "n").alias("origin"))
+
+
+def frame_posteriors(spark, sf_dir):
+    """Softmax and entropy of each sequence's six frames, whose scores are their shares of stops."""
+    six = _frames(spark, sf_dir).select("doc_id", (-20.0 * S.base_count("protein", "*") / F.greatest(F.length("protein"), F.lit(1))).alias("s"))
+    f = six.groupBy("doc_id").agg(F.collect_list("s").alias("s")).select("doc_id", Q.posterior("s", 2.0).alias("p"))  # six scores each
+    return f.select("doc_id", F.round(F.array_max("p"), 6).alias("best"), F.round(Q.entropy("p"), 6).alias("entropy"))
+
+
+def base_composition(spark, sf_dir):
+    return sequences(spark, sf_dir).select("doc_id", *Q.composition("seq"))
+
+
+def decay_slope(spark, sf_dir):
+    """Least-squares slope of T/(T+C) over the first six positions of each language's sequences."""
+    s = sequences(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    c = s.select("lang", F.posexplode(S.bases(F.substring("seq", 1, 6))).alias("pos", "b")).groupBy("lang", "pos").agg(F.sum((F.col("b") == "T").cast("long")).alias("t"), F.sum((F.col("b") == "C").cast("long")).alias("c"))
+    return c.where("t + c > 0").groupBy("lang").agg(F.round(F.regr_slope(F.col("t") / (F.col("t") + F.col("c")), F.col("pos")), 9).alias("slope"))
+
+
+def markov_counts(spark, sf_dir):
+    """How often each base follows each pair in each phase, by fifths of GC."""
+    return M.counts(sequences(spark, sf_dir), 5)
+
+
+def targets_by_reads(spark, sf_dir):
+    """References by the number of their reads, the most first, with their rank."""
+    c = alignments(spark, sf_dir).groupBy("ref_id").agg(F.count("*").alias("n_reads"))
+    r = Ranges(c.select("ref_id", "n_reads", F.struct((-F.col("n_reads")).alias("n"), "ref_id").alias("o"), F.lit(1).cast("long").alias("one")), "o").sums(rank="one").result()
+    return r.select("ref_id", "n_reads", "rank")
+
+
+def moments(spark, sf_dir):
+    """Mean and spread of bits by aligned length; a spread under 1e-4 counts as 1."""
+    s = alignments(spark, sf_dir).groupBy("aln_len").agg(F.count("*").alias("n"), F.avg("bits").alias("mean"), F.sqrt(F.greatest(F.avg(F.col("bits") ** 2) - F.avg("bits") ** 2, F.lit(0.0))).alias("sd"))
+    return s.select("aln_len", "n", F.round("mean", 6).alias("mean"), F.round(F.when(F.col("sd") < 1e-4, 1.0).otherwise(F.col("sd")), 5).alias("sd"))
+
+
+def damage_profile_wide(spark, sf_dir):
+    """T/(T+C) of the first ten and A/(A+G) of the last ten positions, a row a language."""
+    s = sequences(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    ends = F.array(*[F.struct(F.lit(e).alias("e"), F.lit(i).alias("i"), (F.substring("seq", i + 1, 1) if e == "tc" else F.substring("seq", -1 - i, 1)).alias("b")) for e in ("tc", "ag") for i in range(10)])
+    rows = s.select("lang", F.explode(ends).alias("x")).select("lang", F.concat("x.e", F.lit("_"), "x.i").alias("k"), F.when(F.col("x.b").isin("T", "A"), 1).otherwise(0).alias("up"), F.when(F.col("x.e") == "tc", F.col("x.b").isin("T", "C")).otherwise(F.col("x.b").isin("A", "G")).alias("ok"))
+    return rows.where("ok").groupBy("lang").pivot("k", [f"{e}_{i}" for e in ("tc", "ag") for i in range(10)]).agg(F.round(F.avg("up"), 6))
+
+
 def _silent_sql() -> str:
     parts: dict[str, list[str]] = {}
     for end, base, was in (("5", "T", "C"), ("3", "A", "G")):
@@ -150,6 +204,17 @@ ORACLE = {
     "fdr_labels": f"WITH {_EV}, r AS (SELECT id, dec, sum(CASE WHEN dec THEN 0 ELSE 1 END) OVER w AS t, sum(CASE WHEN dec THEN 1 ELSE 0 END) OVER w AS d FROM ev WINDOW w AS (ORDER BY score DESC, id)) SELECT id, round(d/greatest(t,1),9) AS fdr, CAST(NOT dec AND d/greatest(t,1) <= CAST(0.2 AS DOUBLE) AS INT) AS is_correct FROM r",
     "calibration_table": "SELECT coalesce(lang,'all') AS lang, coalesce(length_bin,-1) AS length_bin, count(*) AS n, CAST(sum(quality) AS BIGINT) AS correct, round(sum(quality)/count(*),6) AS precision FROM (SELECT coalesce(lang,'?') AS lang, CAST(least(n_chars // 1000, 9) AS BIGINT) AS length_bin, quality FROM labels JOIN documents USING (doc_id)) GROUP BY CUBE (lang, length_bin)",
     "gc_threshold": f"WITH {SEQ}, b AS (SELECT CAST(least(floor((length(seq)-length(translate(seq,'GC','')))/length(seq)*100),99) AS BIGINT) AS bin FROM seqs), r AS (SELECT bin, row_number() OVER (ORDER BY bin) AS rn, count(*) OVER () AS n FROM b) SELECT bin/CAST(100 AS DOUBLE) AS threshold, n FROM r WHERE rn = greatest(CAST(floor(n*CAST(0.7 AS DOUBLE)) AS BIGINT),1)",
+    "codon_panel": f"""WITH {SEQ}, c AS (SELECT doc_id, length(seq) AS n, CAST(i AS INT) AS i, seq[3*i+1:3*i+3] AS codon FROM seqs, range(0,6) r(i)), g AS (SELECT cd, aa FROM (VALUES {', '.join(f"('{c}','{a}')" for c, a in S.CODONS.items())}) v(cd, aa)), y AS (SELECT aa, string_agg(cd, ',' ORDER BY cd) AS syn FROM g GROUP BY aa),
+ d AS (SELECT *, CASE WHEN strpos(codon,'C') > 0 THEN codon[:strpos(codon,'C')-1] || 'T' || codon[strpos(codon,'C')+1:] END AS t, CASE WHEN strpos(codon,'G') > 0 THEN codon[:strpos(codon,'G')-1] || 'A' || codon[strpos(codon,'G')+1:] END AS a FROM c)
+ SELECT doc_id, i, codon, CAST(codon IN ('TAA','TAG','TGA') AS INT) AS is_stop, CAST(codon IN ('ATG','GTG','TTG') AS INT) AS is_start, CAST((strpos('TCAG',codon[1])-1)*16+(strpos('TCAG',codon[2])-1)*4+strpos('TCAG',codon[3])-1 AS INT) AS number, codon AS again, syn AS synonyms, gt.aa AS ct, ga.aa AS ga,
+ CASE WHEN codon IN ('TAA','TAG') THEN 'Q' WHEN codon = 'TGA' THEN CASE WHEN n-3-3*i < 3*i AND n-3-3*i < 20 THEN 'W' ELSE 'R' END ELSE 'X' END AS origin FROM d JOIN g ON g.cd = codon JOIN y ON y.aa = g.aa LEFT JOIN g gt ON gt.cd = t LEFT JOIN g ga ON ga.cd = a""",
+    "frame_posteriors": f"WITH {_FRAMES}, s AS (SELECT doc_id, -CAST(20 AS DOUBLE)*(length(protein)-length(replace(protein,'*','')))/greatest(length(protein),1) AS sc FROM pr), e AS (SELECT doc_id, exp((sc-max(sc) OVER (PARTITION BY doc_id))/2) AS e FROM s), p AS (SELECT doc_id, e/sum(e) OVER (PARTITION BY doc_id) AS p FROM e) SELECT doc_id, round(max(p),6) AS best, round(-sum(CASE WHEN p > 0 THEN p*log2(p) ELSE 0 END),6) AS entropy FROM p GROUP BY doc_id",
+    "base_composition": f"WITH {SEQ} SELECT doc_id, {', '.join(f"length(seq)-length(replace(seq,'{b}','')) AS {b.lower()}" for b in 'ACGT')}, CAST(0 AS BIGINT) AS other FROM seqs",
+    "decay_slope": f"WITH {SEQ}, c AS (SELECT lang, p, sum(CASE WHEN seq[p+1]='T' THEN 1 ELSE 0 END) AS t, sum(CASE WHEN seq[p+1]='C' THEN 1 ELSE 0 END) AS c FROM seqs JOIN documents USING (doc_id), range(0,6) r(p) GROUP BY lang, p) SELECT lang, round(regr_slope(t/(t+c), p),9) AS slope FROM c WHERE t+c > 0 GROUP BY lang",
+    "markov_counts": f"WITH {SEQ}, x AS (SELECT seq, CAST(least((length(seq)-length(translate(seq,'GC','')))*5//length(seq),4) AS INT) AS gc_bin FROM seqs), t AS (SELECT gc_bin, CAST(i % 3 AS INT) AS phase, seq[i-1:i+1] AS k, count(*) AS n FROM (SELECT seq, gc_bin, unnest(range(2, length(seq))) AS i FROM x) GROUP BY ALL) SELECT gc_bin, phase, CAST(list_reduce(list_transform(string_split(translate(k,'ACGT','0123'),''), lambda x: CAST(x AS BIGINT)), lambda a, x: a*4+x) AS INT) AS triple, n FROM t",
+    "targets_by_reads": f"WITH {ALN} SELECT ref_id, n_reads, row_number() OVER (ORDER BY n_reads DESC, ref_id) AS rank FROM (SELECT ref_id, count(*) AS n_reads FROM aln GROUP BY ref_id)",
+    "moments": f"WITH {ALN}, s AS (SELECT aln_len, count(*) AS n, avg(bits) AS mean, sqrt(greatest(avg(bits*bits)-avg(bits)*avg(bits),0)) AS sd FROM aln GROUP BY aln_len) SELECT aln_len, n, round(mean,6) AS mean, round(CASE WHEN sd < 1e-4 THEN 1 ELSE sd END,5) AS sd FROM s",
+    "damage_profile_wide": f"WITH {SEQ} SELECT lang, {', '.join(f"round(avg(CASE WHEN seq[{i + 1}] = 'T' THEN 1 WHEN seq[{i + 1}] = 'C' THEN 0 END),6) AS tc_{i}" for i in range(10))}, {', '.join(f"round(avg(CASE WHEN seq[length(seq)-{i}] = 'A' THEN 1 WHEN seq[length(seq)-{i}] = 'G' THEN 0 END),6) AS ag_{i}" for i in range(10))} FROM seqs JOIN documents USING (doc_id) GROUP BY lang",
     "median_length": f"WITH {ALN}, r AS (SELECT aln_len, row_number() OVER (ORDER BY aln_len) - 1 AS rn, count(*) OVER () AS n FROM aln) SELECT aln_len AS median, n FROM r WHERE rn = n // 2",
     "frame_scores": f"""WITH {_FRAMES}, u AS (SELECT c, count(*) AS k FROM (SELECT unnest(regexp_extract_all(seq,'...')) AS c FROM seqs) GROUP BY c), t AS (SELECT c, ln((k+0.5)/((SELECT sum(k) FROM u)+32)*64) AS w FROM u),
  x AS (SELECT doc_id, strand, frame, unnest(cs) AS c FROM fr), s AS (SELECT doc_id, strand, CAST(frame AS INT) AS frame, count(*) AS n_codons, CAST(sum(CASE WHEN x.c IN ('TAA','TAG','TGA') THEN 1 ELSE 0 END) AS BIGINT) AS stops, sum(CASE WHEN x.c IN ('TAA','TAG','TGA') THEN 0 ELSE coalesce(w, ln(0.5/((SELECT sum(k) FROM u)+32)*64)) END) AS w FROM x LEFT JOIN t ON t.c = x.c GROUP BY ALL),

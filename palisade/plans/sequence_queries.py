@@ -13,6 +13,7 @@ from palisade.operators import profile as P
 from palisade.operators import read_damage as RD
 from palisade.operators import sample_counts as SC
 from palisade.operators import sample_models as SM
+from palisade.operators.frames import word_counts
 from palisade.plans.adapters import SEQ, sequences
 from palisade.session import table
 
@@ -39,8 +40,9 @@ def orf_top_per_frame(spark, sf_dir):
 
 
 def codon_usage(spark, sf_dir):
-    c = sequences(spark, sf_dir).select(F.explode(S.codons("seq")).alias("codon")).groupBy("codon").agg(F.count("*").alias("n"))
-    return c.crossJoin(c.agg(F.sum("n").alias("total"))).select("codon", "n", F.round(F.col("n") / F.col("total"), 9).alias("freq"))
+    c = word_counts(sequences(spark, sf_dir), 3, 3)
+    codon = F.concat(*[F.substr(F.lit("ACGT"), (F.floor(F.col("code") / d) % 4 + 1).cast("int"), F.lit(1)) for d in (16, 4, 1)])
+    return c.select(codon.alias("codon"), "n", F.round(F.col("n") / F.sum("n").over(W.partitionBy()), 9).alias("freq"))  # 64 rows
 
 
 def gc_bins(spark, sf_dir):
@@ -56,8 +58,7 @@ def kmer_df(spark, sf_dir):
 
 
 def hexamer_counts(spark, sf_dir):
-    h = sequences(spark, sf_dir).select(F.explode(S.kmers("seq", 6)).alias("k")).select(S.hexamer_code("k").alias("code"))
-    return h.where("code is not null").groupBy("code").agg(F.count("*").alias("n"))
+    return word_counts(sequences(spark, sf_dir), 6)
 
 
 def decoy_codon_reverse(spark, sf_dir):

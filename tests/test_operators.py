@@ -299,6 +299,24 @@ def test_protein_damage_fit(spark):
     assert high["p_damaged"] > 0.9 and high["ci_lower"] < high["delta_mle"] < high["ci_upper"] and empty["p_damaged"] == pytest.approx(0.5)
 
 
+def test_protein_damage_equals_a_scan():
+    """The maximum, the interval and the test by a fine scan with the standard library's log-gamma."""
+    from math import erfc, lgamma
+
+    for n, k, k2 in ((12, 5.5, 3.2), (40, 2.0, 0.4), (6, 6.0, 6.0), (25, 0.0, 0.0), (100, 61.0, 45.0)):
+        got = {c: float(v[0]) for c, v in stats.fit_share(*(np.array([float(x)]) for x in (n, k, k2))).items()}
+        guess = min(max((k + 1) / (n + 2), 0.01), 0.99)
+        phi = min(max(guess * (1 - guess) / max(k2 / n - (k / n) ** 2, 1e-6) - 1, 2), 1000)
+        lb = lambda a, b: lgamma(a) + lgamma(b) - lgamma(a + b)
+        ts = [1e-6, *[i / 5000 for i in range(1, 5000)], 1 - 1e-6]
+        ll = [lb(k + t * phi, n - k + (1 - t) * phi) - lb(t * phi, (1 - t) * phi) for t in ts]
+        top = max(ll)
+        inside = [t for t, v in zip(ts, ll) if top - v < 1.92]
+        assert got["delta_mle"] == pytest.approx(ts[ll.index(top)], abs=3e-4)
+        assert (got["ci_lower"], got["ci_upper"]) == pytest.approx((inside[0], inside[-1]), abs=5e-4)
+        assert got["lrt_pvalue"] == pytest.approx(erfc(max(0.0, top - ll[0]) ** 0.5), abs=1e-4)
+
+
 def test_metamorphic_partitions(spark):
     rows = [(i % 11, i % 5, float(i * 37 % 101)) for i in range(60)]
     a = A.best_hits(aln(spark, rows)).orderBy("read_id").select("read_id", "ref_id", "bits").collect()

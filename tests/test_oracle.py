@@ -7,7 +7,6 @@ from palisade.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
-SLOW = {"kmer_df", "hexamer_counts", "minimizers", "seed_pairs", "consensus_pileup"}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +17,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_matches_sql(spark, duck, name):
     got = registry.QUERIES[name](spark, SF).toPandas()
     want = duck.execute(registry.ORACLE[name]).df()
