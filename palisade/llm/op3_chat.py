@@ -5,7 +5,8 @@ assistant and all others as named users; mask spans mark what the assistant is t
 marks). A rendering is a sequence of parts of PART turns, with the place of each part's first character in the whole:
 parts joined in order are the whole, and a part's spans moved by its place are the whole's spans, so no conversation
 has to be gathered in one task; whole() gathers them where that is wanted. Turns are numbered by ranges of the sorted
-table, so one long conversation lies in many tasks.
+table, so one long conversation lies in many tasks. The turns of a part are brought together once, and rendered for every
+participant where they lie.
 
 Edge cases: a null role is called `unknown`, a null text is empty, null conversation ids form one conversation; turns
 are ordered by turn, role, text (nulls first); repeated rows are repeated turns; marks within texts are broken up.
@@ -14,7 +15,7 @@ Extra columns are ignored. A conversation always has a participant, so none is l
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,45 +25,60 @@ PART = 256
 
 
 def numbered(turns: DataFrame) -> DataFrame:
-    """turns (conv_id, turn, role, text) with pos, their place in the conversation from 0: places within the ranges of a
-    sort, and the sums of the ranges before."""
-    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
+    """turns (key, turn, role, text) with pos, their place in the conversation from 0: places in the ranges of a sort, less
+    the place of the conversation's first turn there, and the turns in the ranges before."""
+    order = [F.col(c).asc_nulls_first() for c in ("key", "turn", "role", "text")]
     n = max(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-    ranges = cut(turns.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()), "chat-ranges")
-    sizes = ranges.groupBy("conv_id", "__p").agg(F.count("*").alias("n"))  # a row a conversation and range
-    before = F.coalesce(F.sum("n").over(W.partitionBy("conv_id").orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(F.col("conv_id").alias("c"), F.col("__p").alias("q"), before.alias("before"))
-    own = ranges.withColumn("own", F.row_number().over(W.partitionBy("conv_id", "__p").orderBy(*order[1:])) - 1)
-    placed = own.join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("__p") == F.col("q")))
-    return placed.select("conv_id", "turn", "role", "text", (F.col("own") + F.col("before")).cast("long").alias("pos"))
+    ranges = turns.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranges = cut(ranges.select("key", "role", "text", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__i")), "chat-ranges")
+    own = ranges.groupBy("key", "__p").agg(F.count("*").alias("n"), F.min("__i").alias("first"))  # a row a conversation and range
+    before = F.coalesce(F.sum("n").over(W.partitionBy("key").orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shifts = own.select("key", "__p", (before - F.col("first")).alias("shift"))
+    return ranges.join(shifts, ["key", "__p"]).select("key", "role", "text", (F.col("__i") + F.col("shift")).alias("pos"))
+
+
+_ASSISTANT, _END = "<|assistant|>\n", "<|end|>"
+
+
+def _head(role: Column, own: Column) -> Column:
+    return F.when(own, F.lit(_ASSISTANT)).otherwise(F.concat(F.lit("<|user name="), role, F.lit("|>\n")))
+
+
+def _places(turns: DataFrame, part: int) -> DataFrame:
+    """(key, part, people): every participant of the conversation with part_start, the characters of its rendering before the
+    part, from counts and lengths alone."""
+    own = F.length(_head(F.col("role"), F.lit(True))) - F.length(_head(F.col("role"), F.lit(False)))
+    sizes = turns.groupBy("key", (F.col("pos") / part).cast("long").alias("part"), "role").agg(
+        F.count("*").alias("n"), F.sum((F.length(_head(F.col("role"), F.lit(False))) + F.length("text") + len(_END) + 1).cast("long")).alias("size"), F.max(own).alias("own"))
+    ahead = W.partitionBy("key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = sizes.groupBy("key", "part").agg(F.sum("size").alias("size")).select("key", "part", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("others"))
+    people = sizes.groupBy("key", "role").agg(F.max("own").alias("own"))
+    grid = parts.join(people, "key").join(sizes.select("key", "part", "role", "n"), ["key", "part", "role"], "left")
+    mine = F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(W.partitionBy("key", "role").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = grid.select("key", "part", F.struct(F.col("role").alias("perspective"), (F.col("others") + mine * F.col("own")).alias("part_start")).alias("p"))
+    return placed.groupBy("key", "part").agg(F.collect_list("p").alias("people"))
 
 
 def rotate(conversations: DataFrame, part: int = PART) -> DataFrame:
     """conv_id, perspective, part, n_turns, n_masked, text, mask_spans ("start-end" in characters of the part,
     comma-joined), part_start (characters of the whole before the part)."""
     turns = numbered(conversations.select(
-        F.col("conv_id").cast("string").alias("conv_id"), "turn",
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("?")).alias("key"), "turn",
         F.coalesce("role", F.lit("unknown")).alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text")))
-    people = turns.select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
-    rows = turns.join(people, F.col("conv_id").eqNullSafe(F.col("c")))
-    own = F.col("role") == F.col("perspective")
-    head = F.when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), "role", F.lit("|>\n")))
-    body = F.concat("text", F.lit("<|end|>"))
-    rows = rows.select("conv_id", "perspective", (F.col("pos") / part).cast("long").alias("part"), "pos", own.cast("long").alias("masked"),
-                       head.alias("head"), F.concat(head, body, F.lit("\n")).alias("seg"), F.length(head).alias("h"), F.length(body).alias("b"))
-    key = ["conv_id", "perspective", "part"]
-    before = F.coalesce(F.sum(F.length("seg")).over(W.partitionBy(*key).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("s", before + F.col("h"))
-    span = F.when(F.col("masked") == 1, F.concat(F.col("s").cast("string"), F.lit("-"), (F.col("s") + F.col("b")).cast("string")))
-    got = rows.groupBy(*key).agg(
-        F.count("*").alias("n_turns"), F.sum("masked").alias("n_masked"),
-        F.sort_array(F.collect_list(F.struct("pos", "seg", span.alias("span")))).alias("all"))
-    got = got.withColumn("text", F.array_join(F.transform("all", lambda x: x["seg"]), ""))
-    sizes = rows.groupBy(*key).agg(F.sum(F.length("seg").cast("long")).alias("size"))
-    ahead = F.coalesce(F.sum("size").over(W.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    places = sizes.select(F.col("conv_id").alias("c"), F.col("perspective").alias("q"), F.col("part").alias("p"), ahead.alias("part_start"))
-    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("q")) & (F.col("part") == F.col("p"))
-    return got.join(places, same).select(*key, "n_turns", "n_masked", "text", F.array_join(F.transform("all", lambda x: x["span"]), ",").alias("mask_spans"), "part_start")
+    parts = turns.groupBy("key", (F.col("pos") / part).cast("long").alias("part")).agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))  # at most part turns
+    rows = parts.join(_places(turns, part), ["key", "part"]).select("key", "part", "turns", F.inline("people"))
+
+    def mark(acc: Column, x: Column) -> Column:
+        own = x["role"] == F.col("perspective")
+        start = acc["at"] + F.length(_head(x["role"], own))
+        stop = start + F.length(x["text"]) + len(_END)
+        span = F.concat_ws("-", start.cast("string"), stop.cast("string"))
+        return F.struct((stop + 1).cast("long").alias("at"), F.when(own, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    text = F.array_join(F.transform("turns", lambda x: F.concat(_head(x["role"], x["role"] == F.col("perspective")), x["text"], F.lit(_END + "\n"))), "")
+    spans = F.aggregate("turns", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("spans")), mark)["spans"]
+    return rows.select(F.when(F.col("key") != "?", F.expr("substring(key, 2)")).alias("conv_id"), "perspective", "part", F.size("turns").cast("long").alias("n_turns"),
+                       F.size(F.filter("turns", lambda x: x["role"] == F.col("perspective"))).cast("long").alias("n_masked"), text.alias("text"), F.array_join(spans, ",").alias("mask_spans"), "part_start")
 
 
 def whole(parts: DataFrame) -> DataFrame:
