@@ -32,7 +32,32 @@ def parsed(raw: DataFrame) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, compression: str | None = None) -> None:
     """Tab-separated with a header; nulls are written as a point."""
-    df.write.csv(path, sep="\t", header=True, nullValue=".", compression=compression, quote="")
+    df.write.csv(path, sep="\t", header=True, nullValue=".", compression=compression, quote="", emptyValue="")
+
+
+def write_reports(tables: dict[str, DataFrame], folder: str, compression: str | None = None) -> None:
+    """Each table of a run (reads, sites, genes, proteins, combined, functions, abundance) as <folder>/<name>.tsv."""
+    for name, df in tables.items():
+        flat = df.select(*[F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes if not t.startswith("struct")])
+        write_table(flat, f"{folder}/{name}.tsv", compression)
+
+
+def write_index(records: DataFrame, folder: str, **sample: float | str | bool) -> None:
+    """A damage index: records (id, p_damaged, ...) and one row of what is known of the sample (d_max, rate, state and so on)."""
+    records.write.parquet(f"{folder}/records")
+    spark = records.sparkSession
+    spark.createDataFrame([tuple(sample.values())], list(sample)).write.parquet(f"{folder}/sample")
+
+
+def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
+    """Records of a damage index, and its sample's row."""
+    return spark.read.parquet(f"{folder}/records"), spark.read.parquet(f"{folder}/sample").first().asDict()
+
+
+def write_stats(stats: DataFrame, folder: str) -> None:
+    """Reference statistics as a table and as JSON lines."""
+    write_table(stats, f"{folder}/references.tsv")
+    summary_json(stats).write.text(f"{folder}/references.json")
 
 
 def write_hits_parquet(hits: DataFrame, path: str) -> None:

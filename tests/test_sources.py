@@ -19,6 +19,18 @@ def test_hits(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 3
 
 
+def test_reports_and_index(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.5, ["a", "b"]), (2, None, [])], "ref_id long, x double, tags array<string>")
+    S.write_reports({"genes": df, "reads": df.drop("tags")}, str(tmp_path / "run"))
+    lines = sorted("".join(f.read_text() for f in (tmp_path / "run" / "genes.tsv").glob("part*")).split("\n"))
+    assert "1\t0.5\ta,b" in lines and "2\t.\t" in lines
+    S.write_index(df.select("ref_id"), str(tmp_path / "ix"), d_max=0.3, state="validated")
+    rows, sample = S.read_index(spark, str(tmp_path / "ix"))
+    assert rows.count() == 2 and sample == {"d_max": 0.3, "state": "validated"}
+    S.write_stats(df.drop("tags"), str(tmp_path / "st"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "st" / "references.json")).collect()) == ['{"ref_id":1,"x":0.5}', '{"ref_id":2}']
+
+
 def test_records_over_blocks(spark, tmp_path):
     """A FASTA and a FASTQ file that are read in many small blocks."""
     import random
