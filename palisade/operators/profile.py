@@ -12,11 +12,11 @@ POSITIONS = 15
 
 
 def terminal_counts(seqs: DataFrame, positions: int = POSITIONS) -> DataFrame:
-    """(channel, pos, base, n): bases at the first (5p) and last (3p) positions, by substrings of the ends only."""
-    ends = lambda s: F.posexplode(F.filter(F.split(s, ""), lambda c: c != ""))
-    five = seqs.select(F.lit("5p").alias("channel"), ends(F.substring("seq", 1, positions)).alias("pos", "base"))
-    three = seqs.select(F.lit("3p").alias("channel"), ends(F.reverse(F.expr(f"right(seq, {positions})"))).alias("pos", "base"))
-    return five.unionByName(three).groupBy("channel", "pos", "base").agg(F.count("*").alias("n"))
+    """(channel, pos, base, n): bases at the first (5p) and last (3p) positions, in one pass over the sequences' ends."""
+    ends = F.array(F.struct(F.lit("5p").alias("channel"), F.substring("seq", 1, positions).alias("s")), F.struct(F.lit("3p").alias("channel"), F.reverse(F.expr(f"right(seq, {positions})")).alias("s")))
+    rows = seqs.select(F.explode(ends).alias("e"))
+    flat = rows.select("e.channel", F.posexplode(F.filter(F.split("e.s", ""), lambda c: c != "")).alias("pos", "base"))
+    return flat.groupBy("channel", "pos", "base").agg(F.count("*").alias("n"))
 
 
 def interior_counts(seqs: DataFrame) -> DataFrame:

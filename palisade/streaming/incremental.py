@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from palisade.operators.profile import POSITIONS
+from palisade.operators.profile import terminal_counts
 from palisade.sources.formats import HITS, parsed
 
 
@@ -24,10 +24,7 @@ def ingest(hits: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def profile_stream(seqs: DataFrame) -> DataFrame:
     """Running (channel, pos, base, n) over a stream of sequences, for output mode complete."""
-    ends = [F.struct(F.lit(c).alias("channel"), s.alias("s")) for c, s in (("5p", F.substring("seq", 1, POSITIONS)), ("3p", F.reverse(F.expr(f"right(seq, {POSITIONS})"))))]
-    rows = seqs.select(F.explode(F.array(*ends)).alias("e"))
-    flat = rows.select("e.channel", F.posexplode(F.filter(F.split("e.s", ""), lambda c: c != "")).alias("pos", "base"))
-    return flat.groupBy("channel", "pos", "base").agg(F.count("*").alias("n"))
+    return terminal_counts(seqs)
 
 
 def batch_monitor(stream: DataFrame, path: str, checkpoint: str, window: int = 10_000) -> StreamingQuery:

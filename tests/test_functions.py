@@ -52,6 +52,20 @@ def test_neighbours_and_votes(spark):
     assert {r["doc_id"]: (r["strand"], r["frame"], r["vote"]) for r in K.frame_vote(calls, "c").collect()} == {1: ("-", 1, 4.0), 2: ("-", 1, 4.0), 3: ("+", 2, 1.0)}
 
 
+def test_components_carry_offsets(spark):
+    rng = random.Random(9)
+    place = {i: rng.randrange(-50, 50) for i in range(30)}
+    order = list(range(30))
+    rng.shuffle(order)
+    edges = [(a, b, place[a] - place[b]) for a, b in zip(order, order[1:])] + [(100, 101, 5)]
+    got = {r["node"]: (r["root"], r["offset"]) for r in K.components_with_offsets(spark.createDataFrame(edges, "u long, v long, d long")).collect()}
+    assert got == {i: (0, place[i] - place[0]) for i in range(30)} | {100: (100, 0), 101: (100, -5)}
+    seqs = {i: "ACGTACGTACGTACGT"[place[i] % 4:][:8] for i in range(30)}
+    rows = [(0, place[i] - place[0] + k, c) for i, s in seqs.items() for k, c in enumerate(s)]
+    top = K.consensus(spark.createDataFrame(rows, "cluster long, pos long, residue string"), ["cluster"]).collect()
+    assert all(r["residue"] == "ACGT"[(r["pos"] + place[0]) % 4] and r["n"] == r["depth"] for r in top)
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Conf:
         def get(self, key, default=None):
