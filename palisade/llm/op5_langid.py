@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palisade.llm.common import filter_texts, fold, map_texts
+from palisade.session import cut
 
 ORDER = 5
 #: Training documents of each language at most (a bounded sample of labelled rows, chosen by hash of the id).
@@ -30,6 +31,8 @@ SAMPLE_PER_LANG = 1500
 CALIBRATE_PER_LANG = 3000
 #: Rejection: the quantile of the cross-entropies standardised by length, and the least limit in standard deviations.
 QUANTILE, LEAST = 0.999, 8.0
+#: Sampled ids that are broadcast to find their texts at most (those of some hundred languages); beyond, they are shuffled together.
+BROADCAST_IDS = 1_000_000
 #: Words whose scores a worker keeps.
 CACHE = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -249,7 +252,9 @@ def _sample(labelled: DataFrame, per_lang: int, more: int) -> DataFrame:
     limits = ids.groupBy("lang").agg((F.lit(float(-(1 << 63))) + share * float(1 << 64)).alias("__limit"))
     low = ids.join(limits, "lang").where(F.col("__h").cast("double") <= F.col("__limit"))
     ranked = low.withColumn("__r", F.row_number().over(W.partitionBy("lang").orderBy("__h", "doc_id"))).where(F.col("__r") <= want)
-    chosen = ranked.select("lang", "doc_id", (F.col("__r") > per_lang).alias("__more"))
+    chosen = cut(ranked.select("lang", "doc_id", (F.col("__r") > per_lang).alias("__more")), "language-sample")
+    if chosen.count() <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
     return labelled.join(chosen, ["lang", "doc_id"]).groupBy("lang", "doc_id", "__more").agg(F.min("text").alias("text"))
 
 
