@@ -38,6 +38,8 @@ TREE = 2048
 STAGE_SHINGLE, STAGE_WORDS, STAGE_RADIUS, STAGE_BANDS = 5, 4, 72, 10
 #: Stage: fingerprints of one tree at most.
 STAGE_TREE = 1024
+#: Stage: texts in proposed pairs whose names are broadcast at most (some 100 MB); beyond, names and sets are shuffled together.
+BROADCAST_NODES = 500_000
 _STEP = 200_000
 _ODD = [(2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1 for k in range(64)]
 
@@ -230,11 +232,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def stage_prints(text: str) -> tuple[str, list[int], list[int], bytes]:
+def stage_prints(text: str) -> tuple[bytes, list[int], list[int], bytes]:
     """Of the set of distinct shingle hashes: its name (128 bits), fingerprint words, MinHash band keys, and the sorted hashes."""
     h = np.unique(shingle_hashes(text, STAGE_SHINGLE))
     sets = h.astype("<u8").tobytes()
-    name = xxhash.xxh3_128_hexdigest(sets)
+    name = xxhash.xxh3_128_digest(sets)
     if not len(h):
         return name, [0] * STAGE_WORDS, [0], sets
     with np.errstate(over="ignore"):
@@ -257,6 +259,8 @@ def _verified(prints: DataFrame) -> DataFrame:
     coarse = cut(components(links(reps, F.col("bands"), STAGE_RADIUS, STAGE_WORDS, STAGE_TREE)), "stage-proposed")
     sizes = coarse.groupBy("root").agg(F.count("*").alias("size"))
     nodes = coarse.join(sizes, "root").select(F.col("node").alias("id"), "root", "size")
+    if coarse.count() <= BROADCAST_NODES:
+        nodes = F.broadcast(nodes)  # so that the sets of texts without a proposed pair stay where they are
     own = prints.join(nodes, "id").groupBy("id", "root", "size").agg(F.min("w").alias("w"), F.min("bands").alias("bands"), F.min("sets").alias("sets"))
     own = cut(own, "stage-sets")
     keys = F.when(F.col("size") <= STAGE_TREE, F.array(F.xxhash64("root"))).otherwise(F.col("bands"))
@@ -277,7 +281,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     def make():
         return lambda texts: [list(c) for c in zip(*(stage_prints(t) for t in texts))] if texts else [[], [], [], []]
 
-    whole = cut(map_texts(keyed.select(F.col(doc_id).alias("d"), "__t", F.col(text).alias("text")), make, "id string, w array<long>, bands array<long>, sets binary"), "stage-fingerprints")
+    whole = cut(map_texts(keyed.select(F.col(doc_id).alias("d"), "__t", F.col(text).alias("text")), make, "id binary, w array<long>, bands array<long>, sets binary"), "stage-fingerprints")
     prints = cut(whole.select("d", "__t", "id"), "stage-ids")
     roots = _verified(whole).withColumnsRenamed({"node": "id"})
     drop_cut(whole)
