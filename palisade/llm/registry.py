@@ -12,6 +12,7 @@ from palisade.llm.op7_forest import op7_forest
 from palisade.llm.op8_lm import op8_lm
 from palisade.llm.op9_toxicity import op9_toxicity
 from palisade.llm.op10_pieces import op10_pieces
+from palisade.llm import op11_ballkmeans, op12_lines, op13_codes
 
 
 def _pipeline(spark, sf_dir):
@@ -33,8 +34,16 @@ def queries() -> dict:
         "op8_lm": op8_lm,
         "op9_toxicity": op9_toxicity,
         "op10_pieces": op10_pieces,
+        "op11_ballkmeans": op11_ballkmeans.op11_ballkmeans,
+        "op12_lines": op12_lines.op12_lines,
+        "op13_codes": op13_codes.op13_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": op3_chat.ORACLE}
+    return {
+        "op3_chat": op3_chat.ORACLE,
+        "op11_ballkmeans": op11_ballkmeans.ORACLE,
+        "op12_lines": op12_lines.ORACLE,
+        "op13_codes": op13_codes.ORACLE,
+    }
