@@ -42,3 +42,26 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SEQ = """seqs AS (SELECT doc_id, seq FROM (SELECT doc_id, translate(regexp_replace(lower(text),'[^a-z]','','g'),
  'abcdefghijklmnopqrstuvwxyz','ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents) WHERE length(seq) >= 30)"""
+
+
+def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as proteins: letters, of which those that aren't residues stand for others."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "BJOUXZ", "ACDEFG").alias("seq")).where(F.length("seq") > 0)
+
+
+PROT = """prot AS (SELECT doc_id, seq FROM (SELECT doc_id, translate(upper(regexp_replace(text,'[^A-Za-z]','','g')),'BJOUXZ','ACDEFG') AS seq FROM documents) WHERE length(seq) > 0)"""
+#: Residues of a fragment, and from one fragment's start to the next.
+FRAGMENT, STRIDE = 40, 25
+
+
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole proteins as overlapping fragments: read_id (document and number), seq."""
+    p = proteins(spark, sf_dir)
+    numbers = F.sequence(F.lit(0), F.greatest(F.ceil((F.length("seq") - FRAGMENT) / STRIDE), F.lit(0)).cast("int"))
+    at = p.select("doc_id", "seq", F.explode(numbers).alias("i"))
+    return at.select((F.col("doc_id") * 1_000_000 + F.col("i")).alias("read_id"), F.substr("seq", F.col("i") * STRIDE + 1, F.lit(FRAGMENT)).alias("seq"))
+
+
+FRAG = PROT + f""", frag AS (SELECT doc_id * 1000000 + i AS read_id, substr(seq, i * {STRIDE} + 1, {FRAGMENT}) AS seq
+ FROM (SELECT doc_id, seq, unnest(range(CAST(greatest(ceil((length(seq) - {FRAGMENT}) / CAST({STRIDE} AS DOUBLE)), 0) AS BIGINT) + 1)) AS i FROM prot))"""
