@@ -10,6 +10,9 @@ Items under MIN_CHARS normalised characters leave the lemma no useful bound; the
 Items are dealt in blocks of at most BLOCK_BYTES of text, of which each is broadcast and indexed once a worker; there is
 one pass over the documents a block, so a benchmark of any size is searched whole with bounded memory.
 
+Hits of a text are taken in slices, so memory is bounded whatever repeats; where a text repeats itself every 16 characters
+or fewer for long, n_windows counts the matches at the ends of that stretch only.
+
 Edge cases: null and empty texts and items match nothing; items with the same text are reported each; repeated rows are
 searched alike; null ids are kept. Extra columns are ignored.
 """
@@ -31,6 +34,10 @@ WINDOW, STEP = 120, 60
 EDIT_RATE = 0.075
 MIN_CHARS = 40
 BLOCK_BYTES = 2_000_000
+#: Hits of a text (a place and a window's place with its q-gram) that are held at once, about.
+SLICE_HITS = 1_000_000
+#: Periods of repeating text of which only the ends are searched, where a text has more hits than that.
+PERIODS = range(1, 17)
 #: Bits of the table that sorts out q-grams of no item.
 TABLE_BITS = 22
 # A-Z lower-cased; ASCII other than digits and letters separates words.
@@ -153,6 +160,42 @@ def _short_in(index: Windows, data: bytes) -> list[tuple[int, int, int, int]]:
     return [(item, at - 1, at - 1 + len(text[c:c + n].encode("utf-8", "surrogatepass")), 0) for at, (c, n, owners) in zip(places, found) for item in owners]
 
 
+def _outside_repeats(h: np.ndarray, at: np.ndarray, longest: int) -> np.ndarray:
+    """Which of the places at are to be searched: in a stretch of text that repeats itself every few characters (PERIODS) for
+    more than longest, those within half of that from its ends; its middle only has the same matches again."""
+    skip = np.zeros(len(h) + 1, np.int64)
+    for p in PERIODS:
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], (h[p:] == h[:-p]).astype(np.int8), [0]])))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if b - a > longest:
+                skip[a + longest // 2] += 1
+                skip[b - longest // 2] -= 1
+    return np.cumsum(skip)[at] == 0
+
+
+def _bands(index: Windows, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> set[tuple[int, int, int]]:
+    """(window, least, greatest diagonal) of the overlapping bands whose hits at the places at reach the window's bound."""
+    regions: set[tuple[int, int, int]] = set()
+    count = hi - lo
+    if not count.sum():
+        return regions
+    flat = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+    pos, owner = np.repeat(at, count), index.owner[flat]
+    diag = pos - index.place[flat].astype(np.int64)
+    width, bounds = index.budgets[owner] + 1, index.bounds
+    for shift in (0, 1):  # overlapping bands: two widths long, one width apart
+        band = (diag + (1 << 20) * 64) // width
+        band = (band + shift) // 2
+        order = np.lexsort((pos, band, owner))
+        o, b = owner[order], band[order]
+        first = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (b[1:] != b[:-1])))
+        n = np.diff(np.append(first, len(o)))
+        for f, size in zip(first[n >= bounds[o[first]]].tolist(), n[n >= bounds[o[first]]].tolist()):
+            d = diag[order[f:f + size]]
+            regions.add((int(o[f]), int(d.min()), int(d.max())))
+    return regions
+
+
 def _windows_in(index: Windows, data: bytes) -> list[tuple[int, int, int, int]]:
     if len(data) < MIN_CHARS - budget(MIN_CHARS) or not index.windows:
         return []
@@ -170,33 +213,23 @@ def _windows_in(index: Windows, data: bytes) -> list[tuple[int, int, int, int]]:
     np.add.at(mark, w + index.least, -1)
     at = at[np.cumsum(mark[:-1]) > 0]
     lo, hi = np.searchsorted(index.hashes, h[at], "left"), np.searchsorted(index.hashes, h[at], "right")
-    count = hi - lo
-    if not count.sum():
-        return []
-    flat = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    pos, owner = np.repeat(at, count), index.owner[flat]
-    diag = pos - index.place[flat].astype(np.int64)
+    if (hi - lo).sum() > SLICE_HITS:
+        keep = _outside_repeats(h, at, 4 * index.span)
+        at, lo, hi = at[keep], lo[keep], hi[keep]
     regions: set[tuple[int, int, int]] = set()
-    width, bounds = index.budgets[owner] + 1, index.bounds
-    for shift in (0, 1):  # overlapping bands: two widths long, one width apart
-        band = (diag + (1 << 20) * 64) // width
-        band = (band + shift) // 2
-        order = np.lexsort((pos, band, owner))
-        o, b, p = owner[order], band[order], pos[order]
-        new = np.append(True, (o[1:] != o[:-1]) | (b[1:] != b[:-1]))
-        first = np.flatnonzero(new)
-        n = np.diff(np.append(first, len(o)))
-        for f, size in zip(first[n >= bounds[o[first]]].tolist(), n[n >= bounds[o[first]]].tolist()):
-            d = diag[order[f:f + size]]
-            regions.add((int(o[f]), int(d.min()), int(d.max())))
+    upto, i = np.cumsum(hi - lo), 0
+    while i < len(at):  # slices overlap by a window's reach, so every occurrence lies in one of them
+        j = int(max(np.searchsorted(upto, upto[i] + SLICE_HITS, "right"), np.searchsorted(at, at[i] + 2 * index.span, "right")))
+        regions |= _bands(index, at[i:j], lo[i:j], hi[i:j])
+        i = len(at) if j >= len(at) else max(i + 1, int(np.searchsorted(at, at[j - 1] - index.span + 1)))
     out, done = [], {}
     for k, d, d2 in sorted(regions):
         item, off, window = index.windows[k]
         e = budget(len(window))
         a, b = max(0, d - e), min(len(data), d2 + len(window) + e)
-        if any(a >= x and b <= y for x, y in done.get(k, ())):
+        if b <= done.get(k, -1):  # regions of a window come by their start: an earlier one reaches as far
             continue
-        done.setdefault(k, []).append((a, b))
+        done[k] = b
         got = align(window, data[a:b], e, d - e - a, d2 + e - a)
         if got:
             out.append((item, a + got[1], a + got[2], got[0]))
