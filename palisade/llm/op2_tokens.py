@@ -22,7 +22,6 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterable
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +37,15 @@ BLOCK = 128
 SEGMENT = 1 << 20
 PERCENTILE = 0.9
 END_ID = 2
-#: Pre-tokens whose ids a worker keeps at most, the first it meets (some 160 bytes each; all others are encoded anew).
-CACHE = 250_000
+#: Bytes of the pre-tokens and ids that a worker keeps at most, the first it meets, each with ENTRY bytes for its place;
+#: those of more than LONGEST characters, and all others, are encoded anew.
+CACHE_BYTES, ENTRY, LONGEST = 48_000_000, 160, 48
 #: Bytes of text encoded at a time.
 STEP = 1_000_000
 _HEAD = struct.Struct("<4sIQIQI")
-# The model's pre-tokens over characters of which the classes are beyond doubt (ASCII, letters of Latin-1, line feeds).
+# The model's pre-tokens over characters of which the classes are beyond doubt (ASCII, letters of Latin-1, tabs, line feeds, carriage returns).
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-_OTHER = re.compile(rf"[^ -~\n{_LETTER}]")
+_OTHER = re.compile(rf"[^ -~\t\n\r{_LETTER}]")
 _PRE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
 # Of any other text: runs that end before a space or line feed which follows no white space.
 _ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
@@ -154,7 +154,7 @@ class Image:
 
 class Encoder:
     """Byte-level BPE of whole texts. Pre-tokens are encoded each by itself whatever stands around them, so the distinct
-    ones go through the library once and the first CACHE of them are kept. Texts with characters outside _PRE's classes
+    ones go through the library once and the first of them are kept, within CACHE_BYTES. Texts with characters outside _PRE's classes
     are cut before spaces only; those with a special token's string or other white space go to the library whole."""
 
     def __init__(self, path: str):
@@ -163,6 +163,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.room = CACHE_BYTES
 
     def _library(self, parts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -181,12 +182,15 @@ class Encoder:
         parts = [self._parts(t) for t in texts]
         new = list(set().union(*parts).difference(self.cache))
         fresh = dict(zip(new, self._library(new)))
-        room = CACHE - len(self.cache)
         self.cache.update(fresh)
         get = self.cache.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
-        for p in islice(new, max(0, room), None):
-            del self.cache[p]
+        for p, ids in fresh.items():
+            cost = ENTRY + 2 * len(p) + len(ids)
+            if len(p) > LONGEST or cost > self.room:
+                del self.cache[p]
+            else:
+                self.room -= cost
         return out
 
 
