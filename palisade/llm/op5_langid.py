@@ -35,7 +35,9 @@ QUANTILE, LEAST = 0.999, 8.0
 BROADCAST_IDS = 1_000_000
 #: Words whose scores a worker keeps.
 CACHE = 400_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+# Of what \w takes in besides digits, some hundred signs (superscripts, fractions, numerals) aren't letters.
+_SIGNS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{re.escape(_SIGNS)}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xC2B2AE3D27D4EB4F)
 
