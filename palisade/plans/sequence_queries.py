@@ -9,6 +9,7 @@ from palisade.functions import sequence as S
 from palisade.operators import annotate as N
 from palisade.operators import clustering as K
 from palisade.operators import fdr as D
+from palisade.operators import levels as LV
 from palisade.operators import profile as P
 from palisade.operators import read_damage as RD
 from palisade.operators import sample_counts as SC
@@ -103,6 +104,33 @@ def read_damage(spark, sf_dir):
     return sequences(spark, sf_dir).select("doc_id", F.round(RD.damage_prior("seq", D_MAX, RATE), 6).alias("p_damaged"))
 
 
+def _sample(spark, sf_dir) -> dict:
+    return LV.estimate(sequences(spark, sf_dir), SM.fit)
+
+
+def sample_level(spark, sf_dir):
+    """The sample's level as agreed on: its source, state, blend, joint model, components, and whether a second pass was taken."""
+    m = _sample(spark, sf_dir)
+    text = {"source": m["level_source"], "state": m["state"]}
+    figures = {"level": m["level"], "blended": m["blended"], "drawn": m["drawn"], "passes": m["passes"]} | {f"joint_{k}": m["joint"][k] for k in ("d_max", "rate", "artefact", "p_damage")} | {f"components_{k}": m["components"][k] for k in ("d_mean", "d_damaged", "share")}
+    rows = [(k, v, None) for k, v in text.items()] + [(k, None, round(float(v), 6)) for k, v in figures.items()]
+    return spark.createDataFrame(rows, "name string, text string, value double")
+
+
+def read_damage_percent(spark, sf_dir):
+    """Each sequence's own level of damage in percent, under the sample's fits, and its expected terminal damage."""
+    m = _sample(spark, sf_dir)
+    bins = {b["bin"]: (b["d_max"], b["baseline"]) for b in m["gc"]["bins"]}
+    rates = m["5p"]["rate"], m["3p"]["rate"]
+    percent = RD.damage_percentage("seq", m["level"], rates, (m["5p"]["baseline"], m["3p"]["baseline"]), bins, m["state"] == "contradicted")
+    return sequences(spark, sf_dir).select("doc_id", F.round(percent, 6).alias("percent"), F.round(RD.damage_terminal("seq", D_MAX, rates, m["factor"]), 6).alias("terminal"))
+
+
+def read_damage_signal(spark, sf_dir):
+    """Signal of damage from the outer bases alone."""
+    return sequences(spark, sf_dir).select("doc_id", F.round(RD.damage_signal("seq"), 6).alias("signal"))
+
+
 def _pairs(spark, sf_dir):
     """Ungapped protein alignments: frame-0 proteins of consecutive documents, cut to the shorter; forward strand."""
     p = sequences(spark, sf_dir).select("doc_id", S.translate("seq").alias("protein"))
@@ -278,4 +306,14 @@ ORACLE = {
     "consensus_pileup": f"""WITH {SEQ}, c AS (SELECT lang, pos, residue, count(*) AS n FROM (SELECT lang, seq[p+1] AS residue, CAST(p AS INT) AS pos FROM (SELECT lang, seq, unnest(range(0,length(seq))) AS p FROM seqs JOIN documents USING (doc_id))) GROUP BY ALL),
  r AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(n) OVER w,0) AS sec, sum(n) OVER (PARTITION BY lang, pos) AS depth FROM c WINDOW w AS (PARTITION BY lang, pos ORDER BY n DESC, residue)) SELECT lang, pos, residue, n, CAST(depth AS BIGINT) AS depth, CAST(depth >= 3 AND n >= 2*sec AS INT) AS candidate FROM r WHERE rn = 1""",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLE, "sample_profile", "sample_models", "read_damage", "components"]}
+ORACLE["read_damage_signal"] = f"""WITH {SEQ}, odds AS (SELECT doc_id, CAST(CASE WHEN substr(seq, 1, 1) = 'T' THEN 0.8 ELSE 0 END
+ + CASE WHEN substr(seq, 2, 1) = 'T' THEN 0.35 ELSE 0 END
+ + CASE WHEN substr(seq, 3, 1) = 'T' THEN 0.15 ELSE 0 END
+ + CASE WHEN substr(seq, length(seq) - 0, 1) = 'A' THEN 0.7 ELSE 0 END
+ + CASE WHEN substr(seq, length(seq) - 1, 1) = 'A' THEN 0.3 ELSE 0 END
+ + CASE WHEN substr(seq, length(seq) - 2, 1) = 'A' THEN 0.12 ELSE 0 END
+ + CASE WHEN seq[1] = 'C' THEN -0.3 ELSE 0 END
+ + CASE WHEN substr(seq, length(seq), 1) = 'G' THEN -0.25 ELSE 0 END
+ + CASE WHEN seq[1] = 'T' AND substr(seq, length(seq), 1) = 'A' THEN 0.4 ELSE 0 END AS DOUBLE) AS x FROM seqs)
+SELECT doc_id, round(greatest(0.05, least(0.95, 1 / (1 + exp(-x)))), 6) AS signal FROM odds"""
+QUERIES = {name: globals()[name] for name in [*ORACLE, "sample_profile", "sample_models", "read_damage", "components", "sample_level", "read_damage_percent"]}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade.operators import annotate as N
 from palisade.operators import frames as FR
+from palisade.operators import levels as LV
 from palisade.operators import read_damage as RD
 from palisade.operators import sample_counts as SC
 from palisade.operators import sample_models as SM
@@ -98,11 +99,12 @@ def test_terminal_artefact_moves_to_the_second_position():
 
 
 def plain_prior(s, d, rate):
+    """The model read off a fine scan of the level's posterior, site by site."""
     if len(s) < 60 or d < 0.01:
         return 0.0
     inner = s[20:-20]
-    p = {c: (inner.count(c) + 0.5) / (len(inner) + 2) for c in "ACGT"}
-    ratio = lambda a, b: min(max((p[a] + 1e-3) / (p[a] + p[b] + 2e-3), 0.01), 0.99)
+    n = {c: inner.count(c) + 0.5 for c in "ACGT"}
+    ratio = lambda a, b: min(max(n[a] / (n[a] + n[b]), 0.01), 0.99)
     sites = [(ratio("T", "C"), i, c == "T") for i, c in enumerate(s[:20]) if c in "CT"] + [(ratio("A", "G"), i, c == "A") for i, c in enumerate(s[::-1][:20]) if c in "GA"]
     sites = [(b, (1 - b) * math.exp(-rate * i), y) for b, i, y in sites]
     if not sites:
@@ -110,11 +112,9 @@ def plain_prior(s, d, rate):
     a, e = d * 20, (1 - d) * 20
     if min(a, e) <= 1:
         a, e = a + 1, e + 1
-    t = d
-    for _ in range(2):
-        g = (a - 1) / t - (e - 1) / (1 - t) + sum(c / (b + c * t) if y else -c / (1 - b - c * t) for b, c, y in sites)
-        h = -(a - 1) / t ** 2 - (e - 1) / (1 - t) ** 2 - sum((c / (b + c * t)) ** 2 if y else (c / (1 - b - c * t)) ** 2 for b, c, y in sites)
-        t = min(max(t - min(max(g / h, -0.25), 0.25), 1e-5), 1 - 1e-5)
+    at = np.arange(1, 100_000) / 100_000
+    score = (a - 1) * np.log(at) + (e - 1) * np.log(1 - at) + sum(np.log(b + c * at) if y else np.log(1 - b - c * at) for b, c, y in sites)
+    t = at[score.argmax()]
     told = sum(c for _, c, _ in sites)
     any_ = 1 - math.prod(1 - t * c for _, c, _ in sites)
     return told / (told + 1) * any_ + d * 0.2 / (told + 1)
@@ -122,10 +122,10 @@ def plain_prior(s, d, rate):
 
 def test_read_prior_equals_a_loop(spark):
     reads = simulate(40, 0.4, 3) + ["ACGT" * 10, "", "N" * 70, "A" * 59]
-    assert RD.prior(reads, 0.3, 0.25) == pytest.approx([plain_prior(s, 0.3, 0.25) for s in reads], abs=1e-9)
+    assert RD.prior(reads, 0.3, 0.25) == pytest.approx([plain_prior(s, 0.3, 0.25) for s in reads], abs=2e-5)
     assert not RD.prior(reads, 0.001, 0.25).any()
     rows = spark.createDataFrame([("a", None), ("b", reads[0])], "id string, s string").select("id", RD.damage_prior("s", 0.3, 0.25).alias("p")).collect()
-    assert {r["id"]: r["p"] for r in rows} == {"a": 0.0, "b": pytest.approx(plain_prior(reads[0], 0.3, 0.25))}
+    assert {r["id"]: r["p"] for r in rows} == {"a": 0.0, "b": pytest.approx(plain_prior(reads[0], 0.3, 0.25), abs=2e-5)}
     hot, cold = (np.mean(RD.prior(simulate(300, x, 5), 0.3, 0.3)) for x in (0.5, 0.0))
     assert hot > cold + 0.01
 
@@ -163,3 +163,107 @@ def test_settings_and_classes(spark):
 def test_silent_codons():
     silent, changing = N.silent_codons("T", "C", 2)
     assert "GCT" in silent and len(silent) + len(changing) == 16 and set(N.silent_codons("A", "G", 2)[1]) == {"ATA", "TGA"}
+
+
+def test_percentage_is_the_maximum_of_a_fine_scan(spark):
+    reads = simulate(60, 0.4, 8) + ["ACGT" * 3, "", "N" * 70, "A" * 15, "acgt" * 6]
+    level, rates, shares, bins = 0.3, (0.25, 0.4), (0.45, 0.55), {5: (0.2, 0.4), 4: (0.004, 0.5)}
+
+    def plain(s):
+        s = s.upper()
+        if len(s) < 15:
+            return 0.0
+        inner = [c for c in s[5:-5] if c in "ACGT"]
+        own = bins.get(min(sum(c in "GC" for c in inner) * 10 // len(inner), 9) if inner else 0)
+        if own and own[0] < 0.005:
+            return 0.0
+        d, t = own or (level, shares[0])
+        sites = [(t, d * math.exp(-rates[0] * i), c == "T") for i, c in enumerate(s[:15]) if c in "CT"] + [(shares[1], d * math.exp(-rates[1] * i), c == "A") for i, c in enumerate(s[::-1][:15]) if c in "GA"]
+        if not sites:
+            return 0.0
+        at = np.arange(100_001) / 100_000
+        return 100 * d * at[sum(np.log(b + (1 - b) * e * at) if y else np.log((1 - b) * (1 - e * at)) for b, e, y in sites).argmax()]
+
+    assert RD.percentage(reads, level, rates, shares, bins) == pytest.approx([plain(s) for s in reads], abs=1e-3)
+    assert not RD.percentage(reads, level, rates, shares, contradicted=True).any()
+    df = spark.createDataFrame([("a", None), ("b", reads[0])], "id string, s string")
+    got = {r["id"]: (r["p"], r["t"], r["g"]) for r in df.select("id", RD.damage_percentage("s", level, rates, shares, bins).alias("p"), RD.damage_terminal("s", 0.3, rates, 0.5).alias("t"), RD.damage_signal("s").alias("g")).collect()}
+    assert got["a"][:2] == (0.0, 0.0) and got["b"][0] == pytest.approx(plain(reads[0]), abs=1e-3) and 0.25 <= got["b"][1] <= 0.5
+    hot, cold = (np.mean(RD.percentage(simulate(300, x, 5), 0.4, (0.3, 0.3), (0.5, 0.5))) for x in (0.4, 0.0))
+    assert hot > cold + 3
+
+
+def test_every_branch_of_the_level():
+    """The table of the choice, branch by branch."""
+    E = LV.Evidence
+    ok = dict(start=0.3, end=0.2, joint=0.25, p_damage=0.99)
+    table = [
+        (E(artefact=True, **ok), (0.0, "none")),
+        (E(validated=True, inverted_5=True, inverted_3=True, stops=0.4, **ok), (0.4, "stops")),
+        (E(validated=True, adapter=True, stops=0.4, **ok), (0.4, "stops")),
+        (E(validated=True, adapter=True, stops=0.005, mixture=0.22, **ok), (0.22, "average")),
+        (E(validated=True, inverted_3=True, **ok), (0.3, "start")),
+        (E(validated=True, inverted_5=True, **ok), (0.2, "end")),
+        (E(validated=True, mixture=0.22, strata=0.1, **ok), (0.22, "average")),
+        (E(validated=True, mixture=0.005, strata=0.1, **ok), (0.1, "average")),
+        (E(validated=True, **ok), (0.25, "average")),
+        (E(start=0.3, end=0.2, joint=0.25, p_damage=0.7), (0.25, "average")),
+        (E(start=0.3, end=0.2, p_damage=0.2, single_stranded=True), (0.3, "single strand")),
+        (E(start=0.3, end=0.2, p_damage=0.2), (0.0, "none")),
+        (E(start=0.3, end=0.2, stops=0.15), (0.15, "stops")),
+        (E(start=0.3, end=0.1, asymmetric=True, single_stranded=True), (0.3, "single strand")),
+        (E(start=0.3, end=0.1, asymmetric=True), (0.1, "lower end")),
+        (E(start=0.3, end=0.1), (0.2, "average")),
+        (E(start=0.3, end=0.1, inverted_5=True), (0.1, "end")),
+        (E(start=0.3, end=0.1, inverted_3=True), (0.3, "start")),
+        (E(start=0.3, end=0.1, p_damage=0.2, inverted_3=True), (0.0, "start")),
+        (E(start=0.3, end=0.1, inverted_5=True, inverted_3=True), (0.0, "none")),
+    ]
+    for evidence, want in table:
+        assert LV.arbitrate(evidence) == (pytest.approx(want[0]), want[1]), evidence
+    assert LV.state(True, False, True, -500) == ("validated", 1.0) and LV.state(False, True, False, 0) == ("contradicted", 0.0)
+    assert LV.state(False, False, True, -101) == ("contradicted", 0.0) and LV.state(False, False, False, -101) == ("unvalidated", 0.5)
+    assert LV.blend(0.2, 0.4, 0.0, True, []) == (pytest.approx(0.3), pytest.approx(0.5)) and LV.blend(0.4, 0.2, 0.0, True, [])[0] == pytest.approx(0.37)
+    assert LV.blend(0.2, 0.4, 0.0, False, []) == (0.2, 0.0) and LV.blend(0.2, None, 0.0, True, [{"bin": 4, "level": 0.4, "reads": 900}])[0] == pytest.approx(0.25)
+    assert LV.wants_second_pass(0.2, True, True, False, 0.2) and LV.wants_second_pass(0.2, True, False, False, 0.26) and not LV.wants_second_pass(0.2, True, False, False, 0.22)
+    assert not LV.wants_second_pass(0.2, False, True, True, None) and not LV.wants_second_pass(0.1, True, True, True, None)
+
+
+def test_joint_model_tells_damage_from_artefact():
+    x, n = np.arange(15), np.full(15, 20_000.0)
+    base = {"tc": 0.5, "ag": 0.45, "stop": 0.1}
+    decay = np.exp(-0.3 * x)
+
+    def counts(level, artefact):
+        tc, ag = base["tc"] + artefact * decay, base["ag"] + artefact * decay
+        return {"tc": n * (tc + (1 - tc) * level * decay), "ag": n * ag, "stop": n * (base["stop"] + (1 - base["stop"]) * level * decay)}
+
+    ns = {c: n for c in base}
+    damaged = LV.joint_model(counts(0.24, 0.0), ns, base)
+    assert damaged["valid"] and abs(damaged["d_max"] - 0.24) < 0.01 and abs(damaged["rate"] - 0.3) < 0.01 and abs(damaged["artefact"]) < 0.01 and damaged["p_damage"] > 0.99
+    fake = LV.joint_model(counts(0.0, 0.1), ns, base)
+    assert fake["d_max"] < 0.01 and abs(fake["artefact"] - 0.1) < 0.01 and fake["p_damage"] < 0.05
+    both = LV.joint_model(counts(0.18, -0.08), ns, base)
+    assert abs(both["d_max"] - 0.18) < 0.015 and abs(both["artefact"] + 0.08) < 0.015
+    assert not LV.joint_model(counts(0.2, 0), {c: np.full(15, 50.0) for c in base}, base)["valid"]
+
+
+def test_decay_fit_and_components():
+    x = np.arange(15)
+    got = LV.decay_fit(0.02 + 0.3 * np.exp(-0.4 * x), np.full(15, 5000.0))
+    assert abs(got["d_max"] - 0.3) < 0.02 and abs(got["rate"] - 0.4) < 0.05 and got["r2"] > 0.99 and got["p_value"] < 1e-6
+    flat = LV.decay_fit(np.full(15, 0.1), np.full(15, 5000.0))
+    assert flat["d_max"] < 1e-6 and flat["p_value"] > 0.5 and not LV.decay_fit(np.full(15, 0.1), np.full(15, 5.0))["fitted"]
+    two = LV.two_components([0.0, 0.005, 0.01, 0.3, 0.32], [1e5, 1e5, 1e5, 1e5, 1e5])
+    assert two["found"] and two["separated"] and abs(two["d_damaged"] - 0.31) < 0.03 and abs(two["share"] - 0.4) < 0.1 and abs(two["d_mean"] - 0.127) < 1e-9
+    assert not LV.two_components([0.3], [10])["found"] and not LV.two_components([], [])["found"]
+
+
+def test_second_pass_weighs_reads(spark):
+    """Where the ends mislead, the counts are taken again by the reads' damage; elsewhere once."""
+    df = spark.createDataFrame([(s,) for s in simulate(3000, 0.35)], "seq string")
+    first = SM.fit(SC.counts(df))
+    assert LV.estimate(df, SM.fit)["passes"] == (2 if LV.wants_second_pass(first["level"], first["state"] == "validated", first["inverted_5"] or first["inverted_3"], first["5p"]["artefact"], first["stops_level"]) else 1)
+    again = LV.second_pass(df, SM.fit, first | {"level": 0.35})
+    assert again["level"] > 0 and again["5p"]["rates"][0] >= first["5p"]["rates"][0] - 0.02
+    assert abs(first["level"] - 0.35) < 0.15 and first["state"] == "validated"
