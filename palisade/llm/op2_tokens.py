@@ -185,12 +185,15 @@ class Encoder:
         self.cache.update(fresh)
         get = self.cache.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
+        if self.room <= 0:
+            for p in fresh:
+                del self.cache[p]
+            return out
         for p, ids in fresh.items():
-            cost = ENTRY + 2 * len(p) + len(ids)
-            if len(p) > LONGEST or cost > self.room:
+            if len(p) > LONGEST or self.room <= 0:
                 del self.cache[p]
             else:
-                self.room -= cost
+                self.room -= ENTRY + 2 * len(p) + len(ids)
         return out
 
 
