@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +17,24 @@ from pyspark.sql.pandas.types import to_arrow_schema
 STEP_BYTES = 2_000_000
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable[[], object]) -> object:
+    """The model, index or encoder that a Python worker keeps between tasks: one at a time, whatever operator it is of, so that
+    a job of several operators doesn't gather all of theirs in the worker. What is freed goes back to the system."""
+    if key not in _HELD:
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def steps(column: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[tuple[int, int, list[str]]]:
     """(from, to, texts) over an Arrow column of texts (null: empty): about step_bytes a step, at least one text."""
     ends = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).cumsum(dtype="int64")

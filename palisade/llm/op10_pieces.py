@@ -20,7 +20,7 @@ import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm.common import add_to_texts, map_texts
+from palisade.llm.common import add_to_texts, held, map_texts
 
 MARK = "▁"
 
@@ -199,14 +199,9 @@ class Encoder:
         return cols
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One a worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("pieces", path), lambda: Encoder(path))
 
 
 #: span_bytes: original bytes under all pieces; last_byte: where the last piece ends in the original; spans_crc32: of all

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm.common import filter_texts, steps
+from palisade.llm.common import filter_texts, held, steps
 
 Q = 10
 WINDOW, STEP = 120, 60
@@ -249,16 +249,10 @@ def _blocks(benchmark: DataFrame):
         yield block
 
 
-_INDEX: dict[str, Windows] = {}
-
-
 def _index(ref) -> Windows:
     """The index of a broadcast block of items, one a worker."""
     key, items = ref.value
-    if key not in _INDEX:
-        _INDEX.clear()
-        _INDEX[key] = Windows(items)
-    return _INDEX[key]
+    return held(("benchmark", key), lambda: Windows(items))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

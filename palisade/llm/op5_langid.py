@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palisade.llm.common import filter_texts, fold, map_texts
+from palisade.llm.common import filter_texts, fold, held, map_texts
 from palisade.session import cut
 
 ORDER = 5
@@ -230,16 +230,9 @@ def calibrate(xent: np.ndarray, n: np.ndarray) -> tuple[float, float, float, flo
     return mid, between, within, max(float(np.quantile(z, QUANTILE, method="higher")) if len(z) * (1 - QUANTILE) >= 1 else 0.0, LEAST)
 
 
-_SCORERS: dict = {}
-
-
 def _scorer(ref) -> Scorer:
     """One scorer a worker and model."""
-    key = ref.value[0]
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(ref.value[1])
-    return _SCORERS[key]
+    return held(("language", ref.value[0]), lambda: Scorer(ref.value[1]))
 
 
 def _sample(labelled: DataFrame, per_lang: int, more: int) -> DataFrame:

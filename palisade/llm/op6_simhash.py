@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from palisade.llm.common import map_texts
+from palisade.llm.common import held, map_texts
 from palisade.llm.components import components
 from palisade.session import cut, drop_cut
 
@@ -279,6 +279,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keyed = plain.withColumn("__t", F.xxhash64(F.coalesce(text, F.lit(""))))
 
     def make():
+        held("near_dedup", dict)  # models of earlier stages go
         return lambda texts: [list(c) for c in zip(*(stage_prints(t) for t in texts))] if texts else [[], [], [], []]
 
     whole = cut(map_texts(keyed.select(F.col(doc_id).alias("d"), "__t", F.col(text).alias("text")), make, "id binary, w array<long>, bands array<long>, sets binary"), "stage-fingerprints")
