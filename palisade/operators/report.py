@@ -13,11 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palisade.functions.sequence import strip_frame_suffix
-from palisade.functions.stats import wilson
+from palisade.functions.stats import protein_damage, wilson
 from palisade.operators import annotate as N
 from palisade.operators import coverage as C
 from palisade.operators import em as E
-from palisade.session import cut
+from palisade.operators.ranges import lower_rank
+from palisade.session import cut, drop_cut
 
 
 @dataclass(frozen=True)
@@ -38,14 +39,56 @@ class Settings:
     rate: float = 0.3
     prior: float = 0.1
     scale: float = 1.0
+    #: Sites of an alignment from which they count as evidence; None: a tenth of the median read length.
+    min_damage_sites: int | None = None
+    #: Whether damage is expected at both ends (double strands); None: by the sites found there.
+    both_ends: bool | None = True
+    #: Raise the positional and terminal thresholds to what 95 % of well-covered references reach.
+    calibrate: bool = False
     #: EM steps; None: until it settles.
     iterations: int | None = None
 
     def loose(self) -> Settings:
-        return replace(self, min_reads=1, min_breadth=0.0, min_depth=0.0, min_positional=0.0, min_terminal=0.0)
+        return replace(self, min_reads=1, min_breadth=0.0, min_depth=0.0, min_damage_sites=1)
 
     def strict(self) -> Settings:
-        return replace(self, min_reads=5, min_breadth=0.2, min_depth=1.0, min_positional=0.2, min_terminal=0.2)
+        return replace(self, min_reads=5, min_breadth=0.2, min_depth=1.0, calibrate=True, min_damage_sites=5)
+
+
+# Fixed values of the calibration: reads and starts of a reference that counts, references it takes, least terminal threshold.
+CALIBRATE_READS, CALIBRATE_STARTS, CALIBRATE_REFS, CALIBRATE_TERMINAL = 10, 3, 100, 0.20
+
+
+def resolved(s: Settings, hits: DataFrame, index_sample: dict | None = None, hits_sample: dict | None = None, given: tuple[str, ...] = ()) -> Settings:
+    """s with d_max and rate from the first that has a level: what the user gave (names in given), the damage index's sample,
+    that of the hits' file, or an estimate from the best hits' alignments. The rate comes with the level unless given."""
+    if "d_max" in given:
+        return s
+    for sample in (index_sample, hits_sample):
+        if sample and (sample.get("d_max") or 0) > 0:
+            rate = sample.get("rate") or 0
+            return replace(s, d_max=float(sample["d_max"]), rate=float(rate) if rate > 0 and "rate" not in given else s.rate)
+    best = F.struct((-F.col("bits")).alias("b"), "ref_id", "row_id")
+    cols = ["qaln", "taln", "qstart", "tstart", "qlen", "fident", "aln_len"]
+    one = hits.groupBy("query_id").agg(F.min_by(F.struct("row_id", "ref_id", "bits", *cols), best).alias("x")).select("query_id", "x.*")
+    found = N.estimate_d_max(N.annotate(one.withColumn("reverse", F.col("query_id").rlike("_-_[0-9]+$")), s.d_max, s.rate)).first()
+    return replace(s, d_max=float(found["d_max"] or 0.0))
+
+
+def median_sites(hits: DataFrame) -> int:
+    """A tenth of the median read length (the upper of two), at least 1; 3 without reads."""
+    row = lower_rank(hits.groupBy("query_id").agg(F.max("qlen").alias("qlen")), "qlen", "n div 2").first()
+    return max(1, row["qlen"] // 10) if row else 3
+
+
+def calibrated(gene_rows: DataFrame, s: Settings) -> Settings:
+    """s with its positional and terminal thresholds raised to the element n div 20 of each among references with enough reads
+    and starts (the terminal one at least CALIBRATE_TERMINAL); unchanged under CALIBRATE_REFS of them. gene_rows: a written table."""
+    use = gene_rows.where((F.col("n_reads") >= CALIBRATE_READS) & (F.col("n_unique_starts") >= CALIBRATE_STARTS))
+    if not s.calibrate or use.count() < CALIBRATE_REFS:
+        return s
+    at = {c: float(lower_rank(use, c, "n div 20").first()[c]) for c in ("positional_score", "terminal_middle_ratio")}
+    return replace(s, min_positional=max(s.min_positional, at["positional_score"]), min_terminal=max(s.min_terminal, CALIBRATE_TERMINAL, at["terminal_middle_ratio"]))
 
 
 def rules(s: Settings) -> list[tuple[str, Column]]:
@@ -71,7 +114,9 @@ def scored(hits: DataFrame, index: DataFrame, s: Settings) -> DataFrame:
     rows = read_damage(hits, index).withColumn("reverse", F.col("query_id").rlike("_-_[0-9]+$"))
     rows = cut(N.annotate(rows, s.d_max, s.rate).drop("qaln", "taln").withColumnRenamed("query_id", "read_id"), "chain-hits")
     weights = E.plain_em(rows, s.iterations, s.scale, damage=True) if s.iterations else E.squarem(rows, s.scale, damage=True, max_iter=200, strict=True)[0]
-    return cut(N.bayesian(E.e_step_damage(rows, weights, s.scale), s.d_max, s.prior), "chain-scored")
+    done = cut(N.bayesian(E.e_step_damage(rows, weights, s.scale), s.d_max, s.prior), "chain-scored")
+    drop_cut(rows)
+    return done
 
 
 LENGTH_BINS = (25, 40, 60)
@@ -145,12 +190,79 @@ def proteins(read_rows: DataFrame, gene_rows: DataFrame, s: Settings) -> DataFra
     p = p.withColumn("length_bin", F.coalesce(*[F.when(F.col(f"bins.b{b}") == most, b) for b in range(4)])).drop("bins")
     share = lambda x, n: F.when(F.col(n) > 0, F.col(x) / F.col(n)).otherwise(0.0)
     p = p.withColumn("frac_damaged", share("n_damaged", "p_damage_reads")).withColumn("frac_damaged_all", share("n_damaged", "p_reads"))
-    ends = F.col("p_eff") * 2 * 3 * 0.25 * 0.70
-    p = p.withColumn("d_aa", F.when(ends > 0, F.least((F.col("terminal_5") + F.col("terminal_3")) / ends, F.lit(1.0))).otherwise(0.0))
+    both = s.both_ends if s.both_ends is not None else _both_ends(p)
+    ends = F.col("p_eff") * (2 if both else 1) * 3 * 0.25 * 0.70
+    seen = F.col("terminal_5") + F.col("terminal_3") if both else F.col("terminal_5")
+    p = p.withColumn("d_aa", F.when(ends > 0, F.least(seen / ends, F.lit(1.0))).otherwise(0.0))
     out = p.join(gene_rows, "ref_id")
     return out.withColumn("filter_fail", failures(s)).withColumn("pass_mapping_filter", (F.col("filter_fail") == ".").cast("int"))
 
 
+def _both_ends(p: DataFrame) -> bool:
+    """Sites at the end are over 0.3 of those at the start."""
+    t = p.agg(F.sum("terminal_5").alias("five"), F.sum("terminal_3").alias("three")).first()
+    return bool(t["five"]) and t["three"] / t["five"] > 0.3
+
+
+_FIT = {"p_damaged": "p_protein_damaged", "delta_mle": "delta_mle", "ci_lower": "ci_lower", "ci_upper": "ci_upper", "lrt_pvalue": "lrt_pvalue", "log_bf": "log_bf"}
+#: Columns of the protein report in order: name in the report, column of proteins() with fits.
+PROTEIN_REPORT = [
+    ("protein_id", "ref_id"), ("n_reads", "p_reads"), ("eff_reads", "p_eff"), ("n_damage_reads", "p_damage_reads"), *[(c, c) for c in ("n_damaged", "damage_sites", "terminal_5", "terminal_3", "max_p_damaged", "mean_p_damaged", "frac_damaged", "frac_damaged_all", "p_protein_damaged")],
+    ("combined_score", "p_protein_damaged"), *[(c, c) for c in ("delta_mle", "ci_lower", "ci_upper", "lrt_pvalue", "log_bf", "d_aa", "avg_delta_bits", "avg_bpa", "length_bin", "n_unique_starts", "start_diversity", "start_span", "positional_score", "terminal_middle_ratio", "avg_aln_len", "std_aln_len")],
+    *[(f"assign_{c}", c) for c in ("n_reads", "eff_reads", "n_damage_reads", "eff_damage_reads", "n_ancient", "n_modern", "n_undetermined", "ancient_frac", "ci_low", "ci_high", "mean_posterior", "mean_identity", "breadth", "abundance", "depth_std", "depth_evenness")],
+    *[(c, c) for c in ("coverage_deviance", "completeness_fhat", "coverage_weight", "abundance_adjusted", "pass_mapping_filter", "filter_fail")],
+]
+
+
+def with_fits(protein_rows: DataFrame) -> DataFrame:
+    """proteins() with the beta-binomial fit of its reads' damage; ci_low and ci_high stay the gene's intervals."""
+    p = protein_rows.withColumn("__fit", protein_damage(F.col("p_reads").cast("double"), "sum_p", "sum_p2"))
+    return p.withColumns({name: F.col(f"__fit.{c}") for c, name in _FIT.items()}).drop("__fit")
+
+
+def protein_report(protein_rows: DataFrame, passing: bool = False) -> DataFrame:
+    """The protein report, all 52 columns; only those that pass the mapping filter if passing."""
+    p = with_fits(protein_rows)
+    return (p.where("pass_mapping_filter = 1") if passing else p).select(*[F.col(c).alias(name) for name, c in PROTEIN_REPORT])
+
+
+COMBINED_REPORT = ["target_id", "group_id", "annotation_source", "gene_present", "protein_present", "n_reads", "eff_reads", "abundance", "breadth", "mean_identity", "mean_posterior", "protein_n_damage_reads", "protein_mean_p_damaged", "protein_p_protein_damaged", "protein_d_aa",
+                   "positional_score", "terminal_middle_ratio", "pass_mapping_filter", "filter_fail"]
+FUNCTION_REPORT = ["db", "function_id", "level", "n_genes", "n_reads", "n_ancient", "n_modern", "n_undetermined", "ancient_frac", "ci_low", "ci_high", "mean_posterior", "n_damaged_genes", "damaged_gene_frac", "damage_enrichment", "coverage_mean", "coverage_stdev", "avg_identity", "stdev_identity",
+                   "avg_read_length", "stdev_read_length"]
+
+
+def combined_report(gene_rows: DataFrame, protein_rows: DataFrame, groups: DataFrame, s: Settings, source: str = "annotation") -> DataFrame:
+    """combined() with all 19 columns; source names the annotation."""
+    p = with_fits(protein_rows).select("ref_id", F.col("p_protein_damaged").alias("protein_p_protein_damaged"))
+    c = combined(gene_rows, protein_rows, groups, s).join(p, "ref_id", "left").fillna({"protein_p_protein_damaged": 0.0})
+    return c.withColumn("annotation_source", F.lit(source)).withColumnRenamed("ref_id", "target_id").select(*COMBINED_REPORT)
+
+
+def function_report(gene_rows: DataFrame, groups: DataFrame, db: str = "MAP") -> DataFrame:
+    """functions() with all 21 columns; db names the mapping."""
+    f = functions(gene_rows, groups).withColumnRenamed("group_id", "function_id")
+    return f.withColumns({"db": F.lit(db), "level": F.lit("group")}).select(*FUNCTION_REPORT)
+
+
+def run(hits: DataFrame, index: DataFrame, groups: DataFrame, s: Settings, index_sample: dict | None = None, hits_sample: dict | None = None, given: tuple[str, ...] = ("d_max",)) -> tuple[dict[str, DataFrame], Settings]:
+    """All tables of a run from one pass of filters, annotation and EM, and the settings that the data have completed: level,
+    sites, calibrated thresholds. Genes, reads and proteins are written once and shared by the reports."""
+    s = resolved(s, hits, index_sample, hits_sample, given)
+    if s.min_damage_sites is None:
+        s = replace(s, min_damage_sites=median_sites(hits))
+    rows = scored(hits, index, s)
+    gene_rows = cut(genes(rows), "chain-genes")
+    s = calibrated(gene_rows, s)
+    read_rows = cut(reads(rows, s), "chain-reads")
+    protein_rows = cut(proteins(read_rows, gene_rows, s), "chain-proteins")
+    drop_cut(rows)
+    return {
+        "reads": read_rows.where("mismatches > 0"), "genes": gene_rows, "proteins": protein_report(protein_rows), "proteins_filtered": protein_report(protein_rows, True),
+        "combined": combined_report(gene_rows, protein_rows, groups, s), "functions": function_report(gene_rows, groups), "abundance": abundance(gene_rows, protein_rows, groups),
+    }, s
+
+
 def combined(gene_rows: DataFrame, protein_rows: DataFrame, groups: DataFrame, s: Settings) -> DataFrame:
     """A row a reference that either side knows, with its group (`.` for none) and merged failures; groups: (ref_id, group_id)."""
     g = gene_rows.select("ref_id", "n_reads", "eff_reads", "abundance", "breadth", "mean_identity", "mean_posterior", "positional_score", "terminal_middle_ratio", failures(s).alias("gene_fail"))

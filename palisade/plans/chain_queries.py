@@ -129,6 +129,26 @@ def chain_abundance(spark, sf_dir):
     return _rounded(R.abundance(g, p, groups(spark, sf_dir)), 4)
 
 
+REPORT = [(name, c) for name, c in R.PROTEIN_REPORT if c not in (*R._FIT.values(), "completeness_fhat")]
+
+
+def chain_protein_report(spark, sf_dir):
+    """The protein report but for its fits, which SQL can't express."""
+    return _rounded(_sides(spark, sf_dir)[1].select(*[F.col(c).alias(name) for name, c in REPORT]), 4)
+
+
+def chain_run(spark, sf_dir):
+    """All tables of a run with the EM run until it settles, level and thresholds from the data: rows and sums of each table."""
+    strict = R.Settings(min_identity=0.88, min_bits=0.2, max_log10_evalue=-2.0).strict()
+    tables, s = R.run(hits(spark, sf_dir), damage_index(spark, sf_dir), groups(spark, sf_dir), strict, given=())
+    out = None
+    for name, df in tables.items():
+        figures = [F.sum(F.col(c).cast("double")) for c, t in df.dtypes if t in ("double", "bigint", "int") and c not in ("ref_id", "target_id", "protein_id", "row_id") and not c.startswith("log10")]
+        one = df.agg(F.count("*").alias("n"), F.round(sum(figures[1:], figures[0]), 3).alias("total")).select(F.lit(name).alias("report"), "n", "total")
+        out = one if out is None else out.unionByName(one)
+    return out.withColumns({"d_max": F.lit(round(s.d_max, 6)), "min_positional": F.lit(round(s.min_positional, 6)), "min_terminal": F.lit(round(s.min_terminal, 6)), "min_damage_sites": F.lit(s.min_damage_sites)})
+
+
 def _truth(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0")
     truth = o.selectExpr("o_orderkey AS read_id", "CASE WHEN o_orderkey % 2 = 1 THEN '-' ELSE '+' END AS strand", "CAST(o_orderkey % 3 AS INT) AS frame")
@@ -218,7 +238,7 @@ _PROT = """p0 AS (SELECT ref_id, count(*) AS p_reads, CAST(sum(CASE WHEN k > 0 T
  max(p_damaged) AS max_p_damaged, avg(p_damaged) AS mean_p_damaged, avg(delta_bits) AS avg_delta_bits, avg(bpa) AS avg_bpa, sum(gamma) AS p_eff FROM rd WHERE mismatches > 0 GROUP BY ref_id),
 pl AS (SELECT ref_id, length_bin FROM (SELECT ref_id, length_bin, row_number() OVER (PARTITION BY ref_id ORDER BY count(*) DESC, length_bin) AS rn FROM rd WHERE mismatches > 0 GROUP BY ref_id, length_bin) WHERE rn = 1),
 prot AS (SELECT p0.*, length_bin, CASE WHEN p_damage_reads > 0 THEN n_damaged/p_damage_reads ELSE 0 END AS frac_damaged, n_damaged/p_reads AS frac_damaged_all, CASE WHEN p_eff > 0 THEN least((terminal_5+terminal_3)/(p_eff*CAST(1.05 AS DOUBLE)),1) ELSE 0 END AS d_aa,
- n_reads, breadth, CASE WHEN ff = '' THEN '.' ELSE ff END AS filter_fail, CAST(ff = '' AS INT) AS pass_mapping_filter FROM p0 JOIN pl USING (ref_id) JOIN gene USING (ref_id))"""
+ gene.* EXCLUDE (ref_id, ff), CASE WHEN ff = '' THEN '.' ELSE ff END AS filter_fail, CAST(ff = '' AS INT) AS pass_mapping_filter FROM p0 JOIN pl USING (ref_id) JOIN gene USING (ref_id))"""
 _GRP = "grp AS (SELECT p_partkey AS ref_id, p_brand AS group_id FROM part)"
 
 
@@ -242,6 +262,7 @@ ORACLE = {
     "chain_reads": f"{_SCORED}, {_READS} SELECT {_pick(READ_COLUMNS, 5, _RF)} FROM rd WHERE mismatches > 0",
     "chain_genes": f"{_SCORED}, {_GENES} SELECT {_pick(GENE_COLUMNS, 4, _GF)} FROM gene",
     "chain_proteins": f"{_SCORED}, {_READS}, {_GENES}, {_PROT} SELECT {_pick(PROTEIN_COLUMNS, 4, _PF)} FROM prot",
+    "chain_protein_report": f"{_SCORED}, {_READS}, {_GENES}, {_PROT} SELECT " + ", ".join(f"round({c},4) AS {n}" if c in _PF | _GF | {"p_eff"} else f"{c} AS {n}" for n, c in REPORT) + " FROM prot",
     "chain_combined": f"""{_SCORED}, {_READS}, {_GENES}, {_PROT}, {_GRP}, j AS (SELECT gene.*, prot.p_damage_reads, mean_p_damaged, d_aa, prot.ref_id IS NULL AS nop FROM gene LEFT JOIN prot USING (ref_id)), c AS (SELECT *, concat_ws(',', CASE WHEN nop THEN 'no_protein' END, CASE WHEN ff <> '' THEN ff END) AS f FROM j)
  SELECT ref_id, n_reads, round(eff_reads,4) AS eff_reads, round(abundance,4) AS abundance, round(breadth,4) AS breadth, round(mean_identity,4) AS mean_identity, round(mean_posterior,4) AS mean_posterior, round(positional_score,4) AS positional_score, round(terminal_middle_ratio,4) AS terminal_middle_ratio, coalesce(p_damage_reads,0) AS protein_n_damage_reads,
  round(coalesce(mean_p_damaged,0),4) AS protein_mean_p_damaged, round(coalesce(d_aa,0),4) AS protein_d_aa, coalesce(group_id,'.') AS group_id, CASE WHEN f = '' THEN '.' ELSE f END AS filter_fail, 1 AS gene_present, CASE WHEN nop THEN 0 ELSE 1 END AS protein_present, CAST(f = '' AS INT) AS pass_mapping_filter FROM c LEFT JOIN grp USING (ref_id)""",
@@ -253,4 +274,4 @@ ORACLE = {
     "validation_join": f"WITH {_TRUTH} SELECT read_id, strand, frame, CAST(hit AS INT) AS hit, CAST(strand_ok AS INT) AS strand_ok, CAST(frame_ok AS INT) AS frame_ok, round(best,6) AS best FROM va",
     "validation_report": f"WITH {_TRUTH} SELECT count(*) AS n_truth, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS n_called, CAST(count(*) - sum(CAST(hit AS INT)) AS BIGINT) AS n_missed, round(sum(CAST(strand_ok AS INT))/sum(CAST(hit AS INT)),6) AS strand_accuracy, round(sum(CAST(frame_ok AS INT))/sum(CAST(hit AS INT)),6) AS frame_accuracy, (SELECT count(DISTINCT read_id) FROM ca WHERE read_id NOT IN (SELECT read_id FROM tr)) AS n_unexpected FROM va",
 }
-QUERIES = {name: globals()[name] for name in ORACLE}
+QUERIES = {name: globals()[name] for name in [*ORACLE, "chain_run"]}

@@ -270,6 +270,30 @@ def test_validation_joins(spark):
 def test_settings_presets():
     s = R.Settings(min_identity=0.5).strict()
     assert s.min_reads == 5 and s.min_identity == 0.5 and s.loose().min_reads == 1
+    assert (s.min_breadth, s.min_depth, s.calibrate, s.min_damage_sites) == (0.2, 1.0, True, 5) and s.min_positional == s.min_terminal == 0
+    assert s.loose().min_damage_sites == 1 and R.Settings(min_positional=0.3).loose().min_positional == 0.3
+
+
+def test_calibration_has_a_gate_and_only_raises(spark):
+    rows = [(i, 12, 5, i / 200, 1 - i / 200) for i in range(120)] + [(500 + i, 3, 5, 0.0, 0.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "ref_id long, n_reads long, n_unique_starts long, positional_score double, terminal_middle_ratio double")
+    got = R.calibrated(df, R.Settings(calibrate=True, min_positional=0.01))
+    assert got.min_positional == sorted(i / 200 for i in range(120))[6] and got.min_terminal == pytest.approx(sorted(1 - i / 200 for i in range(120))[6])
+    assert R.calibrated(df, R.Settings(calibrate=True, min_positional=0.9)).min_positional == 0.9 and R.calibrated(df, R.Settings()) == R.Settings()
+    assert R.calibrated(df.where("ref_id < 99"), R.Settings(calibrate=True)) == R.Settings(calibrate=True)
+    low = df.withColumn("terminal_middle_ratio", F.lit(0.1))
+    assert R.calibrated(low, R.Settings(calibrate=True)).min_terminal == 0.20
+
+
+def test_order_of_the_level(spark):
+    hits = spark.createDataFrame([(1, "a_+_0", 7, 50.0, 0.9, 6, 1, 6, "WKYAAA", "RKHAAA", 1, 6)], "row_id long, query_id string, ref_id long, bits double, fident double, aln_len int, tstart long, tlen long, qaln string, taln string, qstart int, qlen int")
+    s = R.Settings(d_max=0.1, rate=0.2)
+    assert R.resolved(s, hits, {"d_max": 0.4, "rate": 0.5}, {"d_max": 0.3}, ("d_max",)) == s
+    got = R.resolved(s, hits, {"d_max": 0.4, "rate": 0.5}, {"d_max": 0.3})
+    assert (got.d_max, got.rate) == (0.4, 0.5) and R.resolved(s, hits, {"d_max": 0.4, "rate": 0.5}, given=("rate",)).rate == 0.2
+    assert R.resolved(s, hits, {"d_max": 0.0}, {"d_max": 0.3, "rate": 0.0}).d_max == 0.3 and R.resolved(s, hits, None, {"d_max": 0.3, "rate": 0.0}).rate == 0.2
+    assert 0 <= R.resolved(s, hits).d_max <= 0.5 and R.median_sites(hits) == 1 and R.median_sites(hits.limit(0)) == 3
+    assert R.median_sites(hits.withColumn("qlen", F.lit(47))) == 4
 
 
 def test_components_chain(spark):
