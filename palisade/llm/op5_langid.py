@@ -37,7 +37,8 @@ BROADCAST_IDS = 1_000_000
 CACHE = 400_000
 # Of what \w takes in besides digits, some hundred signs (superscripts, fractions, numerals) aren't letters.
 _SIGNS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{re.escape(_SIGNS)}]+")
+_SIGN = re.compile(f"[{re.escape(_SIGNS)}]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -157,6 +158,11 @@ class KneserNey:
         return out
 
 
+def runs(text: str) -> list[str]:
+    """The runs of letters of a text."""
+    return _LETTERS.findall(text if text.isascii() else _SIGN.sub(" ", text))
+
+
 def _tokens(text: str) -> list[str]:
     return text.lower().split()
 
@@ -168,7 +174,7 @@ class Scorer:
         self.model, self.index, self.table, self.used = model, {}, np.zeros((1024, len(model.langs) + 1)), 0
 
     def _learn(self, tokens: list[str]) -> None:
-        parts = [_LETTERS.findall(t) for t in tokens]
+        parts = [runs(t) for t in tokens]
         flat = [w for p in parts for w in p]
         rows = self.model.words(flat)
         sums = np.zeros((len(tokens), rows.shape[1]))
@@ -267,7 +273,7 @@ def train(labelled: DataFrame, order: int = ORDER, per_lang: int = SAMPLE_PER_LA
             for t, lang in zip(texts, langs):
                 grams = per.setdefault(lang, {})
                 words: dict = {}
-                for w in _LETTERS.findall(t.lower()):
+                for w in runs(t.lower()):
                     words[w] = words.get(w, 0) + 1
                 for w, c in words.items():
                     p = "\x02" * (order - 1) + w + "\x03"
