@@ -36,8 +36,8 @@ BROADCAST_IDS = 1_000_000
 #: Words whose scores a worker keeps.
 CACHE = 400_000
 # Of what \w takes in besides digits, some hundred signs (superscripts, fractions, numerals) aren't letters.
-_SIGNS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_SIGN = re.compile(f"[{re.escape(_SIGNS)}]")
+_SIGNS = frozenset(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_APART = dict.fromkeys(map(ord, _SIGNS), " ")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -160,7 +160,7 @@ class KneserNey:
 
 def runs(text: str) -> list[str]:
     """The runs of letters of a text."""
-    return _LETTERS.findall(text if text.isascii() else _SIGN.sub(" ", text))
+    return _LETTERS.findall(text if text.isascii() or _SIGNS.isdisjoint(text) else text.translate(_APART))
 
 
 def _tokens(text: str) -> list[str]:
