@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palisade.functions.sequence import strip_frame_suffix
-from palisade.functions.stats import protein_damage, wilson
+from palisade.functions.sequence import identity, strip_frame_suffix
+from palisade.functions.stats import beta_at, beta_below, protein_damage, wilson
 from palisade.operators import annotate as N
 from palisade.operators import coverage as C
 from palisade.operators import em as E
@@ -311,3 +311,55 @@ def validated(truth: DataFrame, predictions: DataFrame) -> DataFrame:
 def unexpected(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """Predicted reads that the truth doesn't know."""
     return predictions.join(truth, "read_id", "left_anti").select("read_id").distinct()
+
+
+VALIDATION = ["read_id", "length", "pred_strand", "pred_frame", "true_strand", "true_frame", "score", "damage_pct", "damage_signal", "strand_correct", "frame_correct", "both_correct", "identity"]
+
+
+def validation_rows(truth: DataFrame, predictions: DataFrame, proteins: DataFrame) -> DataFrame:
+    """The validation table, a row a read of truth (read_id, strand, frame, sequence, length) that has a prediction (read_id,
+    strand, frame, score, damage_pct, damage_signal): its best prediction (by score, then strand, frame and damage), the greatest damage
+    signal of all, whether any has the right strand, and frame there, and the best identity of its proteins (read_id, strand,
+    sequence) of the right strand with the truth (null without one). A read's predictions are six at most."""
+    best = F.min_by(F.struct("strand", "frame", "score", "damage_pct"), F.struct((-F.col("score")).alias("s"), "strand", "frame", "damage_pct")).alias("x")
+    mine = predictions.groupBy("read_id").agg(best, F.max("damage_signal").alias("damage_signal"), F.collect_set(F.struct("strand", "frame")).alias("calls"))
+    same = proteins.join(truth.select("read_id", "strand", F.col("sequence").alias("own")), ["read_id", "strand"])
+    alike = same.groupBy("read_id").agg(F.max(identity("sequence", "own")).alias("identity"))
+    j = truth.select("read_id", "strand", "frame", "length").join(mine, "read_id").join(alike, "read_id", "left")
+    right = F.exists("calls", lambda c: c["strand"] == F.col("strand"))
+    framed = F.exists("calls", lambda c: (c["strand"] == F.col("strand")) & (c["frame"] == F.col("frame")))
+    return j.select(
+        "read_id", "length", F.col("x.strand").alias("pred_strand"), F.col("x.frame").alias("pred_frame"), F.col("strand").alias("true_strand"), F.col("frame").alias("true_frame"), "x.score", "x.damage_pct", "damage_signal",
+        right.cast("int").alias("strand_correct"), framed.cast("int").alias("frame_correct"), (right & framed).cast("int").alias("both_correct"), "identity")
+
+
+# Weight of the background in reads, its share of damage, how far beyond it counts, and the flags' least reads and breadth.
+PRIOR_WEIGHT, BACKGROUND_SHARE, BEYOND, FLAG_READS, FLAG_BREADTH = 10.0, 0.10, 0.05, 3.0, 0.10
+
+
+def enrichment(gene_rows: DataFrame) -> DataFrame:
+    """gene_rows (n_ancient, eff_reads, breadth) with the raw and the shrunken share of damaged reads, its 95 % interval, the
+    probability that it lies beyond the background, whether that reaches 0.95, and flags of few reads and low breadth."""
+    anc, n = F.col("n_ancient"), F.col("eff_reads")
+    g = gene_rows.withColumn("__a", PRIOR_WEIGHT * BACKGROUND_SHARE + anc).withColumn("__b", PRIOR_WEIGHT * (1 - BACKGROUND_SHARE) + F.greatest(n - anc, F.lit(0.0)))
+    at = lambda p: beta_at(F.lit(p), F.col("__a"), F.col("__b"))
+    g = g.withColumns({
+        "theta_raw": F.when(n > 0, anc / n).otherwise(0.0), "theta_post": F.col("__a") / (F.col("__a") + F.col("__b")), "theta_low": at(0.025), "theta_high": at(0.975),
+        "p_enriched": 1 - beta_below(F.lit(BACKGROUND_SHARE + BEYOND), F.col("__a"), F.col("__b")), "low_count": (n < FLAG_READS).cast("int"), "low_breadth": (F.col("breadth") < FLAG_BREADTH).cast("int"),
+    })
+    return g.withColumn("enriched", (F.col("p_enriched") >= 0.95).cast("int")).drop("__a", "__b")
+
+
+PROFILE_POSITIONS = 25
+
+
+def target_profile(reads: DataFrame, targets: DataFrame, positions: int = PROFILE_POSITIONS, min_reads: int = 1) -> DataFrame:
+    """A row a target of targets (read_id, target): n_reads, then the share of T among T and C at each of the first positions
+    of its reads (read_id, seq) and of A among A and G at each of the last, 0.5 without either; targets under min_reads go. One
+    partial aggregation by target, whatever a target's reads."""
+    at = lambda k, end: F.upper(F.substr("seq", F.lit(k + 1), F.lit(1)) if end else F.substr("seq", F.length("seq") - k, F.lit(1)))
+    inside = lambda k, c, end: F.sum(((F.length("seq") > k) & (at(k, end) == c)).cast("long"))
+    sums = {f"{c}{k}_{'5' if end else '3'}": inside(k, c, end) for end, pair in ((True, "TC"), (False, "AG")) for k in range(positions) for c in pair}
+    n = reads.join(targets, "read_id").groupBy("target").agg(F.count("*").alias("n_reads"), *[v.alias(name) for name, v in sums.items()]).where(F.col("n_reads") >= min_reads)
+    share = lambda up, low: F.when(F.col(up) + F.col(low) > 0, F.col(up) / (F.col(up) + F.col(low))).otherwise(0.5)
+    return n.select("target", "n_reads", *[share(f"T{k}_5", f"C{k}_5").alias(f"tc_{k}") for k in range(positions)], *[share(f"A{k}_3", f"G{k}_3").alias(f"ag_{k}") for k in range(positions)])

@@ -10,6 +10,7 @@ from palisade.operators import annotate as N
 from palisade.operators import report as R
 from palisade.plans.alignment_queries import POSITIONAL, SEGMENTS, TERMINAL, _wilson
 from palisade.plans.sequence_queries import _C, _G, _LG, _T2Q
+from palisade.plans.adapters import SEQ, sequences
 from palisade.session import table
 
 # Columns of the hits, in order, in SQL that both engines read; each may use those before it.
@@ -172,6 +173,33 @@ def validation_report(spark, sf_dir):
     return one.crossJoin(more).select("n_truth", "n_called", (F.col("n_truth") - F.col("n_called")).alias("n_missed"), F.round(F.col("n_strand") / F.col("n_called"), 6).alias("strand_accuracy"), F.round(F.col("n_frame") / F.col("n_called"), 6).alias("frame_accuracy"), "n_unexpected")  # one row each
 
 
+ENRICHMENT = ["ref_id", "theta_raw", "theta_post", "low_count", "low_breadth"]
+
+
+def chain_enrichment(spark, sf_dir):
+    """Raw and shrunken share of damaged reads of each reference, and its flags; intervals and calls are tested, as SQL has no Beta."""
+    return _rounded(R.enrichment(R.genes(_scored(spark, sf_dir))).select(*ENRICHMENT), 4)
+
+
+_TRUTH_ROW = ["o_orderkey AS read_id", "CASE WHEN o_orderkey % 2 = 1 THEN '-' ELSE '+' END AS strand", "CAST(o_orderkey % 3 AS INT) AS frame", "substr(md5(CAST(o_orderkey AS STRING)), 1, CAST(20 + o_orderkey % 11 AS INT)) AS sequence", "CAST(60 + o_orderkey % 31 AS INT) AS length"]
+_CALL_ROW = ["l_orderkey AS read_id", "CASE WHEN l_suppkey % 2 = 1 THEN '-' ELSE '+' END AS strand", "CAST(l_partkey % 3 AS INT) AS frame", "l_discount * 10 AS score", "CAST(l_suppkey % 50 AS DOUBLE) AS damage_pct", "CAST(l_partkey % 97 AS DOUBLE) / 100 AS damage_signal",
+             "CASE WHEN l_suppkey % 3 = 0 THEN substr(md5(CAST(l_orderkey AS STRING)), 1, 18) ELSE substr(md5(CAST(l_suppkey AS STRING)), 1, 25) END AS sequence"]
+
+
+def validation_table(spark, sf_dir):
+    """The validation table: predictions and proteins beside the truth of their reads."""
+    truth = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0").selectExpr(*_TRUTH_ROW)
+    calls = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3 AND l_orderkey % 11 <> 0").selectExpr(*_CALL_ROW)
+    return _rounded(R.validation_rows(truth, calls.drop("sequence"), calls.select("read_id", "strand", "sequence")))
+
+
+def target_profiles(spark, sf_dir):
+    """Damage profile of 25 positions at either end of each target's reads, by their first hits."""
+    first = hits(spark, sf_dir).groupBy(F.split("query_id", "_")[0].alias("read_id")).agg(F.min_by("ref_id", "row_id").alias("target"))
+    reads = sequences(spark, sf_dir).select(F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("read_id"), "seq")
+    return _rounded(R.target_profile(reads, first))
+
+
 def _hits_sql() -> str:
     out, src = [], "lineitem"
     for k, cols in enumerate(_LAYERS):
@@ -272,6 +300,15 @@ ORACLE = {
  round(CASE WHEN na+nm > 0 THEN na/(na+nm) ELSE 0 END,4) AS ancient_frac, round({_FL},4) AS ci_low, round({_FH},4) AS ci_high, round(CASE WHEN n_reads > 0 THEN mp/n_reads ELSE 0 END,4) AS mean_posterior, round(nd/n_genes,4) AS damaged_gene_frac, round(CASE WHEN na+nm > 0 THEN na/(na+nm) ELSE 0 END/((SELECT sum(na) FROM f)/(SELECT sum(na+nm) FROM f)),4) AS damage_enrichment FROM f""",
     "chain_abundance": f"{_SCORED}, {_READS}, {_GENES}, {_PROT}, {_GRP} SELECT ref_id, group_id, round(abundance,4) AS abundance, round(abundance_adjusted,4) AS abundance_adjusted, CASE WHEN n_damaged > 0 THEN 'detected' ELSE 'not_detected' END AS detection FROM gene JOIN grp USING (ref_id) JOIN prot USING (ref_id) WHERE pass_mapping_filter = 1",
     "validation_join": f"WITH {_TRUTH} SELECT read_id, strand, frame, CAST(hit AS INT) AS hit, CAST(strand_ok AS INT) AS strand_ok, CAST(frame_ok AS INT) AS frame_ok, round(best,6) AS best FROM va",
+    "chain_enrichment": f"{_SCORED}, {_GENES} SELECT ref_id, round(CASE WHEN eff_reads > 0 THEN n_ancient/eff_reads ELSE 0 END,4) AS theta_raw, round((1+n_ancient)/(10+n_ancient+greatest(eff_reads-n_ancient,0)),4) AS theta_post, CAST(eff_reads < 3 AS INT) AS low_count, CAST(breadth < {_TEN} AS INT) AS low_breadth FROM gene",
+    "validation_table": f"""WITH tr AS (SELECT {', '.join(_TRUTH_ROW)} FROM orders WHERE o_orderkey % 7 <> 0), ca AS (SELECT {', '.join(_CALL_ROW)} FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey % 11 <> 0),
+ b AS (SELECT * FROM ca QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY score DESC, strand, frame, damage_pct) = 1), m AS (SELECT read_id, max(damage_signal) AS damage_signal FROM ca GROUP BY read_id),
+ ok AS (SELECT tr.read_id, CAST(bool_or(ca.strand = tr.strand) AS INT) AS strand_correct, CAST(bool_or(ca.strand = tr.strand AND ca.frame = tr.frame) AS INT) AS frame_correct,
+  max(CASE WHEN ca.strand = tr.strand THEN len(list_filter(range(1, least(length(ca.sequence), length(tr.sequence)) + 1), lambda i: substr(ca.sequence, i, 1) = substr(tr.sequence, i, 1))) / CAST(greatest(length(ca.sequence), length(tr.sequence)) AS DOUBLE) END) AS identity FROM tr JOIN ca USING (read_id) GROUP BY tr.read_id)
+ SELECT tr.read_id, tr.length, b.strand AS pred_strand, b.frame AS pred_frame, tr.strand AS true_strand, tr.frame AS true_frame, round(b.score,6) AS score, b.damage_pct, m.damage_signal, strand_correct, frame_correct, strand_correct * frame_correct AS both_correct, round(identity,6) AS identity FROM tr JOIN b USING (read_id) JOIN m USING (read_id) JOIN ok USING (read_id)""",
+    "target_profiles": f"{_HITS}, {SEQ}, f AS (SELECT split_part(query_id, '_', 1) AS rid, arg_min(ref_id, row_id) AS target FROM hits GROUP BY 1), j AS (SELECT target, seq FROM seqs JOIN f ON rid = 'r' || CAST(doc_id AS STRING)) SELECT target, count(*) AS n_reads, "
+    + ", ".join(f"round(coalesce(CAST(count(*) FILTER ({up}) AS DOUBLE) / nullif(count(*) FILTER ({up} OR {low}), 0), 0.5), 6) AS {name}_{k}" for name, a, b in (("tc", "T", "C"), ("ag", "A", "G")) for k in range(25)
+                for up, low in [tuple(f"length(seq) > {k} AND substr(seq, {'%d' % (k + 1) if name == 'tc' else 'length(seq) - %d' % k}, 1) = '{c}'" for c in (a, b))]) + " FROM j GROUP BY target",
     "validation_report": f"WITH {_TRUTH} SELECT count(*) AS n_truth, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS n_called, CAST(count(*) - sum(CAST(hit AS INT)) AS BIGINT) AS n_missed, round(sum(CAST(strand_ok AS INT))/sum(CAST(hit AS INT)),6) AS strand_accuracy, round(sum(CAST(frame_ok AS INT))/sum(CAST(hit AS INT)),6) AS frame_accuracy, (SELECT count(DISTINCT read_id) FROM ca WHERE read_id NOT IN (SELECT read_id FROM tr)) AS n_unexpected FROM va",
 }
 QUERIES = {name: globals()[name] for name in [*ORACLE, "chain_run"]}

@@ -346,3 +346,33 @@ def test_metamorphic_partitions(spark):
     a = A.best_hits(aln(spark, rows)).orderBy("read_id").select("read_id", "ref_id", "bits").collect()
     b = A.best_hits(aln(spark, rows).repartition(7, F.col("bits"))).orderBy("read_id").select("read_id", "ref_id", "bits").collect()
     assert a == b
+
+
+def test_validation_table_has_every_column(spark):
+    truth = spark.createDataFrame([("a", "+", 0, "MKVL", 15), ("b", "-", 1, "MK", 8), ("c", "+", 2, None, 9), ("d", "+", 0, "M", 4)], "read_id string, strand string, frame int, sequence string, length int")
+    calls = spark.createDataFrame([("a", "+", 1, 0.2, 9.0, 0.1), ("a", "+", 0, 0.1, 8.0, 0.7), ("b", "+", 1, 0.9, 1.0, None), ("c", "+", 2, 0.5, 2.0, 0.3), ("z", "+", 0, 0.5, 0.0, 0.0)], "read_id string, strand string, frame int, score double, damage_pct double, damage_signal double")
+    proteins = spark.createDataFrame([("a", "+", "MKIL"), ("a", "+", "MAAA"), ("a", "-", "MKVL"), ("b", "+", "MK"), ("c", "+", "M")], "read_id string, strand string, sequence string")
+    rows = R.validation_rows(truth, calls, proteins)
+    got = {r["read_id"]: tuple(r)[1:] for r in rows.collect()}
+    assert rows.columns == R.VALIDATION and set(got) == {"a", "b", "c"}
+    assert got["a"] == (15, "+", 1, "+", 0, 0.2, 9.0, 0.7, 1, 1, 1, 0.75) and got["b"] == (8, "+", 1, "-", 1, 0.9, 1.0, None, 0, 0, 0, None)
+    assert R.validation_rows(truth.limit(0), calls, proteins).count() == 0
+
+
+def test_enrichment_calls_and_flags(spark):
+    df = spark.createDataFrame([(1, 40.0, 50.0, 0.9), (2, 0.0, 2.0, 0.05), (3, 5.0, 50.0, 0.5), (4, 0.0, 0.0, 0.0)], "ref_id long, n_ancient double, eff_reads double, breadth double")
+    got = {r["ref_id"]: r for r in R.enrichment(df).collect()}
+    assert (got[1]["enriched"], got[1]["low_count"], got[1]["low_breadth"]) == (1, 0, 0) and got[1]["theta_post"] == pytest.approx(41 / 60) and got[1]["theta_low"] < 41 / 60 < got[1]["theta_high"]
+    assert (got[2]["enriched"], got[2]["low_count"], got[2]["low_breadth"]) == (0, 1, 1) and got[3]["enriched"] == 0 and got[3]["theta_raw"] == pytest.approx(0.1) and got[4]["theta_raw"] == 0
+    grid = np.linspace(0, 1, 400_001)[1:-1]
+    dens = np.exp(5 * np.log(grid) + 53 * np.log(1 - grid))
+    assert got[3]["p_enriched"] == pytest.approx(dens[grid > 0.15].sum() / dens.sum(), abs=1e-3)
+
+
+def test_target_profile_counts_both_ends(spark):
+    reads = spark.createDataFrame([("r1", "TTGA"), ("r2", "ctgg"), ("r3", "A"), ("r4", None), ("r5", "TTTT")], "read_id string, seq string")
+    targets = spark.createDataFrame([("r1", 1), ("r2", 1), ("r3", 2), ("r4", 2)], "read_id string, target long")
+    got = {r["target"]: r for r in R.target_profile(reads, targets, 3).collect()}
+    assert (got[1]["n_reads"], got[1]["tc_0"], got[1]["tc_1"], got[1]["tc_2"]) == (2, 0.5, 1.0, 0.5) and (got[1]["ag_0"], got[1]["ag_1"]) == (0.5, 0.0)
+    assert (got[2]["n_reads"], got[2]["tc_0"], got[2]["ag_0"], got[2]["ag_1"]) == (2, 0.5, 1.0, 0.5)
+    assert [r["target"] for r in R.target_profile(reads, targets, 3, 3).collect()] == [] and len(R.target_profile(reads, targets).columns) == 52
