@@ -2,7 +2,8 @@
 
 Base: places where a phrase's words stand consecutively. Notices: each is split into k + 1 pieces (k its edit
 budget), of which one must occur exactly (pigeonhole); an automaton finds the pieces in the normalised text, and the
-regex library's bounded-error matching verifies the window around each hit and reports spans and edits.
+regex library's bounded-error matching verifies the window around each hit and reports spans and edits. Licenses
+that a word or two tell apart have a notice each, so that the true one has the fewest edits.
 
 Edge cases: null and empty texts have no words, null positions, empty labels, score 0; overlapping places all count;
 of overlapping spans the one of fewest edits is reported; repeated rows are scanned alike. Extra
@@ -11,6 +12,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+
 import ahocorasick
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +34,19 @@ NOTICES = {
     "mozilla public license version 2 0": "mpl",
     "licensed under cc by nc 4 0": "cc-by-nc",
     "licensed under cc by sa 4 0": "cc-by-sa",
+    "licensed under cc by nd 4 0": "cc-by-nd",
+    "licensed under cc by nc sa 4 0": "cc-by-nc-sa",
+    "licensed under cc by nc nd 4 0": "cc-by-nc-nd",
     "creative commons attribution 4 0 international": "cc-by",
+    "creative commons attribution noncommercial 4 0 international": "cc-by-nc",
+    "creative commons attribution sharealike 4 0 international": "cc-by-sa",
+    "creative commons attribution noderivatives 4 0 international": "cc-by-nd",
+    "creative commons zero 1 0 universal": "cc0",
+    "licensed under the gnu general public license version 2": "gpl",
+    "eclipse public license version 2 0": "epl",
+    "boost software license version 1 0": "boost",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "this software is provided as is without any express or implied warranty": "zlib",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "proprietary",
 }
@@ -77,9 +92,10 @@ class Scanner:
         if "license" not in norm:
             return found
         for phrase, label in self.phrases.items():
-            at = norm.find(f" {phrase} ")
+            at, before, n = norm.find(f" {phrase} "), 0, 0
             while at >= 0:
-                found.append((norm.count(" ", 0, at), label))
+                n, before = n + norm.count(" ", before, at), at
+                found.append((n, label))
                 at = norm.find(f" {phrase} ", at + 1)
         return found
 
@@ -98,17 +114,26 @@ class Scanner:
                     own.append([lo, hi])
         found = []
         for notice, own in windows.items():
-            rest = [tuple(w) for w in own]
+            rest = []
+            for lo, hi in own:  # exact places first; what lies between them is searched for the others
+                at = norm.find(notice, lo, hi)
+                while at >= 0:
+                    found.append((at, at + len(notice), notice, 0))
+                    rest.append((lo, at))
+                    lo = at + len(notice)
+                    at = norm.find(notice, lo, hi)
+                rest.append((lo, hi))
             while rest:  # the search gives the best place of a window: what lies before and after it is searched too
                 lo, hi = rest.pop()
                 if hi - lo >= len(notice) - budget(notice) and (m := self.patterns[notice].search(norm, lo, hi)):
                     found.append((m.start(), m.end(), notice, sum(m.fuzzy_counts)))
                     rest += [(lo, m.start()), (max(m.end(), lo + 1), hi)]
-        kept: list[tuple[int, int, str, int]] = []
+        kept: list[tuple[int, int, str, int]] = []  # disjoint, in order
         for s in sorted(found, key=lambda s: (s[3], s[0], s[2])):  # of overlapping spans the one of fewest edits
-            if all(s[1] <= k[0] or s[0] >= k[1] for k in kept):
-                kept.append(s)
-        return sorted(kept)
+            i = bisect.bisect(kept, s)
+            if (i == 0 or kept[i - 1][1] <= s[0]) and (i == len(kept) or s[1] <= kept[i][0]):
+                kept.insert(i, s)
+        return kept
 
     def __call__(self, texts: list[str]) -> list:
         cols: list[list] = [[] for _ in range(8)]

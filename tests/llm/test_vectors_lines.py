@@ -217,3 +217,17 @@ def test_slices_find_what_one_pass_finds(monkeypatch):
     whole = op1_decontam.find(index, text)
     monkeypatch.setattr(op1_decontam, "SLICE_HITS", 50)
     assert {g[0] for g in op1_decontam.find(index, text)} == {g[0] for g in whole} and len(whole) > 40
+
+
+def test_licenses_that_a_word_tells_apart():
+    from palisade.llm.op4_license import NOTICES, Scanner
+
+    scan = Scanner()
+    for text, label in (("licensed under CC BY-ND 4.0 ok", "cc-by-nd"), ("Licensed under cc by nc 4.0", "cc-by-nc"), ("licensed undr cc by-sa 4.0", "cc-by-sa"), ("licensed under cc-by-nc-sa 4.0", "cc-by-nc-sa"), ("licensed under the apache licence, version 2.0", "apache")):
+        assert scan([text])[5] == [label]
+    long = " ".join(list(NOTICES)[i % len(NOTICES)] for i in range(600))
+    spans = scan.fuzzy(f" {long} ")
+    assert len(spans) == 600 and all(e == 0 for *_, e in spans)
+    words = f" {long} ".split(" ")
+    at = scan.exact(f" {long} ")
+    assert at and all(" ".join(words[1 + n:]).startswith(("mit license", "apache license", "general public license")) for n, _ in at)
