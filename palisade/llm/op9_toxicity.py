@@ -5,6 +5,8 @@ spaced out letter by letter) become a lattice of possible letters, decoded by Vi
 model of ordinary words. Runs of spaced-out letters and glued tokens beyond MAX_TOKEN are decoded into several words,
 by Viterbi over word boundaries under the words' frequencies. The restored words are scored: word and word-prefix weights (log-odds of documents that
 hold them) found significant on labelled documents, their distinct sum put through a fitted logistic curve.
+All labelled documents train: counts, weights and the curve's sums are Spark aggregations over them; only the models
+(ordinary words, significant features, three coefficients) reach the driver.
 
 Edge cases: null text counts as empty and gets the score of a text without any weighted word; repeated rows score
 alike; tokens beyond MAX_TOKEN characters are decoded part by part, with parts still longer split into words unless
@@ -15,6 +17,7 @@ rate. Extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import re
 import uuid
@@ -26,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import filter_texts, fold, held, map_texts
+from palisade.llm.common import filter_texts, fold, held, map_texts, steps
 from palisade.session import cut, drop_cut
 
-#: Labelled documents of each class used for training at most (a bounded sample of labelled rows, by hash of the id).
-SAMPLE_PER_CLASS = 6000
+#: A word is ordinary that two training documents hold, and one of so many. Words that are rarer teach no spelling.
+ORDINARY = 6000
 #: Evidence (G statistic) and log-odds from which a word or prefix counts.
 MIN_G, MIN_LLR = 25.0, 3.0
 PREFIXES = (3, 4, 5, 6)
@@ -38,6 +41,10 @@ MAX_TOKEN = 40
 #: Log-probability of a letter outside known words, and of a letter from which a long token counts as words; readings kept.
 OTHER, LIKE_WORDS, BEAM = -10.0, -3.0, 64
 CACHE = 400_000
+#: Transitions of the character model, and features or words of a training task, that a worker holds at once.
+STEPS_HELD, COUNTS_HELD = 500_000, 200_000
+#: Labels, or near copies that don't count, up to which they are broadcast; beyond, texts are shuffled to them.
+BROADCAST = 1_000_000
 #: Odd multipliers, each a mixing of shingle hashes; documents sharing the smallest hash under most of them count once in training.
 FAMILIES = tuple(2 * k * 0x9E3779B97F4A7C15 % (1 << 64) | 1 for k in range(1, 9))
 THRESHOLD = 0.3
@@ -52,6 +59,10 @@ _SPACED = re.compile(rf"(?<![\w'’@$!|+€£#%])(?:{_UNIT})(?:(?:{_GAP})(?:{_UN
 _SPACED_PART = re.compile(rf"((?:{_GAP})?)({_UNIT})")
 _DRAWN = re.compile(r"(.)\1{3,}", re.S)
 _APART = re.compile(r"[^\w@$!|+(€£*#%]+|_+")
+_PUNCT = ".,;:?\"'()"
+_THRICE = re.compile(r"(.)\1\1")
+# Whatever _SPACED finds holds this: its second and third unit between gaps.
+_INNER = re.compile(r"[\s.\-_*]\S[\s.\-_*]{1,3}\S[\s.\-_*]")
 _EDGE = ".,;:!?\"'()[]{}<>*#%&$|`~-_=+/\\"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -80,6 +91,8 @@ class CharModel:
         total = math.log(sum(words.values()) or 1)
         self.words = {w: math.log(c) - total for w, c in words.items()}
         self.sorted = sorted(self.words)
+        self.letters = "".join(sorted(c for c in uni if c.isalpha()))
+        self.steps: dict[str, float] = {}
 
     def begins(self, prefix: str) -> bool:
         """Whether some word begins so."""
@@ -87,13 +100,21 @@ class CharModel:
         return at < len(self.sorted) and self.sorted[at].startswith(prefix)
 
     def logp(self, two: str, c: str) -> float:
+        got = self.steps.get(two + c)
+        if got is None:
+            if len(self.steps) >= STEPS_HELD:
+                self.steps.clear()
+            got = self.steps[two + c] = self._logp(two, c)
+        return got
+
+    def _logp(self, two: str, c: str) -> float:
         p = 0.7 * self.tri.get(two + c, 0) / self.tri_n.get(two, 1) + 0.25 * self.bi.get(two[1] + c, 0) / self.bi_n.get(two[1], 1)
         return math.log(p + 0.05 * (self.uni.get(c, 0) + 0.5) / (self.n + 50))
 
 
 def viterbi(token: str, lm: CharModel) -> str:
     """The likeliest plain word behind a token: look-alikes, wildcards, separators and repetitions are the channel."""
-    letters = "".join(sorted(c for c in lm.uni if c.isalpha()))
+    letters = lm.letters
     states: dict[tuple[str, str], tuple[float, str]] = {("^^", ""): (0.0, "")}
     for at, c in enumerate(token):
         run = c * 3 in token[max(0, at - 2):at + 3]
@@ -124,7 +145,7 @@ def viterbi(token: str, lm: CharModel) -> str:
 
 def segment(run: str, lm: CharModel) -> tuple[float, list[str]]:
     """The likeliest words behind a run without gaps, and their log-probability; what is no known word stays together."""
-    letters = "".join(sorted(c for c in lm.uni if c.isalpha()))
+    letters = lm.letters
     best: list[tuple] = [(0.0, 0, "", True)] + [(-math.inf, 0, "", False)] * len(run)  # score, start, word, known
     for i in range(len(run)):
         score = best[i][0]
@@ -170,7 +191,13 @@ def segment(run: str, lm: CharModel) -> tuple[float, list[str]]:
 
 def _part(token: str, lm: CharModel) -> list[str]:
     core = token.strip(_EDGE)
-    return [viterbi(part, lm) if _MARK.search(part) else part for part in dict.fromkeys((core, token.strip(".,;:?\"'()")))]
+    return [viterbi(part, lm) if _MARK.search(part) else part for part in dict.fromkeys((core, token.strip(_PUNCT)))]
+
+
+def plain(token: str) -> str | None:
+    """The word of a token without any mark, of which it is the only reading."""
+    core = token.strip(_EDGE)
+    return core if core.isalpha() and len(token) <= MAX_TOKEN and (core == token or token.strip(_PUNCT) == core) and not _THRICE.search(core) else None
 
 
 def restore(token: str, lm: CharModel) -> list[str]:
@@ -198,7 +225,9 @@ def restore(token: str, lm: CharModel) -> list[str]:
 
 def unspaced(text: str, lm: CharModel | None = None) -> list[str]:
     """Words spelled with single letters apart, joined; with lm their look-alikes are decoded and several words told apart."""
-    out = []
+    out: list[str] = []
+    if not _INNER.search(text):
+        return out
     for m in _SPACED.finditer(text):
         units = _SPACED_PART.findall(m.group(0))
         narrow, runs = min(len(g) for g, _ in units[1:]), [""]
@@ -208,7 +237,7 @@ def unspaced(text: str, lm: CharModel | None = None) -> list[str]:
             runs[-1] += c
         for run in runs:
             if any(c.isalpha() for c in run):
-                out += [run] if lm is None else segment(run, lm)[1]
+                out += [run] if lm is None else segment(_DRAWN.sub(r"\1\1\1", run), lm)[1]
     return out
 
 
@@ -219,31 +248,45 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.cache = model, {}
+        self.model, self.cache, self.heavy = model, {}, set()
+        self.whole = {f[1:]: w for f, w in model.weights.items() if f[0] == "="}
+        begun = {f[1:]: w for f, w in model.weights.items() if f[0] == "^"}
+        self.begun = [(n, own) for n in PREFIXES if (own := {f: w for f, w in begun.items() if len(f) == n})]
+
+        self.starts = {f[1:4] for f in model.weights}  # of all weighted words and prefixes
+
+    def words(self, token: str) -> list[str]:
+        word = plain(token)
+        return [word] if word else [w for r in restore(token, self.model.lm) for w in _WORD.findall(r)]
 
     def features(self, token: str) -> set[str]:
-        out = set()
-        for w in (w for r in restore(token, self.model.lm) for w in _WORD.findall(r)):
-            out.add("=" + w)
-            out.update("^" + w[:n] for n in PREFIXES if len(w) > n)
-        return out
+        return {f for w in self.words(token) for f in ("=" + w, *["^" + w[:n] for n in PREFIXES if len(w) > n])}
 
     def weight(self, token: str) -> float:
-        w = self.model.weights
-        best = max((w.get(f, 0.0) for f in self.features(token)), default=0.0)
+        """The largest weight of a token's features, 0 at least."""
+        best = 0.0
+        for w in self.words(token):
+            if w[:3] not in self.starts:
+                continue
+            best = max(best, self.whole.get(w, 0.0))
+            for n, own in self.begun:
+                if len(w) > n:
+                    best = max(best, own.get(w[:n], 0.0))
         self.cache[token] = best
+        if best:
+            self.heavy.add(token)
         return best
 
     def evidence(self, text: str) -> float:
         """Sum of the weights of the distinct restored words."""
         if len(self.cache) > CACHE:
             self.cache.clear()
+            self.heavy.clear()
         low = text.lower()
-        get, total = self.cache.get, 0.0
-        for t in {*low.split(), *unspaced(low, self.model.lm)}:
-            x = get(t)
-            total += self.weight(t) if x is None else x
-        return total
+        tokens = {*low.split(), *unspaced(low, self.model.lm)}
+        for t in tokens.difference(self.cache):
+            self.weight(t)
+        return math.fsum(self.cache[t] for t in tokens & self.heavy)
 
     def __call__(self, texts: list[str]) -> list:
         z = np.array([self.evidence(t) for t in texts], float)
@@ -265,112 +308,133 @@ def _families(text: str) -> list[int]:
 
 
 def _distinct(rows: list) -> list[int]:
-    """Keys of rows (k, toxic, fam) of which no two of a class agree in most smallest hashes; the first of each stays."""
-    holders: dict[tuple, list[int]] = {}
-    out = []
-    for r in sorted(rows, key=lambda r: r["k"]):
-        own = [(r["toxic"], i, f) for i, f in enumerate(r["fam"])]
-        shared = Counter(k for key in own for k in holders.get(key, ()))
-        if max(shared.values(), default=0) <= len(own) // 2:
-            out.append(r["k"])
-            for key in own:
-                holders.setdefault(key, []).append(r["k"])
-    return out
-
+    """Keys of rows (k, toxic, fam) without an earlier one of their class that agrees in most smallest hashes: copies()
+    of a few rows, by a plain loop."""
+    rows = sorted(rows, key=lambda r: r["k"])
+    alike = lambda a, b: a["toxic"] == b["toxic"] and 2 * sum(x == y for x, y in zip(a["fam"], b["fam"])) > len(FAMILIES)
+    return [r["k"] for i, r in enumerate(rows) if not any(alike(r, q) for q in rows[:i])]
 
-def _top_ids(labels: DataFrame, n: int) -> DataFrame:
-    ids = None
-    for cls in (0, 1):
-        part = labels.where(F.col("toxic") == cls).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-        ids = part if ids is None else ids.unionByName(part)
-    return ids
-
-
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """Fit on docs (doc_id, text) that labels (doc_id, toxic) marks. One document a family of copies counts."""
-    spark = docs.sparkSession
-    clean = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    ids = _top_ids(clean, per_class)
-    n = spark.sparkContext.defaultParallelism * 2
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
 
-    def families(texts):
-        return [[_families(t) for t in texts]]
+def copies(rows: DataFrame) -> DataFrame:
+    """rid of the rows (rid, k, toxic, fam) that agree in most smallest hashes with an earlier one, by k, of their class.
 
-    rows = sample.withColumn("k", F.xxhash64("text")).groupBy("k", "toxic").agg(F.min("text").alias("text")).repartition(n, "k")
-    sampled = cut(map_texts(rows, lambda: families, "fam array<long>", keep_text=True), "toxicity-sample")
-    kept = _distinct(sampled.select("k", "toxic", "fam").collect())  # at most the sample
-    one = sampled.join(F.broadcast(spark.createDataFrame([(k,) for k in kept], "k long")), "k", "left_semi").select("toxic", "text")
-
-    def words(batches):
-        for b in batches:
-            c: dict = {}
-            for t in b.column("text").to_pylist():
-                own = {}
-                for w in t.lower().split():
-                    w = w.strip(_EDGE)
-                    if w.isalpha():
-                        own[w] = own.get(w, 0) + 1
-                for w, n in own.items():
-                    docs, total = c.get(w, (0, 0))
-                    c[w] = (docs + 1, total + n)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), *[pa.array([v[k] for v in c.values()], pa.int64()) for k in (0, 1)]], ["w", "docs", "n"])
-
-    # ordinary words train the character model: of the sample's words those of more than one document
-    common = one.select("text").mapInArrow(words, "w string, docs long, n long").groupBy("w").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).where("docs > 1").select("w", "n")
-    lm = CharModel({r["w"]: r["n"] for r in common.toLocalIterator()})
-    blank = spark.sparkContext.broadcast(Model(lm, {}, (0.0, 0.0, 0.0)))
-
-    def count(batches):
-        s = Scorer(blank.value)
+    Two rows agree in most hashes if they share one of the sets of that many, so rows meet by such a set and all but its
+    first go: linear in the rows, whatever the size of a family. Equal families are one row before that.
+    """
+    most = len(FAMILIES) // 2 + 1
+    o = F.struct("k", "rid")
+    first = rows.groupBy("toxic", "fam").agg(F.min(o).alias("o"))
+    same = rows.join(first, ["toxic", "fam"]).where(o > F.col("o")).select("rid")
+    sets = [F.xxhash64(F.lit(i), "toxic", *[F.col("fam")[j] for j in own]) for i, own in enumerate(itertools.combinations(range(len(FAMILIES)), most))]
+    keys = first.select("o", F.explode(F.array(*sets)).alias("h"))
+    shared = keys.groupBy("h").agg(F.min("o").alias("m"), F.count("*").alias("n")).where("n > 1").select("h", "m")
+    near = keys.join(shared, "h").where("o > m").select(F.col("o.rid").alias("rid"))
+    # all rows of a family go with its first
+    near = rows.join(first, ["toxic", "fam"]).join(near.distinct().withColumnRenamed("rid", "gone"), F.col("o.rid") == F.col("gone"), "left_semi").select("rid")
+    return same.unionByName(near).distinct()
+
+
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """df to be broadcast, if it has so few rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _tallies(names: list[str], counts: list[dict]) -> pa.RecordBatch:
+    keys = list(set().union(*counts))
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([c.get(k, 0) for k in keys], pa.int64()) for c in counts]], names)
+
+
+def _ordinary(batches):
+    """Words of texts with the number of documents that hold them and of places."""
+    docs, places = Counter(), Counter()
+    for b in batches:
+        for t in (t for _, _, texts in steps(b.column("text")) for t in texts):
+            own = [w for w in (w.strip(_EDGE) for w in t.lower().split()) if w.isalpha()]
+            places.update(own)
+            docs.update(set(own))
+            if len(docs) > COUNTS_HELD:
+                yield _tallies(["w", "docs", "n"], [docs, places])
+                docs, places = Counter(), Counter()
+    yield _tallies(["w", "docs", "n"], [docs, places])
+
+
+def _feature_counts(ref):
+    def run(batches):
+        s = Scorer(ref.value)
+        cache: dict[str, tuple[str, ...]] = {}
+        counts = [Counter(), Counter()]
         for b in batches:
-            got: dict = {}
-            for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+            for t, y in zip((t for _, _, texts in steps(b.column("text")) for t in texts), b.column("toxic").to_pylist()):
                 low = t.lower()
-                feats = set()
-                for tok in {*low.split(), *unspaced(low, s.model.lm)}:
-                    fs = s.cache.get(tok)
-                    if fs is None:
-                        fs = s.cache[tok] = s.features(tok)
-                    feats |= fs
-                for f in feats:
-                    got.setdefault(f, [0, 0])[y > 0] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array([v[1] for v in got.values()], pa.int64()), pa.array([v[0] for v in got.values()], pa.int64())], ["f", "pos", "neg"])
-
+                tokens = {*low.split(), *unspaced(low, s.model.lm)}
+                if len(cache) > COUNTS_HELD:
+                    cache.clear()
+                for tok in tokens.difference(cache):
+                    cache[tok] = tuple(s.features(tok))
+                counts[y == 0].update(set().union(*map(cache.__getitem__, tokens)))
+                if len(counts[0]) + len(counts[1]) > 2 * COUNTS_HELD:
+                    yield _tallies(["f", "pos", "neg"], counts)
+                    counts = [Counter(), Counter()]
+        yield _tallies(["f", "pos", "neg"], counts)
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, broadcast: int = BROADCAST) -> Model:
+    """Fit on all docs (doc_id, text) that labels (doc_id, toxic) marks. One document a family of copies counts."""
+    spark = docs.sparkSession
+    clean = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where("toxic in (0, 1)")
+    marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(_small(clean, broadcast), "doc_id")
+    rows = marked.select(F.monotonically_increasing_id().alias("rid"), F.xxhash64("text").alias("k"), "toxic", "text")
+    labelled = cut(map_texts(rows, lambda: lambda texts: [[_families(t) for t in texts]], "fam array<long>", keep_text=True), "toxicity-labelled")
+    again = cut(copies(labelled.select("rid", "k", "toxic", "fam")), "toxicity-copies")
+    one = labelled.join(_small(again, broadcast), "rid", "left_anti").select("toxic", "text")
     sizes = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
+
+    # ordinary words train the character model
+    common = one.select("text").mapInArrow(_ordinary, "w string, docs long, n long").groupBy("w").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    common = common.where((F.col("docs") > 1) & (F.col("docs") * ORDINARY >= n1 + n0)).select("w", "n")
+    lm = CharModel({r["w"]: r["n"] for r in common.toLocalIterator()})
     if not n1 or not n0:
-        drop_cut(sampled)
+        drop_cut(labelled)
+        drop_cut(again)
         base = min(max((n1 + 0.5) / (n1 + n0 + 1), 1e-3), 1 - 1e-3)
         return Model(lm, {}, (math.log(base / (1 - base)), 0.0, 0.0))
-    counts = one.select("text", "toxic").mapInArrow(count, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    blank = spark.sparkContext.broadcast(Model(lm, {}, (0.0, 0.0, 0.0)))
+    counts = one.mapInArrow(_feature_counts(blank), "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     p = n1 / (n1 + n0)
     xlog = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     tot = F.col("pos") + F.col("neg")
     g = 2 * (xlog(F.col("pos"), tot * p) + xlog(F.col("neg"), tot * (1 - p)))
     llr = F.log((F.col("pos") + 0.5) / (n1 + 1)) - F.log((F.col("neg") + 0.5) / (n0 + 1))
     chosen = counts.withColumn("g", g).withColumn("llr", llr).where((F.col("g") >= MIN_G) & (F.col("llr") >= MIN_LLR))
-    weights = {r["f"]: r["llr"] for r in chosen.select("f", "llr").collect()}  # features of the sample that some documents bear out
+    weights = {r["f"]: r["llr"] for r in chosen.select("f", "llr").collect()}  # features that enough documents bear out
     ref = spark.sparkContext.broadcast(Model(lm, weights, (0.0, 0.0, 0.0)))
-    rows = map_texts(one.select("toxic", "text"), lambda: _scorer(ref), "score double, predicted int, z double").select("toxic", "z").collect()  # at most the sample
-    coef = _logistic(np.array([r["z"] for r in rows]), np.array([r["toxic"] > 0 for r in rows], float))
-    drop_cut(sampled)
+    found = map_texts(one, lambda: _scorer(ref), "score double, predicted int, z double")
+    coef = _logistic(cut(found.groupBy("z", "toxic").agg(F.count("*").alias("n")), "toxicity-evidence"))
+    drop_cut(labelled)
+    drop_cut(again)
     return Model(lm, weights, coef)
 
 
-def _logistic(z: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
-    """Ridge logistic regression on (1, log(1 + z), z > 0) by Newton steps."""
-    if not len(z):
-        return (-2.0, 0.5, 0.0)
-    x = np.stack([np.ones_like(z), np.log1p(z), (z > 0).astype(float)], axis=1)
+def _logistic(rows: DataFrame, ridge: float = 0.05) -> tuple[float, float, float]:
+    """Ridge logistic regression on (1, log(1 + z), z > 0) over n rows of each (z, toxic), by Newton steps on their sums."""
+    x = [F.lit(1.0), F.log1p("z"), (F.col("z") > 0).cast("double")]
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
     w = np.zeros(3)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-x @ w))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(3), x.T @ (y - p) - ridge * w)
+        p = 1 / (1 + F.exp(-sum(float(v) * c for v, c in zip(w, x))))
+        parts = rows.select("n", (F.col("toxic") - p).alias("e"), (p * (1 - p)).alias("v"), *[c.alias(f"x{i}") for i, c in enumerate(x)])
+        sums = parts.agg(*[F.sum(F.col("n") * F.col("e") * F.col(f"x{i}")) for i in range(3)], *[F.sum(F.col("n") * F.col("v") * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]).first()
+        slope, curve = np.array(sums[:3]), np.zeros((3, 3))
+        for (i, j), v in zip(pairs, sums[3:]):
+            curve[i, j] = curve[j, i] = v
+        step = np.linalg.solve(curve + ridge * np.eye(3), slope - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return tuple(float(v) for v in w)
+    return tuple(round(float(v), 6) for v in w)  # sums in another order give the same curve
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
