@@ -50,6 +50,8 @@ _PRE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTE
 # Of any other text: runs that end before a space or line feed which follows no white space.
 _ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 _RUN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+# A pre-token that stays one whatever such stands beside it; its first id alone begins with the space's sign. So many are encoded at once.
+_WORD, WORDS = re.compile(rf" [{_LETTER}]+"), 500
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -154,7 +156,7 @@ class Image:
 
 class Encoder:
     """Byte-level BPE of whole texts. Pre-tokens are encoded each by itself whatever stands around them, so the distinct
-    ones go through the library once and the first of them are kept, within CACHE_BYTES. Texts with characters outside _PRE's classes
+    ones go through the library once (words of letters after a space joined) and the first of them are kept, within CACHE_BYTES. Texts with characters outside _PRE's classes
     are cut before spaces only; those with a special token's string or other white space go to the library whole."""
 
     def __init__(self, path: str):
@@ -162,6 +164,9 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        vocab = self.tok.get_vocab()
+        self.begins = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.begins[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.cache: dict[str, bytes] = {}
         self.room = CACHE_BYTES
 
@@ -171,6 +176,20 @@ class Encoder:
             out += [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(parts[lo:lo + 20_000], add_special_tokens=False)]
         return out
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """_library() of parts that are _WORD: joined, as a call a part costs more than its merges."""
+        groups = [words[lo:lo + WORDS] for lo in range(0, len(words), WORDS)]
+        out: list[bytes] = []
+        for own, e in zip(groups, self.tok.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            starts = np.flatnonzero(self.begins[ids]).tolist()
+            if len(starts) != len(own):  # not this model's way
+                out += self._library(own)
+                continue
+            data = ids.tobytes()
+            out += [data[4 * a:4 * b] for a, b in zip(starts, [*starts[1:], len(ids)])]
+        return out
+
     def _parts(self, text: str) -> list[str]:
         if any(x in text for x in self.special):
             return [text]
@@ -181,7 +200,9 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [self._parts(t) for t in texts]
         new = list(set().union(*parts).difference(self.cache))
-        fresh = dict(zip(new, self._library(new)))
+        words = list(filter(_WORD.fullmatch, new))
+        rest = list(set(new).difference(words))
+        fresh = dict(zip(words, self._words(words))) | dict(zip(rest, self._library(rest)))
         self.cache.update(fresh)
         get = self.cache.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
