@@ -376,3 +376,36 @@ def test_target_profile_counts_both_ends(spark):
     assert (got[1]["n_reads"], got[1]["tc_0"], got[1]["tc_1"], got[1]["tc_2"]) == (2, 0.5, 1.0, 0.5) and (got[1]["ag_0"], got[1]["ag_1"]) == (0.5, 0.0)
     assert (got[2]["n_reads"], got[2]["tc_0"], got[2]["ag_0"], got[2]["ag_1"]) == (2, 0.5, 1.0, 0.5)
     assert [r["target"] for r in R.target_profile(reads, targets, 3, 3).collect()] == [] and len(R.target_profile(reads, targets).columns) == 52
+
+
+@pytest.mark.parametrize("direct", [0, 8_000_000])
+def test_em_vectors_over_many_rows_and_blocks(spark, monkeypatch, direct):
+    """Packed rows of a few alignments and blocks of three references give what plain loops give, without a table an iteration."""
+    from palisade.operators import em_vectors as V
+
+    for name, value in (("ROW", 7), ("BLOCK", 3), ("DIRECT", direct), ("KEPT", 50)):
+        monkeypatch.setattr(V, name, value)
+    rows, schema = random_aln(21)
+    df = spark.createDataFrame(rows, schema)
+    refs = sorted({r[1] for r in rows})
+    problem, w = E.problem_of(df, 1.0), dict.fromkeys(refs, 1 / len(refs))
+    x = problem.uniform()
+    assert isinstance(problem, V.Vectors)
+    for _ in range(3):
+        w, ll = plain_step(rows, w, False)
+        x, objective = problem.step(x)
+        assert dict(zip(refs, x)) == pytest.approx(w, abs=1e-12) and objective == pytest.approx(ll)
+    problem.close()
+
+
+def test_coverage_em_vectors_and_tables_are_alike(spark, monkeypatch):
+    from palisade.operators import em_vectors as V
+
+    rows, schema = random_aln(23, reads=120)
+    rows += [(500, None, 1.0, 1, 20, None, 0.1, -0.1, -0.1), (501, 2, 1.0, None, 20, 80, 0.1, -0.1, -0.1), (None, 3, 1.0, 4, None, 90, 0.1, -0.1, -0.1), (None, 1, 2.0, 4, 12, 70, 0.1, -0.1, -0.1)]
+    df = spark.createDataFrame(rows, schema)
+    monkeypatch.setattr(V, "BLOCK", 3)
+    got = {r["ref_id"]: r["w"] for r in E.coverage_em(df, 1.0, rounds=2, tol=0.0, inner=2)[0].collect()}
+    monkeypatch.setattr(E, "BROADCAST_REFS", 0)
+    want = {r["ref_id"]: r["w"] for r in E.coverage_em(df, 1.0, rounds=2, tol=0.0, inner=2)[0].collect()}
+    assert got == pytest.approx(want, abs=1e-9) and len(got) == 9
